@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boxquarry.llm.decontaminate import contamination_report
+from boxquarry.llm.exact_dedup import exact_groups
 from boxquarry.llm.minhash_dedup import minhash_components
 
 
@@ -13,12 +15,41 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_read(spark, sf_dir, "documents"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(_read(spark, sf_dir, "documents"))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+v AS (SELECT item_id, least(len(ws), 10) AS k, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i, ws FROM b WHERE len(ws) > 0),
+g AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS win FROM v),
+sizes AS (SELECT DISTINCT k FROM g),
+p AS (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d, sizes WHERE len(ws) >= k),
+h AS (SELECT p.doc_id, p.i, p.k, g.item_id FROM p JOIN g ON g.k = p.k AND g.win = array_to_string(p.ws[p.i:p.i + p.k - 1], ' ')),
+n AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS w FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
+"""
+
 OP5_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -36,9 +67,11 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM r G
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontamination": op3_decontamination,
+        "op4_exact_dedup": op4_exact_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_dedup": OP5_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL}
