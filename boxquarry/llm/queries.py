@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from boxquarry.llm.decontaminate import contamination_report
 from boxquarry.llm.exact_dedup import exact_groups
+from boxquarry.llm.license_scan import license_report
 from boxquarry.llm.minhash_dedup import minhash_components
+from boxquarry.llm.packing import pack
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +30,14 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_read(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP3_SQL = rf"""
@@ -70,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op7_license_scan": op7_license_scan,
+        "op8_packing": op8_packing,
     }
 
 
