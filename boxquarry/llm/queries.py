@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from boxquarry.llm.decontaminate import contamination_report
 from boxquarry.llm.exact_dedup import exact_groups
+from boxquarry.llm.language_id import identify_languages
 from boxquarry.llm.license_scan import license_report
 from boxquarry.llm.minhash_dedup import minhash_components
 from boxquarry.llm.packing import pack
+from boxquarry.llm.quality import quality_scores
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +33,15 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(_read(spark, sf_dir, "documents"))
 
 
+def _remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(_read(spark, sf_dir, "documents"), _remainder(3) != 1)
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +50,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), _remainder(4) != 2)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP3_SQL = rf"""
@@ -81,8 +98,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_language_id": op6_language_id,
         "op7_license_scan": op7_license_scan,
         "op8_packing": op8_packing,
+        "op10_quality": op10_quality,
     }
 
 
