@@ -158,7 +158,8 @@ def similar_components(keyed: DataFrame, contents: DataFrame, hashes_of, share:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a node meets its own block and each other block of its group once
     meets = F.explode(F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, block) as lo, greatest(i, block) as hi))"))
-    held = placed.join(contents, "node").select("component", "block", "node", "content", meets.alias("m"))
+    # a merge join at every size: the groups grow with the input, so a broadcast of them would only suit small inputs
+    held = placed.hint("merge").join(contents, "node").select("component", "block", "node", "content", meets.alias("m"))
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node", kind="stable")
