@@ -15,12 +15,18 @@ from boxquarry.llm.license_scan import license_report
 from boxquarry.llm.minhash_dedup import minhash_components
 from boxquarry.llm.packing import pack
 from boxquarry.llm.quality import quality_scores
+from boxquarry.llm.url_filter import judge_urls
+from boxquarry.llm.warc import archive_pages
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_read(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -50,6 +56,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), _remainder(4) != 2)
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
@@ -57,6 +67,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, size AS payload_bytes, sha256(body) AS payload_digest,
+  CASE WHEN size >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= 100 AND page_id <> first THEN first END AS refers_to,
+  CASE WHEN size >= 100 AND page_id <> first THEN 0 ELSE size END AS stored_bytes, TRUE AS intact
+FROM f
+"""
+
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -95,15 +115,17 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM r G
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_bundles": op1_warc_bundles,
         "op3_decontamination": op3_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_language_id": op6_language_id,
         "op7_license_scan": op7_license_scan,
         "op8_packing": op8_packing,
+        "op9_url_filter": op9_url_filter,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL}
