@@ -76,3 +76,10 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = cut(classes.join(found, classes["class"] == found["node"], "left").select("digest", F.coalesce("component", "class").alias("component_id")), "minhash-classes")
     out = drawn.join(named, "digest", "left").select("node", "n_shingles", F.coalesce("component_id", "node").alias("component_id"))
     return out.select(F.col("node").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("node") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, in its columns; of rows with one id all go or stay."""
+    found = minhash_components(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("gone")).distinct()
+    # a merge join at every size: the dropped ids grow with the input
+    return docs.join(found.hint("merge"), F.col(id_col).cast("long") == F.col("gone"), "left_anti")

@@ -12,6 +12,7 @@ from boxquarry.llm.decontaminate import contamination_report
 from boxquarry.llm.exact_dedup import exact_groups
 from boxquarry.llm.language_id import identify_languages
 from boxquarry.llm.license_scan import license_report
+from boxquarry.llm.line_dedup import line_components
 from boxquarry.llm.minhash_dedup import minhash_components
 from boxquarry.llm.packing import pack
 from boxquarry.llm.quality import quality_scores
@@ -27,6 +28,10 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_read(spark, sf_dir, "pages"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -116,6 +121,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM r G
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_bundles": op1_warc_bundles,
+        "op2_line_dedup": op2_line_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
