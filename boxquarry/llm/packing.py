@@ -9,7 +9,6 @@ plan's slots in that order; texts and token ids are never shuffled.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,45 +18,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from boxquarry.llm.arrow_batches import byte_slices
 from boxquarry.llm.storage import cut
+from boxquarry.llm.text_hashing import segment_hashes, utf8_buffers
 
 LENGTH, END_ID = 4096, 1
-_GAPS = re.compile(rb"[\x20\x09-\x0D]+")
+
+
+# Kinds of bytes: white space, letters (a-z, A-Z and precomposed Latin letters), others of ASCII, and those that may change the
+# meaning of a neighbour: other characters beyond ASCII, contractions, special tokens.
+_SPACE, _LETTER, _OTHER, _JOIN = range(4)
+_KINDS = np.full(256, _OTHER, dtype=np.uint8)
+_KINDS[0x41:0x5B] = _KINDS[0x61:0x7B] = _KINDS[0x80:] = _LETTER
+_KINDS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KINDS[list(b"'<|")] = _JOIN
+
+
+def _byte_kinds(data: np.ndarray) -> np.ndarray:
+    kinds = _KINDS[data]
+    high = np.flatnonzero(data >= 0xC2)
+    follows = data[np.minimum(high + 1, len(data) - 1)]
+    lead = data[high]
+    odd = high[(lead != 0xC3) | (follows == 0x97) | (follows == 0xB7)]
+    for k in range(4):  # the character's own bytes
+        at = odd + k
+        at = at[at < len(data)]
+        kinds[at if not k else at[(data[at] & 0xC0) == 0x80]] = _JOIN
+    return kinds
 
 
 class TextEncoder:
-    """Token ids of whole texts, by stretches between ASCII white space, each looked up once.
+    """Token ids of whole texts, by parts that the tokenizer treats each by itself, each looked up once.
 
-    The tokenizer cuts texts at white space, drops it, and treats each stretch by itself, so the ids of a text are
-    those of its stretches one after another.  Stretches of over 200 bytes aren't kept.
+    The tokenizer lower-cases, cuts texts at white space, drops it, and then cuts runs of letters from others.  So a text is cut at
+    ASCII white space and between a letter and another character of ASCII, but not beside characters that may
+    change a neighbour's meaning; the ids of a text are those of its parts one after another.  About ``most`` parts are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
+        self.ends[[n for t, n in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.most = most
-
-    def _encode(self, stretches: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([s.decode("utf-8", "replace") for s in stretches], add_special_tokens=False)
-        return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [_GAPS.split(t) for t in texts]
-        known = self.known
-        fresh = {s for words in cut for s in words}.difference(known)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+        self.starts, self.counts = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def _remember(self, hashes: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        at, upto = len(self.known), len(self.known) + len(hashes)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while upto > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.counts[at:upto] = counts
+        self.starts[at:upto] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(at, upto), strict=True))
+
+    def _encode_each(self, hashes: list[int], parts: list[bytes]) -> None:
+        found = [f.ids for f in self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)]
+        self._remember(hashes, np.array([i for ids in found for i in ids], dtype="<u4"), np.array([len(ids) for ids in found], dtype=np.int64))
+
+    def _encode_words(self, hashes: list[int], words: list[bytes]) -> None:
+        """Runs of letters, as one text: each ends with its only token that ends a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(words):
+            self._encode_each(hashes, words)
+        else:
+            self._remember(hashes, ids, np.diff(ends, prepend=-1))
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these texts one after another, and each text's bounds among them."""
+        data, bounds = utf8_buffers(column)
+        if not len(data):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(bounds), dtype=np.int64)
+        kinds = _byte_kinds(data)
+        inside = kinds != _SPACE
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (kinds[1:] + kinds[:-1] == _LETTER + _OTHER) & (kinds[1:] != kinds[:-1]) & (kinds[1:] != _JOIN) & (kinds[:-1] != _JOIN)
+        first = bounds[:-1][bounds[:-1] < bounds[1:]]
+        begins[first] = inside[first]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(bounds), dtype=np.int64)
+        hashes = segment_hashes(data, inside, starts)
+        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        if len(self.known) > self.most:
+            self._forget()
+        fresh = [k for k, h in enumerate(names) if h not in self.known]
         if fresh:
-            if len(known) + len(fresh) > self.most:
-                known = self.known = {b"": b""}
-                fresh = {s for words in cut for s in words} - {b""}
-            order = sorted(fresh)
-            encoded = dict(zip(order, self._encode(order), strict=True))
-            known.update((k, v) for k, v in encoded.items() if len(k) <= 200)
-            if len(encoded) and max(map(len, order)) > 200:
-                known = known | encoded
-        return [b"".join([known[s] for s in words]) for words in cut]
+            stops = np.append(starts[1:], len(data))
+            joined = np.add.reduceat((kinds == _JOIN).astype(np.int64), starts)
+            simple: tuple[list[int], list[bytes]] = ([], [])
+            odd: tuple[list[int], list[bytes]] = ([], [])
+            for k in fresh:
+                n = where[k]
+                part = data[starts[n] : stops[n]].tobytes().rstrip(b" \t\n\r\x0b\x0c")
+                to = simple if kinds[starts[n]] == _LETTER and not joined[n] else odd
+                to[0].append(names[k])
+                to[1].append(part)
+            if simple[0]:
+                self._encode_words(*simple)
+            if odd[0]:
+                self._encode_each(*odd)
+        known = self.known
+        at = np.array([known[h] for h in names], dtype=np.int64)[back]
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(starts, bounds)]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -78,16 +155,15 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text").cast(pa.large_binary()).to_pylist()
+            for part in byte_slices(batch, "text"):
+                ids, bounds = encoder.encode(part.column("text"))
                 rows, out = [], []
-                for row, ids in enumerate(encoder.encode(texts)):
-                    ids += tail
-                    for piece, start in enumerate(range(0, len(ids), 4 * length)):
-                        data = ids[start : start + 4 * length]
+                for row in range(len(part)):
+                    data = ids[bounds[row] : bounds[row + 1]].tobytes() + tail
+                    for piece, start in enumerate(range(0, len(data), 4 * length)):
+                        own = data[start : start + 4 * length]
                         rows.append(row)
-                        out.append((piece, start // 4, len(data) // 4, zlib.crc32(data)))
+                        out.append((piece, start // 4, len(own) // 4, zlib.crc32(own)))
                 columns = [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kind, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), *columns], names=["id", *kind.names])
 

@@ -79,15 +79,21 @@ def word_hashes(column: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, n
     word_bounds = np.searchsorted(starts, bounds)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), word_bounds
+    return segment_hashes(data, inside, starts), word_bounds
+
+
+def segment_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash for each segment from one of ``starts`` to the next, A-Z lower-cased, of its bytes that are ``inside``, which come first."""
     lengths = np.diff(starts, append=len(data))
-    values = np.where(word_bytes, BYTE_VALUES[LOWER], np.uint64(0))[data[starts[0] :]]
+    values = BYTE_VALUES[LOWER[data[starts[0] :]]]
+    values *= inside[starts[0] :]
     place = np.arange(starts[0], len(data), dtype=np.int64) - np.repeat(starts, lengths)
     if lengths.max() <= _LOW:
         values *= _LOW_POWERS[place]
     else:
         values *= _LOW_POWERS[place & (_LOW - 1)]
         values *= _HIGH_POWERS[(place >> 16) & (_LOW - 1)]
-    return mix(np.add.reduceat(values, starts - starts[0])), word_bounds
+    return mix(np.add.reduceat(values, starts - starts[0]))
 
 
 def hash_of_words(words: list[bytes]) -> np.ndarray:
