@@ -52,12 +52,13 @@ def d5_box_coverages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "d2_label_lines",
-    f"{_BASE} SELECT image, label_index, printf('%d %.6f %.6f %.6f %.6f', class_id, (x1 + x2) / 2.0::DOUBLE / width, (y1 + y2) / 2.0::DOUBLE / height, (x2 - x1) / width::DOUBLE, (y2 - y1) / height::DOUBLE) AS line FROM gt JOIN images USING (image)",
+    "d2_normalised_boxes",
+    f"{_BASE} SELECT image, label_index, round((x1 + x2) / 2.0::DOUBLE / width, 9) AS cx, round((y1 + y2) / 2.0::DOUBLE / height, 9) AS cy, round((x2 - x1) / width::DOUBLE, 9) AS w, round((y2 - y1) / height::DOUBLE, 9) AS h FROM gt JOIN images USING (image)",
 )
-def d2_label_lines(spark: SparkSession, d: str) -> DataFrame:
+def d2_normalised_boxes(spark: SparkSession, d: str) -> DataFrame:
     b = a.gt_boxes(spark, d).join(a.images(spark, d), "image")
-    return b.select("image", "label_index", g.label_line(F.col("class_id"), g.box(), F.col("width"), F.col("height")).alias("line"))
+    values = g.to_centre(g.box(), F.col("width"), F.col("height"))
+    return b.select("image", "label_index", *[F.round(v, 9).alias(n) for v, n in zip(values, ("cx", "cy", "w", "h"), strict=True)])
 
 
 @query(
