@@ -33,7 +33,7 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(body)) + body
 
 
-def read_seek_table(bundle: bytes) -> list[tuple[int, int]]:
+def read_seek_table(bundle: bytes | memoryview) -> list[tuple[int, int]]:
     """(start, compressed size) of each frame; ValueError if the footer isn't one."""
     count, flags, magic = struct.unpack("<IBI", bundle[-9:])
     width = 12 if flags & 0x80 else 8
@@ -60,13 +60,31 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + _END + body + _END
 
 
-def parse_record(data: bytes) -> dict:
-    """Headers by lower-case name, and ``payload``."""
-    head, _, rest = data.partition(_END)
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """Headers by lower-case name and ``payload`` of the record at this offset, and the offset after it."""
+    head = data.index(_END, at)
+    lines = data[at:head].decode("utf-8", "surrogatepass").split("\r\n")
     out: dict = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
-    out["payload"] = rest[: int(out["content-length"])]
-    return out
+    begin = head + len(_END)
+    end = begin + int(out["content-length"])
+    out["payload"] = data[begin:end]
+    return out, end + len(_END)
+
+
+def parse_row(data: bytes, at: int = 0) -> tuple[tuple, int]:
+    """The columns of RECORD_SQL of the record at this offset, and the offset after it."""
+    found, after = parse_record(data, at)
+    number = lambda v: None if v is None or v == "<urn:page:null>" else int(v[len("<urn:page:") : -1])
+    row = (number(found["warc-record-id"]), found["warc-type"], found["warc-payload-digest"].removeprefix("sha256:"), int(found["x-payload-length"]), number(found.get("warc-refers-to")), found["warc-target-uri"], found["payload"])
+    return row, after
+
+
+RECORD_SQL = "id long, record_type string, payload_digest string, payload_bytes long, refers_to long, target_uri string, payload binary"
+_RECORD = pa.schema([("id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary())])
+
+
+def _rows_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(_RECORD.names)}, schema=_RECORD)
 
 
 _INDEX = "id long, bundle string, frame int, offset long, length long"
@@ -138,39 +156,52 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     return known.mapInArrow(run, _INDEX)
 
 
-def read_records(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """The records of an index, read back from the bundles through Spark: their ids, headers and payloads.
+def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
+    """All records of the bundles that an index names, frame by frame; each task holds one bundle.
 
-    Bundles that the index doesn't name, such as those of a lost task, are skipped.
+    Bundles that the index doesn't name, such as those of a lost task, aren't read.  The driver gets one name for each bundle, as it
+    does for each file of any table that Spark reads.
     """
-    # one row for each bundle; a bundle has a bounded size
-    wanted = index.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "length"))).alias("places"))
+    names = [r["bundle"] for r in index.select("bundle").distinct().collect()]
+    files = spark.read.format("binaryFile").load([f"{folder}/{n}" for n in names]).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k in range(len(batch)):
+                bundle = batch.column("content")[k].as_buffer()
+                bundle = memoryview(bundle)
+                for start, size in read_seek_table(bundle):
+                    data, at, rows = unpack.decompress(bundle[start : start + size]), 0, []
+                    while at < len(data):
+                        row, at = parse_row(data, at)
+                        rows.append(row)
+                    yield _rows_batch(rows)
+
+    return files.mapInArrow(run, RECORD_SQL)
+
+
+def fetch_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """The records that these rows of an index map to: of each bundle, only the frames in question are unpacked."""
+    places = wanted.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset"))).alias("places"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content").join(wanted, "bundle")
-    kind = "id long, record_type string, payload_digest string, payload_bytes long, refers_to long, target_uri string, payload binary"
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content").join(places, "bundle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        schema = pa.schema([("id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("target_uri", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for k in range(len(batch)):
-                bundle, places = batch.column("content")[k].as_py(), batch.column("places")[k].as_py()
-                frames, at, data = read_seek_table(bundle), -1, b""
-                rows: list[tuple] = []
-                for place in places:
-                    if place["frame"] != at:
-                        if rows:
-                            yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(schema.names)}, schema=schema)
-                        at, rows = place["frame"], []
-                        start, size = frames[at]
+                bundle, rows, open_frame, data = memoryview(batch.column("content")[k].as_buffer()), [], -1, b""
+                frames = read_seek_table(bundle)
+                for place in batch.column("places")[k].as_py():
+                    if place["frame"] != open_frame:
+                        open_frame = place["frame"]
+                        start, size = frames[open_frame]
                         data = unpack.decompress(bundle[start : start + size])
-                    found = parse_record(data[place["offset"] : place["offset"] + place["length"]])
-                    number = lambda v: None if v is None or v == "<urn:page:null>" else int(v[len("<urn:page:") : -1])
-                    rows.append((number(found["warc-record-id"]), found["warc-type"], found["warc-payload-digest"].removeprefix("sha256:"), int(found["x-payload-length"]), number(found.get("warc-refers-to")), found["warc-target-uri"], found["payload"]))
-                if rows:
-                    yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(schema.names)}, schema=schema)
+                    rows.append(parse_row(data, place["offset"])[0])
+                yield _rows_batch(rows)
 
-    return files.select("bundle", "content", "places").mapInArrow(run, kind)
+    return files.select("content", "places").mapInArrow(run, RECORD_SQL)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -185,7 +216,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     index = cut(write_bundles(pages, folder), "warc-index")
     if index.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, stored_bytes long, intact boolean")
-    back = read_records(spark, folder, index)
+    back = read_bundles(spark, folder, index)
     stored = F.octet_length("payload").cast("long")
     whole = (F.sha2("payload", 256) == F.col("payload_digest")) & (stored == F.col("payload_bytes"))
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", stored.alias("stored_bytes"), F.when(F.col("record_type") == "revisit", stored == 0).otherwise(whole).alias("intact"))
