@@ -74,7 +74,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     contents = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("content")).where("node is not null and content is not null")
     found = similar_components(keyed, contents, lambda texts: document_sets(texts, width), share, "minhash", block)
     named = cut(classes.join(found, classes["class"] == found["node"], "left").select("digest", F.coalesce("component", "class").alias("component_id")), "minhash-classes")
-    out = drawn.join(named, "digest", "left").select("node", "n_shingles", F.coalesce("component_id", "node").alias("component_id"))
+    out = drawn.join(named, "digest", "left").select("node", "n_shingles", F.when(F.col("node").isNotNull(), F.coalesce("component_id", "node")).alias("component_id"))
     return out.select(F.col("node").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("node") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

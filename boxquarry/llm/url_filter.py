@@ -70,7 +70,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row for each row of ``pages``: (id, host, path, rule, verdict, template, purity).
 
     verdict is the longest fitting rule's, else ``block`` if the template's smoothed purity is ``purity`` or more, else ``allow``.
-    Smoothing adds ``prior`` labelled urls with the whole table's share of blocked ones.  Null urls and urls without
+    Smoothing adds ``prior`` labelled urls, half of them blocked, so a template without labels is allowed.  Null urls and urls without
     ``://`` have an empty host and path, and are allowed unless their template is rejected; repeated rows are each
     answered; extra columns are ignored; an empty table gives no rows.  Segments beyond ``depth`` count as one wildcard.
     """
@@ -88,9 +88,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     tree = cut(tree.withColumn("template", F.lit("")), "url-tree")
     for level in range(1, depth + 1):
         tree = cut(_generalised(tree, level, many, rare, critical), "url-tree")
-    whole = tree.agg(((F.sum("blocked") + 1.0) / (F.sum("labelled") + 2.0)).alias("share"))
-    share = whole.first()["share"] or 0.5
-    templates = tree.groupBy("host", "template").agg(((F.sum("blocked") + prior * share) / (F.sum("labelled") + prior)).alias("purity"))
+    templates = tree.groupBy("host", "template").agg(((F.sum("blocked") + prior / 2) / (F.sum("labelled") + prior)).alias("purity"))
     named = tree.select("host", "segments", "template").join(templates, ["host", "template"])
     out = rows.join(named, ["host", "segments"], "left")
     own = F.when(F.col("purity") >= purity, "block").otherwise("allow")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from boxquarry.llm.storage import cut, new_path
@@ -94,19 +94,25 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     """Write a record for each row to bundles under ``folder``; the index (id, bundle, frame, offset, length).
 
     Of records with equal payloads (UTF-8, null is empty) of ``least`` bytes or more, the one with the smallest id, null ids last, is a
-    response and the others revisit it; of rows with one id the first in the table.  Smaller ones are all responses.  Frames hold whole
+    response and the others revisit it; of rows with one id and one payload exactly one is.  Smaller ones are all responses.  Frames hold whole
     records of about ``frame_bytes``, bundles about ``bundle_bytes``; a larger record has them to itself.
     """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("place"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    # the place tells apart rows with one id; null ids sort last
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "place")
-    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # of each payload with copies: its smallest id, null last, and how many rows have that id
+    counts = rows.where(F.col("size") >= least).groupBy("digest", "id").agg(F.count("*").alias("same"))
+    first = counts.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("first"), F.sum("same").alias("copies"))
+    first = cut(first.where("copies > 1"), "warc-copies")
     # a digest of many rows may be split between tasks: this is a plain equality join
-    known = rows.join(first.hint("merge"), "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("size") >= least) & (order != F.col("first"))
-    known = known.withColumn("kind", F.when(F.coalesce(revisit, F.lit(False)), "revisit").otherwise("response"))
+    known = rows.join(first.hint("merge"), "digest", "left").withColumn("leads", F.col("id").eqNullSafe(F.col("first.id")))
+    kind = F.when(F.col("copies").isNotNull() & ~F.col("leads"), "revisit").otherwise("response")
+    if first.where("first.same > 1").isEmpty():
+        known = known.withColumn("kind", kind)
+    else:  # rows with one id and one payload: any of them is the response
+        tied = F.coalesce(F.col("leads") & (F.col("first.same") > 1), F.lit(False))
+        one = F.row_number().over(W.partitionBy("digest").orderBy("url")) == 1
+        known = known.where(~tied).withColumn("kind", kind).unionByName(known.where(tied).withColumn("kind", F.when(one, "response").otherwise("revisit")))
     known = known.select("id", "url", F.when(F.col("kind") == "response", F.col("payload")).alias("payload"), "digest", "size", "kind", F.when(F.col("kind") == "revisit", F.col("first.id")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +143,17 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             columns = [batch.column(c) for c in ("id", "url", "payload", "digest", "size", "kind", "refers_to")]
             for k in range(len(batch)):
                 page_id, url, body, digest, size, kind, refers = (c[k].as_py() for c in columns)
-                if out is None:
-                    name = f"{uuid.uuid4().hex}.warc.zst"
-                    out = files.open_output_stream(f"{where}/{name}", compression=None)
                 data = record(kind, page_id, url, body or b"", digest, size, refers)
                 if held and plain + len(data) > frame_bytes:
                     flush_frame()
+                    if out.tell() >= bundle_bytes:
+                        yield close()
+                if out is None:
+                    name = f"{uuid.uuid4().hex}.warc.zst"
+                    out = files.open_output_stream(f"{where}/{name}", compression=None)
                 index.append((page_id, name, len(frames), plain, len(data)))
                 held.append(data)
                 plain += len(data)
-                if plain >= frame_bytes:
-                    flush_frame()
-                if not held and out.tell() >= bundle_bytes:
-                    yield close()
         if out is not None:
             yield close()
 
