@@ -43,7 +43,7 @@ def slug(value: Column, most: int = 40) -> Column:
 
 def split_values(value: Column, mark: str = ";") -> Column:
     """Trimmed values between marks, without empty ones; null gives none."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), mark), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), mark), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def first_present(*values: Column) -> Column:

@@ -72,6 +72,6 @@ def apportion(weights: DataFrame, total: int, name: str, weight: str) -> DataFra
 
     Ties go to the smaller name.  ``weights`` has one row for each class.
     """
-    seats = weights.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(total - 1)))).withColumn("q", F.col(weight) / (F.col("k") + 0.5))
-    won = seats.orderBy(F.desc("q"), name, "k").limit(total).groupBy(name).agg(F.count("*").alias("seats"))
+    seats = weights.withColumn("_seat", F.explode(F.sequence(F.lit(0), F.lit(total - 1)))).withColumn("_quotient", F.col(weight) / (F.col("_seat") + 0.5))
+    won = seats.orderBy(F.desc("_quotient"), name, "_seat").limit(total).groupBy(name).agg(F.count("*").alias("seats"))
     return weights.select(name, weight).join(won, name, "left").fillna(0, ["seats"])
