@@ -42,6 +42,14 @@ class Minima:
             np.minimum(least, (np.multiply.outer(self.a, hashes[k : k + 2048]) + self.b[:, None]).min(axis=1), out=least)
         return least
 
+    def signatures(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Signatures of many sets at once, from 32-bit hashes one set after another; members may repeat, no set is empty."""
+        small, a, b = (hashes >> np.uint64(32)).astype(np.uint32), self.a.astype(np.uint32) | np.uint32(1), self.b.astype(np.uint32)
+        out = np.empty((len(starts), len(a)), dtype=np.uint64)
+        for k in range(len(a)):
+            out[:, k] = np.minimum.reduceat(small * a[k] + b[k], starts)
+        return out
+
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """Bucket keys of each signature, one for each band, as signed 64-bit integers."""
         parts = signatures.reshape(len(signatures), self.bands, self.rows)
@@ -159,6 +167,7 @@ def similar_components(keyed: DataFrame, contents: DataFrame, hashes_of, share:
     # a node meets its own block and each other block of its group once
     meets = F.explode(F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, block) as lo, greatest(i, block) as hi))"))
     # a merge join at every size: the groups grow with the input, so a broadcast of them would only suit small inputs
+    # (contents in a table bucketed by node stay where they are)
     held = placed.hint("merge").join(contents, "node").select("component", "block", "node", "content", meets.alias("m"))
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
