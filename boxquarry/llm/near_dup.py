@@ -15,12 +15,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxquarry.llm.arrow_batches import byte_slices
 from boxquarry.llm.components import connected_components
 from boxquarry.llm.seams import chain_seams
 from boxquarry.llm.storage import cut
@@ -112,6 +112,11 @@ def true_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     if n < 2:
         return np.zeros((0, 2), dtype=np.int64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    if n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        apart = side is None or side[0] != side[1]
+        good = apart and sizes.all() and of * both >= share * (sizes.sum() - both)
+        return np.array([[nodes[0], nodes[1]]] if good else [], dtype=np.int64).reshape(-1, 2)
     owner = np.repeat(np.arange(n), sizes)
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
@@ -127,7 +132,7 @@ def true_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     column = np.repeat(np.where(many, np.cumsum(many) - 1, -1), counts)
     keep = column >= 0
     owner, column = owner[keep], column[keep]
-    width = 2048
+    width = min(2048, max(1, int(many.sum())))
     for at in range(0, int(many.sum()), width):
         lo, hi = np.searchsorted(column, (at, at + width))
         block = np.zeros((n, width), dtype=np.float32)
@@ -154,6 +159,10 @@ def true_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     return np.array(kept, dtype=np.int64).reshape(-1, 2)
 
 
+def _links_batch(links: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(links[:, 1], pa.int64()), pa.array(links[:, 0], pa.int64())], names=["a", "b"])
+
+
 def similar_components(keyed: DataFrame, contents: DataFrame, hashes_of, share: int, name: str, block: int = 256) -> DataFrame:
     """(node, component) of nodes that have a link of ``share`` hundredths or more to another node.
 
@@ -170,12 +179,34 @@ def similar_components(keyed: DataFrame, contents: DataFrame, hashes_of, share:
     # (contents in a table bucketed by node stay where they are)
     held = placed.hint("merge").join(contents, "node").select("component", "block", "node", "content", meets.alias("m"))
 
-    def confirm(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", kind="stable")
-        sets = hashes_of(pa.array(group["content"], type=pa.large_string()))
-        side = None if (group["lo"] == group["hi"]).all() else group["block"].to_numpy()
-        out = true_links(group["node"].to_numpy(), sets, side, share)
-        return pd.DataFrame({"a": out[:, 1], "b": out[:, 0]})
-
-    found = held.select("component", "block", "node", "content", "m.lo", "m.hi").groupBy("component", "lo", "hi").applyInPandas(confirm, "a long, b long")
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by meeting; those of one meeting, which is bounded by two blocks, are held until it is whole."""
+        key, held_nodes, held_blocks, held_sets = None, [], [], []
+
+        def decide() -> np.ndarray:
+            if len(held_sets) < 2:
+                return np.zeros((0, 2), dtype=np.int64)
+            side = None if key[1] == key[2] else np.array(held_blocks)
+            return true_links(np.array(held_nodes), held_sets, side, share)
+
+        for batch in batches:
+            for part in byte_slices(batch, "content"):
+                keys = np.stack([part.column(c).to_numpy() for c in ("component", "lo", "hi")], axis=1)
+                nodes, blocks, sets = part.column("node").to_pylist(), part.column("block").to_pylist(), hashes_of(part.column("content"))
+                starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist()
+                out = []
+                for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
+                    now = tuple(keys[lo].tolist())
+                    if now != key:
+                        out.append(decide())
+                        key, held_nodes, held_blocks, held_sets = now, [], [], []
+                    held_nodes += nodes[lo:hi]
+                    held_blocks += blocks[lo:hi]
+                    held_sets += sets[lo:hi]
+                yield _links_batch(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64))
+        yield _links_batch(decide())
+
+    meetings = ["component", "lo", "hi"]
+    dealt = held.select("component", "block", "node", "content", "m.lo", "m.hi").repartition(*meetings).sortWithinPartitions(*meetings, "node")
+    found = dealt.mapInArrow(confirm, "a long, b long")
     return connected_components(found, f"{name}-true")
