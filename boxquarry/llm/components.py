@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star.
 
-Each round is two groupBys with partial aggregation and two joins on a node; Spark may split a
-skewed node's rows in those joins.  A round's links are written to the shared folder.
+Each round is two groupBys with partial aggregation and two salted joins on a node, so a node with very many links is no
+single task.  A round's links are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,16 +12,26 @@ from pyspark.sql import functions as F
 from boxquarry.llm.storage import cut
 
 
+#: A node of very many links meets its minimum in so many tasks.
+SALTS = 16
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Each link (a, b) with ``m`` of its a; the links of one node are dealt by b as well."""
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"])
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return _with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(down, least).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
