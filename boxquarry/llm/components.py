@@ -19,7 +19,9 @@ SALTS = 16
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
     """Each link (a, b) with ``m`` of its a; the links of one node are dealt by b as well."""
     dealt = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    return dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"])
+    # a merge join: the size estimate of the exploded side is too low for a choice by size
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(spread.hint("merge"), ["a", "salt"])
 
 
 def _large_star(links: DataFrame) -> DataFrame:
