@@ -60,7 +60,7 @@ class Minima:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, node): a link from each node to the first with its key, and the partition's seams."""
+    """Of rows sorted by key: a link from each node to the first with its key, and the partition's seams."""
     part, key, hub, run, head = TaskContext.get().partitionId(), None, None, 0, None
 
     def rows(seam: bool, **x: list) -> pa.RecordBatch:
@@ -92,10 +92,60 @@ _STAR = pa.schema([("seam", pa.bool_()), ("part", pa.int32()), ("run", pa.int64(
 _STAR_SQL = "seam boolean, part int, run long, key long, a long, b long"
 
 
+class Splits:
+    """Bounds of ranges of (key, node) pairs, about equally full, from a sample of pairs."""
+
+    def __init__(self, keys: np.ndarray, nodes: np.ndarray, parts: int):
+        order = np.lexsort((nodes, keys))
+        at = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
+        self.keys, self.nodes = keys[at], nodes[at]
+
+    def part(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The range of each pair: how many bounds are smaller."""
+        out = np.searchsorted(self.keys, keys, "left")
+        ends = np.searchsorted(self.keys, keys, "right")
+        # a key that is a bound itself is split by nodes
+        for lo in np.unique(out[ends > out]).tolist():
+            hi, same = int(np.searchsorted(self.keys, self.keys[lo], "right")), (out == lo) & (ends > lo)
+            out[same] += np.searchsorted(self.nodes[lo:hi], nodes[same], "left")
+        return out.astype(np.int32)
+
+
+def ranged_keys(contents: DataFrame, total: int, keys_of, bands: int) -> DataFrame:
+    """(part, key, node): ``bands`` bucket keys of each row of ``contents`` (node, content) with the range each belongs to.
+
+    Spark's own range partitioning would make all keys twice, once to sample them.  Here keys of a sample of rows, about 100
+    pairs a range or 2000 rows, give the bounds; ``total`` is about the number of rows.
+    """
+    ranges = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(2000, 100 * ranges // bands)
+
+    def made(splits: Splits | None):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in byte_slices(batch, "content", 1 << 18):
+                    keys = keys_of(piece.column("content")).reshape(-1)
+                    nodes = np.repeat(piece.column("node").to_numpy(), bands)
+                    part = np.zeros(len(keys), dtype=np.int32) if splits is None else splits.part(keys, nodes)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), pa.array(nodes)], names=["part", "key", "node"])
+
+        return run
+
+    schema = "part int, key long, node long"
+    few = contents.sample(min(1.0, wanted / max(total, 1)), seed=11) if total > wanted else contents
+    sample = few.mapInArrow(made(None), schema).select("key", "node").toArrow()
+    splits = Splits(*(sample.column(c).to_numpy() for c in ("key", "node")), ranges)
+    return contents.mapInArrow(made(splits), schema)
+
+
 def bucket_links(keyed: DataFrame, name: str) -> DataFrame:
-    """Links (a, b) that connect all nodes with a key in common; ``keyed`` has key and node, both long."""
-    dealt = keyed.select("key", "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    found = cut(dealt.mapInArrow(_stars, _STAR_SQL), f"{name}-stars")
+    """Links (a, b) that connect all nodes with a key in common; ``keyed`` has key and node, both long, and may have the part of ``ranged_keys``."""
+    if "part" in keyed.columns:
+        dealt = keyed.repartitionById(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("part")).select("key", "node")
+    else:
+        dealt = keyed.select("key", "node").repartitionByRange("key", "node")
+    # one column, so that Spark can sort by radix; the nodes of one key may come in any order
+    found = cut(dealt.sortWithinPartitions("key").mapInArrow(_stars, _STAR_SQL), f"{name}-stars")
     chained = chain_seams(found.where("seam").select("part", "run", "key", F.col("a")))
     hub = chained.groupBy("chain").agg(F.min_by("a", F.struct("part", "run")).alias("b"))
     across = chained.join(hub, "chain").where("a != b").select("a", "b")
@@ -166,7 +216,7 @@ def _links_batch(links: np.ndarray) -> pa.RecordBatch:
 def similar_components(keyed: DataFrame, contents: DataFrame, hashes_of, share: int, name: str, block: int = 256) -> DataFrame:
     """(node, component) of nodes that have a link of ``share`` hundredths or more to another node.
 
-    keyed: (key, node), the bucket keys.  contents: (node, content), read only for nodes in groups of two or more.
+    keyed: (key, node), the bucket keys, or what ``ranged_keys`` gives.  contents: (node, content), read only for nodes in groups of two or more.
     hashes_of: makes the sorted distinct shingle hashes of each content, given an Arrow array of contents.
     """
     groups = cut(connected_components(bucket_links(keyed, name), f"{name}-group"), f"{name}-groups")

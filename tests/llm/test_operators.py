@@ -408,3 +408,16 @@ def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(k + 1, k) for k in range(60, 80)] + [(200, 200), (None, 3), (7, 5)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 60 for k in range(60, 81)}
+
+
+def test_splits_order_pairs_and_split_a_hot_key():
+    from boxquarry.llm.near_dup import Splits
+
+    rnd = np.random.default_rng(3)
+    keys, nodes = np.where(rnd.random(3000) < 0.4, 7, rnd.integers(-50, 50, 3000)), rnd.integers(0, 10**6, 3000)
+    splits = Splits(keys[::3], nodes[::3], 16)
+    part, order = splits.part(keys, nodes), np.lexsort((nodes, keys))
+    assert (np.diff(part[order]) >= 0).all() and 0 <= part.min() and part.max() < 16
+    assert np.bincount(part).max() < 2 * 3000 / 16  # the hot key too is dealt to several ranges
+    assert part.tolist() == [sum((k, n) < (x, y) for k, n in zip(splits.keys.tolist(), splits.nodes.tolist(), strict=True)) for x, y in zip(keys.tolist(), nodes.tolist(), strict=True)]
+    assert Splits(keys[:0], nodes[:0], 16).part(keys, nodes).max() == 0
