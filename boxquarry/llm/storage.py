@@ -35,6 +35,14 @@ def cut(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` has written, once nothing reads it any more."""
+    spark = frame.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucketed(frame: DataFrame, key: str, name: str) -> DataFrame:
     """Like ``cut``, as a table bucketed by ``key``: later joins on it don't shuffle these rows."""
     spark = frame.sparkSession
