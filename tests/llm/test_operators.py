@@ -298,6 +298,15 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_components(frame.limit(0)).collect() == []
 
 
+def test_short_lines_are_linked_too(spark):
+    from boxquarry.llm.line_dedup import line_components
+
+    lines = ["Privacy policy", "privacy policy.", "abcdefgh", "abcdefghi", "abcdefg", "home", "home!", "a", "b", "Home", "th the anhely eran.", "the anhely eran."]
+    got = {r["doc_id"]: r["keep_doc_id"] for r in rows_of(line_components(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bands=200, rows=3))}
+    # 10 of 11 runs, 4 of 5 and 3 of 4 (not linked), equal ones, 12 of 15
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 5, 10: 10, 11: 10}
+
+
 def test_warc_round_trip(spark, tmp_path):
     from boxquarry.llm.warc import archive_pages, fetch_records, read_bundles, write_bundles
 
