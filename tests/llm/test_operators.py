@@ -307,6 +307,19 @@ def test_short_lines_are_linked_too(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 5, 10: 10, 11: 10}
 
 
+def test_registered_bands_overlook_no_pair_at_the_limit(spark):
+    from boxquarry.llm.line_dedup import line_components
+
+    rnd = random.Random(4)
+    texts = []
+    for k in range(3000):
+        # 45 runs each, 40 in common of 50
+        line = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(49))
+        texts += [(2 * k, line), (2 * k + 1, line[:24] + "#" + line[25:])]
+    got = rows_of(line_components(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert [r for r in got if r["keep_doc_id"] != r["doc_id"] // 2 * 2] == []
+
+
 def test_warc_round_trip(spark, tmp_path):
     from boxquarry.llm.warc import archive_pages, fetch_records, read_bundles, write_bundles
 
