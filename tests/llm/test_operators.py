@@ -188,6 +188,24 @@ def test_passage_is_cut_and_clean_text_stays(spark):
     assert alnum(got[1]["text"]) == alnum(around) * 2 and got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_whole_short_items_and_many_blocks(spark):
+    from boxquarry.llm.decontaminate import remove_contamination
+
+    run = lambda letter, n: " ".join(f"{letter}{k}" for k in range(n))
+    items = [(1, run("p", 12)), (2, run("q", 12)), (3, "who wrote the song"), (4, f"{run('r', 6)} {run('s', 6)}")]
+    # a short item in a long text; 30 % covered by each of two items; words that the second item's removal joins to the fourth item
+    texts = [f"{run('w', 90)} Who wrote the song? {run('v', 90)}", f"{run('p', 12)} {run('w', 16)} {run('q', 12)}", f"{run('w', 50)} {run('r', 6)} {run('q', 12)} {run('s', 6)} {run('v', 50)}", run("w", 9), None]
+    docs = spark.createDataFrame([(k, t, len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    for most in (500_000, 12):
+        got = {r["doc_id"]: r for r in rows_of(remove_contamination(docs, bench, most_words=most))}
+        assert set(got) == {0, 2, 3, 4} and got[3]["text"] == texts[3] and got[4]["text"] is None
+        assert alnum(got[0]["text"]) == alnum(f"{run('w', 90)} {run('v', 90)}") and got[0]["n_chars"] == len(got[0]["text"])
+        assert alnum(got[2]["text"]) == alnum(f"{run('w', 50)} {run('v', 50)}")
+    # items of the window's length or more go as a whole from under a larger limit too
+    assert "p0" not in rows_of(remove_contamination(docs.where("doc_id = 5").union(spark.createDataFrame([(5, f"{run('w', 200)} {run('p', 12)}", 0)], docs.schema)), bench, longest=20))[0]["text"]
+
+
 def test_license_scan(spark, docs):
     from boxquarry.llm.license_scan import license_report
 
