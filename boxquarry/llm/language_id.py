@@ -22,22 +22,40 @@ from boxquarry.llm.text_hashing import LOWER, utf8_buffers
 
 UNKNOWN = "und"
 
+#: n-grams that each language has at least, however many languages there are
+LEAST_GRAMS = 64
+
 
 class Presence:
     """Which of a fixed set of n-grams each text has."""
 
-    def __init__(self, texts: list[str], most: int):
+    def __init__(self, texts: list[str], languages: list[str], most: int):
         data, bounds = utf8_buffers(pa.array(texts, pa.large_string()))
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        group = np.unique(np.array(languages, dtype=object).astype(str), return_inverse=True)[1]
+        groups = int(group.max(initial=-1)) + 1
+        size, code, lang, count = [], [], [], []
         for n in (1, 2, 3):
             codes, owner = self._codes(data, bounds, n)
             pairs = np.unique(codes.astype(np.int64) * len(texts) + owner)
-            seen.append(np.unique(pairs // max(len(texts), 1), return_counts=True))
-        # the n-grams of the most landmark texts, ties by n and code
-        order = np.concatenate([np.full(len(c), n) for n, (c, _) in enumerate(seen)]), np.concatenate([c for c, _ in seen]), np.concatenate([k for _, k in seen])
-        chosen = np.lexsort((order[1], order[0], -order[2]))[:most]
+            grams, place = np.unique(pairs // max(len(texts), 1), return_inverse=True)
+            # how many landmark texts of each language have each n-gram; only those that occur are held
+            own, texts_of = np.unique(place * max(groups, 1) + group[pairs % max(len(texts), 1)], return_counts=True)
+            size.append(np.full(len(own), n))
+            code.append(grams[own // max(groups, 1)])
+            lang.append(own % max(groups, 1))
+            count.append(texts_of)
+        size, code, lang, count = (np.concatenate(x) for x in (size, code, lang, count))
+        # the place of each n-gram among its language's, most texts first, ties by n and code
+        order = np.lexsort((code, size, -count, lang))
+        held = lang[order]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(held, held)
+        # languages take turns: the first of each, then the second of each
+        turn = np.lexsort((code, size, -count, rank))
+        _, first = np.unique(code[turn] * 4 + size[turn], return_index=True)
+        chosen = turn[np.sort(first)][: max(most, LEAST_GRAMS * groups)]
         self.size = len(chosen)
-        self.codes = [order[1][chosen[order[0][chosen] == n]] for n in range(3)]
+        self.codes = [code[chosen[size[chosen] == n]] for n in (1, 2, 3)]
         self._tables: list[np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
@@ -94,14 +112,17 @@ class LanguageModel:
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = 40, ridge: float = 1e-3, most_grams: int = 8192) -> LanguageModel:
-    """A model from texts in order of preference: the first ``landmarks`` texts of each language are the landmarks."""
+    """A model from texts in order of preference: the first ``landmarks`` texts of each language are the landmarks.
+
+    Its n-grams are those of the most landmark texts of each language in turn: ``most_grams``, or LEAST_GRAMS a language if that is more.
+    """
     names = sorted(set(languages))
     chosen, taken = [], dict.fromkeys(names, 0)
     for k, lang in enumerate(languages):
         if taken[lang] < landmarks:
             taken[lang] += 1
             chosen.append(k)
-    presence = Presence([texts[k] for k in chosen], most_grams)
+    presence = Presence([texts[k] for k in chosen], [languages[k] for k in chosen], most_grams)
     marks = presence.matrix(pa.array([texts[k] for k in chosen], pa.large_string()))
     marks = (marks / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]).T.copy()
     model = LanguageModel(names, presence, marks, np.zeros((len(chosen), len(names))))
@@ -118,33 +139,39 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 40, ridge: floa
     return model
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column, per_language: int, most_chars: int, most_languages: int) -> pd.DataFrame:
-    """At most ``per_language`` rows of each of the ``most_languages`` commonest languages, by a hash of the id."""
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}") & (F.length(text_col) <= most_chars))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column, per_language: int, most_chars: int, most_rows: int) -> pd.DataFrame:
+    """Rows of every language by a hash of the id: ``per_language`` of each, fewer if that makes over ``most_rows``, but one at least.
+
+    Of a text of over ``most_chars`` characters, so many from its first letter on are learned.
+    """
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()
     if not counts:
         return pd.DataFrame({"lang": [], "text": []})
+    each = max(1, min(per_language, most_rows // len(counts)))
     scale = 1 << 30
     place = F.pmod(F.xxhash64(F.lit("language-id"), F.col(id_col).cast("string")), F.lit(scale))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["lang"], min(scale, int(scale * (1.5 * per_language + 20) / r["count"]))).otherwise(share)
-    # about one and a half times per_language rows of each language, cut to per_language here
-    found = rows.where(place < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).toPandas()
-    return found.sort_values(["place", "lang", "text"]).groupby("lang").head(per_language).reset_index(drop=True)
+    # about one and a half times as many rows of each language, cut to the number here
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(scale, int(scale * (1.5 * each + 20) / r["count"]))) for r in counts], "lang string, share long")
+    part = F.when(F.length(text_col) <= most_chars, F.col(text_col)).otherwise(F.substring(F.regexp_extract(text_col, "(?s)\\p{L}.*", 0), 1, most_chars))
+    drawn = rows.select(F.col(lang_col).alias("lang"), part.alias("text"), place.alias("place"))
+    found = drawn.join(F.broadcast(shares), "lang").where(F.col("place") < F.col("share")).drop("share").toPandas()
+    return found.sort_values(["place", "lang", "text"]).groupby("lang").head(each).reset_index(drop=True)
 
 
-def identify_languages(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 250, most_chars: int = 20_000, most_languages: int = 64, with_rows: bool = False) -> DataFrame:
+def identify_languages(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 250, most_chars: int = 20_000, most_rows: int = 16_000, with_rows: bool = False) -> DataFrame:
     """One row for each row of ``docs``: (id, lang_pred, score), and ``row``, a struct of its own columns (with_rows).
 
-    Learns from a bounded sample: at most ``per_language`` rows that are ``usable``, of at most ``most_chars``
-    characters, for each of at most ``most_languages`` languages; predicts each whole text from the text alone.
+    Learns every language from a bounded sample of its rows that are ``usable``: at most ``per_language`` rows a language and
+    ``most_rows`` in all, but one of each language at least, and ``most_chars`` characters of a longer text, from its first letter on;
+    predicts each whole text from the text alone.
     lang_pred is ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.  score is the best
     language's regression value, from -1..1 onto 0..1.  Repeated rows are each answered; extra columns are ignored.
     """
     usable = F.lit(True) if usable is None else usable
-    sample = training_sample(docs, id_col, text_col, lang_col, usable, per_language, most_chars, most_languages)
-    model = fit(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
+    sample = training_sample(docs, id_col, text_col, lang_col, usable, per_language, most_chars, most_rows)
+    most_marks = max(1, min(40, 2560 // max(1, sample["lang"].nunique())))
+    model = fit(sample["text"].tolist(), sample["lang"].tolist(), most_marks) if len(sample) else None
     # its size is set by the parameters: landmarks times n-grams
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lead = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("letters"), *([F.struct(*docs.columns).alias("row")] if with_rows else []))

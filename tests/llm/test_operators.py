@@ -416,6 +416,23 @@ def test_language_id(spark):
     assert identify_languages(frame.limit(0)).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    from boxquarry.llm.language_id import Presence, identify_languages
+
+    rnd = random.Random(3)
+    # 70 languages of 6 letters each, of which the last has the fewest rows and one has long texts only
+    data = []
+    for lang in range(70):
+        letters = "".join(chr(0x4E00 + 6 * lang + k) for k in range(6))
+        data += [(100 * lang + k, synthetic_language(rnd, letters, 6000 if lang == 68 else 20), f"l{lang}") for k in range(3 if lang == 69 else 4)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in rows_of(identify_languages(frame))}
+    assert got == {d: lang for d, _, lang in data}
+    # of many texts in one script and one in another, both scripts' n-grams are kept
+    few = Presence(["abcabc", "abcab", "abca", "äö"], ["a", "a", "a", "b"], 12)
+    assert few.size >= 12 and few.matrix(__import__("pyarrow").array(["äö"])).sum() > 2
+
+
 def test_quality(spark):
     from boxquarry.llm.quality import quality_scores
 
