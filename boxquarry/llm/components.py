@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star.
 
-Each round is two groupBys with partial aggregation and two salted joins on a node, so a node with very many links is no
-single task.  A round's links are written to the shared folder.
+Each round is two groupBys with partial aggregation and two joins on a node.  Both sides of the joins are dealt out before
+them, so that Spark may split a node with very many links.  A round's links are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,19 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxquarry.llm.storage import cut
-
-
-#: A node of very many links meets its minimum in so many tasks.
-SALTS = 16
+from boxquarry.llm.storage import cut, discard
 
 
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
-    """Each link (a, b) with ``m`` of its a; the links of one node are dealt by b as well."""
-    dealt = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    # a merge join: the size estimate of the exploded side is too low for a choice by size
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(spread.hint("merge"), ["a", "salt"])
+    """Each link (a, b) with ``m`` of its a."""
+    return links.join(least.repartition("a").hint("merge"), "a")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -46,7 +39,8 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     fingerprint = lambda f: f.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = None
     while (now := fingerprint(links)) != seen and now[0]:
-        seen = now
-        links = cut(_small_star(_large_star(links)), name)
+        seen, before = now, links
+        links = cut(_small_star(_large_star(before)), name)
+        discard(before)
     # every link now goes from a node to the smallest of its component
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

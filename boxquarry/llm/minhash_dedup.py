@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxquarry.llm.arrow_batches import byte_slices
-from boxquarry.llm.near_dup import Minima, similar_components
+from boxquarry.llm.components import connected_components
+from boxquarry.llm.near_dup import Minima, bucket_links, similar_components
 from boxquarry.llm.storage import cut
 from boxquarry.llm.text_hashing import SPACE_WORDS, mix, shingle_hashes, word_hashes
 
@@ -72,7 +73,8 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = drawn.where("digest is not null").join(classes, (drawn["digest"] == classes["digest"]) & (drawn["node"] == classes["class"])).select("node", "keys").dropDuplicates(["node"])
     keyed = heads.select(F.explode("keys").alias("key"), "node")
     contents = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("content")).where("node is not null and content is not null")
-    found = similar_components(keyed, contents, lambda texts: document_sets(texts, width), share, "minhash", block)
+    groups = connected_components(bucket_links(keyed, "minhash"), "minhash-group").withColumnRenamed("component", "unit")
+    found = similar_components(cut(groups, "minhash-groups"), contents, lambda texts: document_sets(texts, width), share, "minhash", block)
     named = cut(classes.join(found, classes["class"] == found["node"], "left").select("digest", F.coalesce("component", "class").alias("component_id")), "minhash-classes")
     out = drawn.join(named, "digest", "left").select("node", "n_shingles", F.when(F.col("node").isNotNull(), F.coalesce("component_id", "node")).alias("component_id"))
     return out.select(F.col("node").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("node") == F.col("component_id"), F.lit(True)).alias("kept"))

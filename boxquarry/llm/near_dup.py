@@ -1,13 +1,13 @@
 """The common part of near-duplicate search over sets of 64-bit shingle hashes.
 
-1. Sketch: many universal hash minima of each set, in bands; a band's minima give one bucket key.
-2. Buckets: (key, node) rows are range-partitioned and sorted, so that equal keys stand together and
-   a hot key spreads over partitions; each member links to the first of its bucket in the partition.
-   That makes one link a row at most, never all pairs.
-3. Groups: components of these unconfirmed links.  Any two nodes that share a bucket are in one group.
-4. Confirmation: within each group, blocks of bounded size meet each other block once; exact
-   intersections of full sets decide, and each meeting emits a spanning forest of its true links.
-5. Components of the true links.
+1. Sketch: many hash minima of each set, in bands; a band's minima give one bucket key.
+2. Units: sets of nodes that may be similar.  Two nodes that share a bucket are in one unit at least.
+   ``bucket_links`` makes links whose components are units (op5); ``bucket_units`` makes units inside the buckets,
+   of nodes whose bit sketches are alike (op2).  Both spread a hot key over many partitions.
+3. Confirmation: exact intersections of full sets decide.  A unit is cut into blocks of bounded size.  The first block
+   meets all blocks; then the nodes outside the largest component found so far meet all blocks.  So a large group of
+   true copies costs time in proportion to its size, and no pair that could join two components is left out.
+4. Components of the true links.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from boxquarry.llm.arrow_batches import byte_slices
 from boxquarry.llm.components import connected_components
 from boxquarry.llm.seams import chain_seams
-from boxquarry.llm.storage import cut
+from boxquarry.llm.storage import cut, discard
 from boxquarry.llm.text_hashing import mix
 
 
@@ -44,11 +44,19 @@ class Minima:
 
     def signatures(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Signatures of many sets at once, from 32-bit hashes one set after another; members may repeat, no set is empty."""
-        small, a, b = (hashes >> np.uint64(32)).astype(np.uint32), self.a.astype(np.uint32) | np.uint32(1), self.b.astype(np.uint32)
-        out = np.empty((len(starts), len(a)), dtype=np.uint64)
+        small, a = (hashes >> np.uint64(32)).astype(np.uint32), self.a.astype(np.uint32) | np.uint32(1)
+        out, times = np.empty((len(a), len(starts)), dtype=np.uint32), np.empty_like(small)
         for k in range(len(a)):
-            out[:, k] = np.minimum.reduceat(small * a[k] + b[k], starts)
-        return out
+            np.multiply(small, a[k], out=times)
+            np.minimum.reduceat(times, starts, out=out[k])
+        return np.ascontiguousarray(out.T)
+
+    def sketches(self, signatures: np.ndarray) -> np.ndarray:
+        """64 bits of each signature, one of each of its last 64 minima: bits of two sets agree with a chance of (1 + Jaccard) / 2."""
+        bits = np.zeros((len(signatures), 64), dtype=np.uint8)
+        last = np.ascontiguousarray(signatures[:, -64:], dtype=np.uint32)
+        bits[:, : last.shape[1]] = last * np.uint32(0x85EBCA6B) >> np.uint32(31)
+        return np.packbits(bits, axis=1).view(np.uint64).reshape(-1)
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """Bucket keys of each signature, one for each band, as signed 64-bit integers."""
@@ -102,48 +110,151 @@ class Splits:
 
     def part(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """The range of each pair: how many bounds are smaller."""
-        out = np.searchsorted(self.keys, keys, "left")
-        ends = np.searchsorted(self.keys, keys, "right")
-        # a key that is a bound itself is split by nodes
-        for lo in np.unique(out[ends > out]).tolist():
-            hi, same = int(np.searchsorted(self.keys, self.keys[lo], "right")), (out == lo) & (ends > lo)
-            out[same] += np.searchsorted(self.nodes[lo:hi], nodes[same], "left")
-        return out.astype(np.int32)
+        first = np.searchsorted(self.keys, keys, "left")
+        out = first.astype(np.int32)
+        if len(self.keys):
+            on = self.keys[np.minimum(first, len(self.keys) - 1)] == keys
+            # a key that is a bound itself is split by nodes
+            for lo in np.unique(first[on]).tolist():
+                hi, same = int(np.searchsorted(self.keys, self.keys[lo], "right")), on & (first == lo)
+                out[same] += np.searchsorted(self.nodes[lo:hi], nodes[same], "left").astype(np.int32)
+        return out
+
+    def shared(self, part: int) -> np.ndarray:
+        """Keys of a range that other ranges may hold too."""
+        return np.unique(self.keys[max(0, part - 1) : part + 1])
+
+
+_PACKED = "part int, base long, places binary, keys binary, sketches binary"
+_UNIT = pa.schema([("unit", pa.int64()), ("seq", pa.int64())])
 
 
-def ranged_keys(contents: DataFrame, total: int, keys_of, bands: int) -> DataFrame:
-    """(part, key, node): ``bands`` bucket keys of each row of ``contents`` (node, content) with the range each belongs to.
+def packed_keys(contents: DataFrame, total: int, sketch_of, bands: int) -> tuple[DataFrame, Splits]:
+    """Bucket keys and sketches of ``contents`` (seq, content), packed: a row for each range of keys and some thousands of sets.
 
-    Spark's own range partitioning would make all keys twice, once to sample them.  Here keys of a sample of rows, about 100
-    pairs a range or 2000 rows, give the bounds; ``total`` is about the number of rows.
+    An entry has 14 bytes: the low half of the key, the sketch, and the set's place after ``base``.  ``sketch_of`` makes (keys, sketches)
+    of an Arrow array.  Keys of a sample of rows, about 100 pairs a range or 2000 rows, give the bounds; ``total`` is about the number of rows.
     """
     ranges = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(2000, 100 * ranges // bands)
 
-    def made(splits: Splits | None):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in byte_slices(batch, "content", 1 << 18):
-                    keys = keys_of(piece.column("content")).reshape(-1)
-                    nodes = np.repeat(piece.column("node").to_numpy(), bands)
-                    part = np.zeros(len(keys), dtype=np.int32) if splits is None else splits.part(keys, nodes)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys), pa.array(nodes)], names=["part", "key", "node"])
-
-        return run
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in byte_slices(batch, "content", 1 << 18):
+                keys = sketch_of(piece.column("content"))[0]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(piece.column("seq").to_numpy(), bands))], names=["key", "seq"])
+
+    sample = contents.sample(min(1.0, wanted / max(total, 1)), seed=11).mapInArrow(plain, "key long, seq long").toArrow()
+    splits = Splits(*(sample.column(c).to_numpy() for c in ("key", "seq")), ranges)
+
+    def pack(seqs: np.ndarray, keys: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+        base = int(seqs[0])
+        rows = np.repeat(np.arange(len(seqs)), bands)
+        part = splits.part(keys.reshape(-1), seqs[rows])
+        order = np.argsort(part.astype(np.uint16) if ranges < 1 << 16 else part, kind="stable")
+        rows, sizes = rows[order], np.bincount(part, minlength=ranges)
+        places, low, bits = (seqs - base).astype(np.uint16)[rows], keys.reshape(-1)[order].astype(np.uint32), sketches[rows]
+        used = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes)[used]
+        cuts = list(zip((ends - sizes[used]).tolist(), ends.tolist(), strict=True))
+        blobs = [pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in (places, low, bits)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), base)), *blobs], names=["part", "base", "places", "keys", "sketches"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for piece in byte_slices(batch, "content", 1 << 18):
+                seqs = piece.column("seq").to_numpy()
+                # numbers of one chunk follow one another, and lie within 2**16 after its first
+                for whole in np.split(np.arange(len(seqs)), np.flatnonzero(np.diff(seqs) != 1) + 1):
+                    for at in np.split(whole, range(1 << 14, len(whole), 1 << 14)):
+                        if held and not (held[0][0][0] < seqs[at[0]] and seqs[at[-1]] - held[0][0][0] < 1 << 15):
+                            yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                            held = []
+                        held.append((seqs[at], *sketch_of(piece.column("content").slice(int(at[0]), len(at)))))
+        if held:
+            yield pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return contents.mapInArrow(run, _PACKED), splits
+
+
+def _alike(runs: np.ndarray, sketches: np.ndarray, apart: int) -> np.ndarray:
+    """A label for each entry, equal for those of one run that a chain of sketches with at most ``apart`` different bits connects."""
+    first, second, d = [], [], 1
+    here = np.arange(len(runs))
+    while len(here := here[here + d < len(runs)]) and len(here := here[runs[here] == runs[here + d]]):
+        near = here[np.bitwise_count(sketches[here] ^ sketches[here + d]) <= apart]
+        first.append(near)
+        second.append(near + d)
+        d += 1
+    label = np.arange(len(runs))
+    if first:
+        a, b = np.concatenate(first), np.concatenate(second)
+        while True:
+            least = np.minimum(label[a], label[b])
+            if (label[a] == least).all() and (label[b] == least).all():
+                break
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            label = label[label]
+    return label
+
+
+def bucket_units(packed: DataFrame, splits: Splits, apart: int, large: int = 4096) -> DataFrame:
+    """(unit, seq): within each bucket, units of two or more sets that a chain of alike sketches connects.
+
+    A unit is known by the sum of its members' hashes, so the same unit of several buckets is one.  A bucket that goes on in other ranges, or of
+    more than ``large`` sets, is one unit as a whole, known by its key.  A task holds one range of entries.
+    """
+    spark = packed.sparkSession
 
-    schema = "part int, key long, node long"
-    few = contents.sample(min(1.0, wanted / max(total, 1)), seed=11) if total > wanted else contents
-    sample = few.mapInArrow(made(None), schema).select("key", "node").toArrow()
-    splits = Splits(*(sample.column(c).to_numpy() for c in ("key", "node")), ranges)
-    return contents.mapInArrow(made(splits), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, keys, bits, part = [], [], [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = row["part"]
+                places.append(np.frombuffer(row["places"], dtype=np.uint16) + np.int64(row["base"]))
+                keys.append(np.frombuffer(row["keys"], dtype=np.uint32))
+                bits.append(np.frombuffer(row["sketches"], dtype=np.uint64))
+        if not keys:
+            return
+        seqs, keys, bits = (np.concatenate(x) for x in (places, keys, bits))
+        order = np.argsort(keys)
+        keys = keys[order]
+        same = np.r_[False, keys[1:] == keys[:-1]]
+        many = same | np.r_[same[1:], False]
+        keys, order = keys[many], order[many]
+        seqs, bits = seqs[order], bits[order]
+        begins = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, dtype=bool)
+        runs = np.cumsum(begins) - 1
+        sizes = np.bincount(runs) if len(runs) else np.zeros(0, dtype=np.int64)
+        shared = splits.shared(part)
+        whole = (sizes > large)[runs] | np.isin(keys, shared.astype(np.uint32))
+        names = {int(np.uint32(k & 0xFFFFFFFF)): int(k) for k in shared.tolist()}
+        for k in np.unique(keys[whole]).tolist():
+            at = np.flatnonzero(keys == k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), names.get(k, part << 32 | k))), pa.array(seqs[at])], schema=_UNIT)
+        seqs, bits, runs = seqs[~whole], bits[~whole], runs[~whole]
+        label = _alike(runs, bits, apart)
+        order = np.argsort(label, kind="stable")
+        label, seqs = label[order], seqs[order]
+        if len(label):
+            starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+            units = np.add.reduceat(mix(seqs.view(np.uint64)), starts).view(np.int64)
+            counts = np.diff(starts, append=len(label))
+            _, once = np.unique(units, return_index=True)
+            taken = np.zeros(len(units), dtype=bool)
+            taken[once] = True
+            keep = np.repeat(taken & (counts > 1), counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(units, counts)[keep]), pa.array(seqs[keep])], schema=_UNIT)
+
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartitionById(ranges, F.col("part")).mapInArrow(run, "unit long, seq long").distinct()
 
 
 def bucket_links(keyed: DataFrame, name: str) -> DataFrame:
-    """Links (a, b) that connect all nodes with a key in common; ``keyed`` has key and node, both long, and may have the part of ``ranged_keys``."""
-    if "part" in keyed.columns:
-        dealt = keyed.repartitionById(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("part")).select("key", "node")
-    else:
-        dealt = keyed.select("key", "node").repartitionByRange("key", "node")
+    """Links (a, b) that connect all nodes with a key in common; ``keyed`` has key and node, both long."""
+    dealt = keyed.select("key", "node").repartitionByRange("key", "node")
     # one column, so that Spark can sort by radix; the nodes of one key may come in any order
     found = cut(dealt.sortWithinPartitions("key").mapInArrow(_stars, _STAR_SQL), f"{name}-stars")
     chained = chain_seams(found.where("seam").select("part", "run", "key", F.col("a")))
@@ -213,50 +324,71 @@ def _links_batch(links: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(links[:, 1], pa.int64()), pa.array(links[:, 0], pa.int64())], names=["a", "b"])
 
 
-def similar_components(keyed: DataFrame, contents: DataFrame, hashes_of, share: int, name: str, block: int = 256) -> DataFrame:
-    """(node, component) of nodes that have a link of ``share`` hundredths or more to another node.
+def _confirmed(held: DataFrame, hashes_of, share: int) -> DataFrame:
+    """Links (a, b) of true pairs in each meeting (unit, lo, hi) of ``held`` (with side, node, content): a spanning forest of them.
 
-    keyed: (key, node), the bucket keys, or what ``ranged_keys`` gives.  contents: (node, content), read only for nodes in groups of two or more.
-    hashes_of: makes the sorted distinct shingle hashes of each content, given an Arrow array of contents.
+    Where lo and hi differ or lo is negative, only pairs of different sides count.
     """
-    groups = cut(connected_components(bucket_links(keyed, name), f"{name}-group"), f"{name}-groups")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a node meets its own block and each other block of its group once
-    meets = F.explode(F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, block) as lo, greatest(i, block) as hi))"))
-    # a merge join at every size: the groups grow with the input, so a broadcast of them would only suit small inputs
-    # (contents in a table bucketed by node stay where they are)
-    held = placed.hint("merge").join(contents, "node").select("component", "block", "node", "content", meets.alias("m"))
+    meetings = ["unit", "lo", "hi"]
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by meeting; those of one meeting, which is bounded by two blocks, are held until it is whole."""
-        key, held_nodes, held_blocks, held_sets = None, [], [], []
+        key, held_nodes, held_sides, held_sets = None, [], [], []
 
         def decide() -> np.ndarray:
             if len(held_sets) < 2:
                 return np.zeros((0, 2), dtype=np.int64)
-            side = None if key[1] == key[2] else np.array(held_blocks)
-            return true_links(np.array(held_nodes), held_sets, side, share)
+            return true_links(np.array(held_nodes), held_sets, None if key[1] == key[2] else np.array(held_sides), share)
 
         for batch in batches:
             for part in byte_slices(batch, "content"):
-                keys = np.stack([part.column(c).to_numpy() for c in ("component", "lo", "hi")], axis=1)
-                nodes, blocks, sets = part.column("node").to_pylist(), part.column("block").to_pylist(), hashes_of(part.column("content"))
+                keys = np.stack([part.column(c).to_numpy() for c in meetings], axis=1)
+                nodes, sides, sets = part.column("node").to_pylist(), part.column("side").to_pylist(), hashes_of(part.column("content"))
                 starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist()
                 out = []
                 for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
                     now = tuple(keys[lo].tolist())
                     if now != key:
                         out.append(decide())
-                        key, held_nodes, held_blocks, held_sets = now, [], [], []
+                        key, held_nodes, held_sides, held_sets = now, [], [], []
                     held_nodes += nodes[lo:hi]
-                    held_blocks += blocks[lo:hi]
+                    held_sides += sides[lo:hi]
                     held_sets += sets[lo:hi]
                 yield _links_batch(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64))
         yield _links_batch(decide())
 
-    meetings = ["component", "lo", "hi"]
-    dealt = held.select("component", "block", "node", "content", "m.lo", "m.hi").repartition(*meetings).sortWithinPartitions(*meetings, "node")
-    found = dealt.mapInArrow(confirm, "a long, b long")
-    return connected_components(found, f"{name}-true")
+    dealt = held.select(*meetings, "side", "node", "content").repartition(*meetings).sortWithinPartitions(*meetings, "node")
+    return dealt.mapInArrow(confirm, "a long, b long")
+
+
+def similar_components(units: DataFrame, contents: DataFrame, hashes_of, share: int, name: str, block: int = 256) -> DataFrame:
+    """(node, component) of nodes that have a link of ``share`` hundredths or more to another node.
+
+    units: (unit, node) of sets that may be similar, a written table.  contents: (node, content), read only for nodes in units.
+    hashes_of: makes the sorted distinct shingle hashes of each content, given an Arrow array of contents.
+    """
+    # units of several blocks: few, and joined from the left, so that Spark may split a large one
+    big = units.groupBy("unit").agg(F.count("*").alias("size")).where(F.col("size") > block).select("unit", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    placed = units.join(big, "unit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # the first block meets itself and each other block
+    meets = F.explode(F.expr("if(block = 0, sequence(0, blocks - 1), array(block))"))
+    # a merge join at every size: the units grow with the input, so a broadcast of them would only suit small inputs
+    # (contents in a table bucketed by node stay where they are)
+    held = placed.hint("merge").join(contents, "node").select("unit", F.lit(0).alias("lo"), meets.alias("hi"), F.col("block").alias("side"), "node", "content")
+    first = cut(connected_components(_confirmed(held, hashes_of, share), f"{name}-first"), f"{name}-first-components")
+    # whoever is outside the largest component of a unit of several blocks meets all of it
+    labelled = placed.where("blocks > 1").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = cut(labelled, f"{name}-labelled")
+    main = labelled.groupBy("unit", "component").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    outside = labelled.join(main, "unit").where("component != main")
+    more = outside.groupBy("unit").agg(F.ceil(F.count("*") / block).cast("int").alias("others"))
+    outside = outside.join(more, "unit").select("unit", "node", F.expr("explode(sequence(0, blocks - 1))").alias("hi"), F.expr("cast(-1 - pmod(xxhash64(node), others) as int)").alias("lo"), F.lit(1).alias("side"))
+    inside = labelled.join(more, "unit").select("unit", "node", F.col("block").alias("hi"), F.expr("explode(sequence(-others, -1))").alias("lo"), F.lit(0).alias("side"))
+    again = outside.unionByName(inside).hint("merge").join(contents, "node")
+    rest = cut(_confirmed(again, hashes_of, share).where("a != b"), f"{name}-rest")
+    known = first.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = cut(connected_components(known.unionByName(rest), f"{name}-true"), f"{name}-components")
+    for spent in (first, labelled, rest):
+        discard(spent)
+    return found

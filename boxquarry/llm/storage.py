@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def discard(frame: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs: it does so once the driver's collector has found their plans unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucketed(frame: DataFrame, key: str, name: str) -> DataFrame:
     """Like ``cut``, as a table bucketed by ``key``: later joins on it don't shuffle these rows."""
     spark = frame.sparkSession
@@ -53,6 +60,15 @@ def bucketed(frame: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def drop_bucketed(frame: DataFrame) -> None:
+    """Drop a table that ``bucketed`` has written, and its files, once nothing reads it any more."""
+    spark, files = frame.sparkSession, frame.inputFiles()
+    name = files[0].rsplit("/", 2)[1].replace("-", "_") if files else None
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark.read.schema(frame.schema).parquet(files[0].rsplit("/", 1)[0]))
+
+
 def free_name(frame: DataFrame, wanted: str) -> str:
     """A column name like ``wanted`` that the frame doesn't have, in any case of letters."""
     taken = {c.lower() for c in frame.columns}

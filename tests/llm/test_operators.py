@@ -305,7 +305,7 @@ def test_line_dedup_against_all_pairs(spark):
 
     for x in distinct:
         for y in distinct:
-            if x < y and min(len(x), len(y)) >= 20 and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+            if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
                 parent[root(y)] = root(x)
     keep = {}
     for d, n, x in places:
