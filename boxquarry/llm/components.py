@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star.
 
-Each round is two groupBys with partial aggregation and two joins on a node.  Both sides of the joins are dealt out before
-them, so that Spark may split a node with very many links.  A round's links are written to the shared folder.
+Each round is two groupBys with partial aggregation and two joins on a node, which Spark may split where a node
+has very many links.  A round's links are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from boxquarry.llm.storage import cut, discard
 
 
+def dealt_join(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the row of ``one`` that has their key, by a merge join.
+
+    The hash as a second key makes Spark deal out both sides for this join, even where ``one`` is an aggregate by the key: only
+    then may it split a key with very many rows.
+    """
+    return rows.withColumn("_h", F.hash(key)).join(one.withColumn("_h", F.hash(key)).hint("merge"), [key, "_h"]).drop("_h")
+
+
 def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
     """Each link (a, b) with ``m`` of its a."""
-    return links.join(least.repartition("a").hint("merge"), "a")
+    return dealt_join(links, least, "a")
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -203,8 +203,8 @@ def _alike(runs: np.ndarray, sketches: np.ndarray, apart: int) -> np.ndarray:
 def bucket_units(packed: DataFrame, splits: Splits, apart: int, large: int = 4096) -> DataFrame:
     """(unit, seq): within each bucket, units of two or more sets that a chain of alike sketches connects.
 
-    A unit is known by the sum of its members' hashes, so the same unit of several buckets is one.  A bucket that goes on in other ranges, or of
-    more than ``large`` sets, is one unit as a whole, known by its key.  A task holds one range of entries.
+    A unit is known by its first member, so the parts of one cluster that share buckets are mostly one.  A bucket that goes on in other ranges,
+    or of more than ``large`` sets, is one unit as a whole, known by its key.  A task holds one range of entries.
     """
     spark = packed.sparkSession
 
@@ -233,20 +233,16 @@ def bucket_units(packed: DataFrame, splits: Splits, apart: int, large: int = 409
         names = {int(np.uint32(k & 0xFFFFFFFF)): int(k) for k in shared.tolist()}
         for k in np.unique(keys[whole]).tolist():
             at = np.flatnonzero(keys == k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), names.get(k, part << 32 | k))), pa.array(seqs[at])], schema=_UNIT)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1 - abs(names.get(k, part << 32 | k)) // 2)), pa.array(seqs[at])], schema=_UNIT)
         seqs, bits, runs = seqs[~whole], bits[~whole], runs[~whole]
         label = _alike(runs, bits, apart)
         order = np.argsort(label, kind="stable")
         label, seqs = label[order], seqs[order]
         if len(label):
             starts = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
-            units = np.add.reduceat(mix(seqs.view(np.uint64)), starts).view(np.int64)
             counts = np.diff(starts, append=len(label))
-            _, once = np.unique(units, return_index=True)
-            taken = np.zeros(len(units), dtype=bool)
-            taken[once] = True
-            keep = np.repeat(taken & (counts > 1), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(units, counts)[keep]), pa.array(seqs[keep])], schema=_UNIT)
+            keep = np.repeat(counts > 1, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.minimum.reduceat(seqs, starts), counts)[keep]), pa.array(seqs[keep])], schema=_UNIT)
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return packed.repartitionById(ranges, F.col("part")).mapInArrow(run, "unit long, seq long").distinct()
@@ -274,7 +270,8 @@ def true_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
         return np.zeros((0, 2), dtype=np.int64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        at = np.searchsorted(sets[0], sets[1]) if sizes.all() else np.zeros(0, dtype=np.int64)
+        both = int((sets[0][np.minimum(at, sizes[0] - 1)] == sets[1]).sum()) if len(at) else 0
         apart = side is None or side[0] != side[1]
         good = apart and sizes.all() and of * both >= share * (sizes.sum() - both)
         return np.array([[nodes[0], nodes[1]]] if good else [], dtype=np.int64).reshape(-1, 2)
