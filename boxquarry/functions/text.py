@@ -69,3 +69,15 @@ def fingerprint(order: Sequence[str], value: str) -> Column:
     """SHA-256 of a group's values in this order, one a line; the order counts."""
     held = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("v"))))
     return F.sha2(F.array_join(F.transform(held, lambda x: x["v"]), "\n"), 256)
+
+
+def resolved(path: str, root: str) -> Column:
+    """A path below ``root``, unless it is absolute or has a scheme."""
+    p = F.col(path)
+    return F.when(p.startswith("/") | p.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), p).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), p))
+
+
+def csv_cell(value: Column) -> Column:
+    """A CSV cell: quoted if it holds a comma, a quote or a line end."""
+    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(value.rlike('[,"\\r\\n]'), quoted).otherwise(value)

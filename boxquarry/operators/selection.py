@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from boxquarry.sources.scratch import cut
+
 
 def hash_order(seed: str, *keys: str) -> Column:
     """A fixed pseudo-random order: SHA-256 of the seed and the keys."""
@@ -30,9 +32,9 @@ def spread(rows: DataFrame, by: Sequence[str], order: Sequence[Column], count: i
 
     Step i of k among n rows is row round(i * (n - 1) / (k - 1)), halves to even.
     """
-    numbered = rows.withColumns({"_at": F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1, "_n": F.count("*").over(W.partitionBy(*by))})
+    numbered = number_in_groups(rows, by, order, "_at", "_n")
     at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(max(count - 1, 1)), 0).cast("long"))
-    return numbered.where((F.col("_n") <= count) | F.array_contains(at, F.col("_at").cast("long"))).drop("_at", "_n")
+    return numbered.where((F.col("_n") <= count) | F.array_contains(at, F.col("_at").cast("long"))).select(*rows.columns)
 
 
 def first_of_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -55,16 +57,25 @@ def cycle_join(left: DataFrame, right: DataFrame, left_order: Sequence[Column],
 
 
 def number_rows(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``rows`` numbered from 0 in this total order: sorted by range partitions, with each partition's rows counted first."""
-    keys = [c.alias(f"_o{k}") for k, c in enumerate(order)]
-    dealt = rows.select("*", *keys)
+    """``rows`` numbered from 0 in this total order: sorted by range partitions and written, so that places in a partition are fixed, then each partition's rows are counted."""
     names = [f"_o{k}" for k in range(len(order))]
-    parts = dealt.repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_local", F.row_number().over(W.partitionBy("_part").orderBy(*names)))
+    dealt = rows.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)]).repartitionByRange(*names).sortWithinPartitions(*names)
+    placed = cut(dealt.drop(*names).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
     # one row for each partition
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")
-    return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_local") - 1).drop("_part", "_local", "_before", *names)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+
+
+def number_in_groups(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, size: str) -> DataFrame:
+    """``rows`` numbered from 0 within each group in this order, with the group's ``size``; no group is held by one task.
+
+    Nulls in ``by`` form no group and go.
+    """
+    numbered = number_rows(rows, [*[F.col(c) for c in by], *order], "_all")
+    starts = numbered.groupBy(*by).agg(F.min("_all").alias("_start"), F.count("*").alias(size))
+    return numbered.join(starts, list(by)).withColumn(name, F.col("_all") - F.col("_start")).drop("_all", "_start")
 
 
 def apportion(weights: DataFrame, total: int, name: str, weight: str) -> DataFrame:
@@ -75,3 +86,10 @@ def apportion(weights: DataFrame, total: int, name: str, weight: str) -> DataFra
     seats = weights.withColumn("_seat", F.explode(F.sequence(F.lit(0), F.lit(total - 1)))).withColumn("_quotient", F.col(weight) / (F.col("_seat") + 0.5))
     won = seats.orderBy(F.desc("_quotient"), name, "_seat").limit(total).groupBy(name).agg(F.count("*").alias("seats"))
     return weights.select(name, weight).join(won, name, "left").fillna(0, ["seats"])
+
+
+def exact_sample(rows: DataFrame, order: Sequence[Column], count: int) -> DataFrame:
+    """The first ``count`` rows in this order; a table with fewer raises when it is read."""
+    drawn = rows.orderBy(*order).limit(count)
+    enough = drawn.agg(F.assert_true(F.count("*") == count, F.lit(f"fewer than {count} rows")).alias("_ok"))
+    return drawn.crossJoin(F.broadcast(enough)).where("_ok is null").drop("_ok")

@@ -103,10 +103,10 @@ CTES = {
   640 + 64 * (o_custkey % 4) AS width, 480 + 48 * (o_custkey % 3) AS height FROM orders)""",
     "lines": """lines AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS rn,
   l_partkey AS p, l_suppkey AS s, l_partkey % 400 AS x1, l_partkey * 7 % 300 AS y1, 20 + 3 * l_quantity::BIGINT AS w, 20 + 2 * l_quantity::BIGINT AS h FROM lineitem)""",
-    "gt": "gt AS (SELECT image, (rn - 1) // 2 AS label_index, s % 13 AS class_id, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM lines WHERE rn % 2 = 1)",
+    "gt": "gt AS MATERIALIZED (SELECT image, (rn - 1) // 2 AS label_index, s % 13 AS class_id, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM lines WHERE rn % 2 = 1)",
     "preds": """copies AS (SELECT *, CASE WHEN c = 2 THEN 0 ELSE p % 7 * 2 + c * 5 END AS dx, CASE WHEN c = 2 THEN 0 ELSE p % 5 END AS dy FROM lines, (VALUES (0), (1), (2)) v(c)
   WHERE CASE c WHEN 0 THEN rn % 2 = 1 AND p % 5 <> 0 WHEN 1 THEN rn % 2 = 1 AND p % 4 = 0 ELSE rn % 2 = 0 END),
-preds AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY rn, c) - 1 AS pred_index, CASE WHEN p % 11 = 0 AND c < 2 THEN (s + 1) % 13 ELSE s % 13 END AS class_id,
+preds AS MATERIALIZED (SELECT image, row_number() OVER (PARTITION BY image ORDER BY rn, c) - 1 AS pred_index, CASE WHEN p % 11 = 0 AND c < 2 THEN (s + 1) % 13 ELSE s % 13 END AS class_id,
   (p * (1 + 2 * c) % 1000) / 1000::DOUBLE AS confidence, x1 + dx AS x1, y1 + dy AS y1, x1 + dx + w AS x2, y1 + dy + h AS y2, s % 14 AS gate_class, (s * 37 % 100) / 100::DOUBLE AS gate_conf FROM copies)""",
 }
 

@@ -17,9 +17,9 @@ _TAKE = "lambda acc, x: CASE WHEN list_contains(acc, x[1]) OR list_contains(acc,
 def _match_sql(preds: str = "preds", keys: str = "p.image", on: str = "p.image = l.image AND p.class_id = l.class_id", thr: float = 0.5, name: str = "m", order: str = "p.confidence DESC, p.pred_index, iou DESC, l.label_index") -> str:
     """SQL that folds candidates in order into matches (keys, pred_index, label_index)."""
     names = ", ".join(k.split(".")[-1] for k in keys.split(", "))
-    return f"""{name}_c AS (SELECT {keys}, p.pred_index, l.label_index, p.confidence, {sql_iou("p", "l")} AS iou FROM {preds} p JOIN gt l ON {on}),
+    return f"""{name}_c AS MATERIALIZED (SELECT {keys}, p.pred_index, l.label_index, p.confidence, {sql_iou("p", "l")} AS iou FROM {preds} p JOIN gt l ON {on}),
 {name}_f AS (SELECT {names}, list_reduce(list([pred_index, -1 - label_index] ORDER BY {order.replace("p.", "").replace("l.", "")}), {_TAKE}) AS a FROM {name}_c WHERE iou > 0 AND iou >= {thr} GROUP BY {names}),
-{name} AS (SELECT {names}, a[i] AS pred_index, -1 - a[i + 1] AS label_index FROM (SELECT {names}, a, unnest(range(1, len(a) + 1, 2)) AS i FROM {name}_f))"""
+{name} AS MATERIALIZED (SELECT {names}, a[i] AS pred_index, -1 - a[i + 1] AS label_index FROM (SELECT {names}, a, unnest(range(1, len(a) + 1, 2)) AS i FROM {name}_f))"""
 
 
 _OUTCOMES = """o AS (SELECT l.image, l.class_id, CASE WHEN m.image IS NULL THEN 'fn' ELSE 'tp' END AS kind FROM gt l LEFT JOIN m ON m.image = l.image AND m.label_index = l.label_index

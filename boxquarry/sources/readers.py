@@ -46,7 +46,7 @@ def parse_labels(lines: DataFrame, classes: int, fields: int = 5, mode: str = "r
     parts = F.split(F.trim("value"), r"\s+")
     number = F.element_at(parts, 1)
     class_id = F.floor(number.try_cast("double")).cast("int") if whole_float_class else F.when(number.rlike(r"^[+-]?\d+$"), number.try_cast("int"))
-    out = lines.where(F.trim("value") != "").select("file", "line_no", class_id.alias("class_id"), F.transform(F.slice(parts, 2, 1000), lambda v: v.try_cast("double")).alias("values"), F.size(parts).alias("_n"))
+    out = lines.where(F.trim("value") != "").select("file", "line_no", class_id.alias("class_id"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda v: v.try_cast("double")).alias("values"), F.size(parts).alias("_n"))
     problem = (
         F.when(F.col("_n") != fields, "wrong_number_of_fields")
         .when(F.col("class_id").isNull(), "class_is_no_number")
@@ -82,9 +82,9 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def report(spark: SparkSession, path: str, schema: T.StructType | str, tag: str) -> DataFrame:
-    """A JSON report of one ``schema`` tag; another tag raises when it is read."""
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+def report(spark: SparkSession, path: str, schema: T.StructType | str, tag: str, multi_line: bool = True) -> DataFrame:
+    """JSON reports of one ``schema`` tag, one a file or one a line; another tag raises when it is read."""
+    rows = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).option("mode", "FAILFAST").json(path)
     right = F.assert_true(F.col("schema") == tag, F.concat(F.lit("another schema: "), F.coalesce("schema", F.lit("none"))))
     return rows.where(right.isNull())
 
@@ -103,9 +103,9 @@ PROPOSALS = """schema string, names map<string,string>, match_iou double, rows a
 predictions:array<struct<class_id:int,confidence:double,xyxy:array<double>,area_ratio:double,gate_class:string,gate_conf:double>>>>"""
 
 
-def proposals(spark: SparkSession, path: str, tag: str) -> tuple[DataFrame, DataFrame]:
+def proposals(spark: SparkSession, path: str, tag: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Labels and predictions of a proposal document, numbered within their image."""
-    rows = report(spark, path, PROPOSALS, tag).select(F.inline("rows"))
+    rows = report(spark, path, PROPOSALS, tag, multi_line).select(F.inline("rows"))
     corners = [F.col("x.xyxy")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]
     labels = rows.select("image", "source_group", F.posexplode("labels").alias("label_index", "x")).select("image", "source_group", "label_index", "x.class_id", *corners)
     preds = rows.select("image", "source_group", F.posexplode("predictions").alias("pred_index", "x")).select("image", "source_group", "pred_index", "x.class_id", "x.confidence", *corners, "x.gate_class", "x.gate_conf")
@@ -115,3 +115,10 @@ def proposals(spark: SparkSession, path: str, tag: str) -> tuple[DataFrame, Data
 def require(rows: DataFrame, condition: Column, message: str) -> DataFrame:
     """``rows``, raising when one is read that doesn't meet the condition."""
     return rows.where(F.assert_true(condition, F.lit(message)).isNull())
+
+
+def latest_run(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """The manifest of the run whose folder ``key=name`` has the largest name."""
+    runs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder).select("path")
+    last = runs.agg(F.max(F.regexp_extract("path", f"/({key}=[^/]+)/", 1)).alias("name")).first()["name"]
+    return manifest(spark, f"{folder}/{last}")

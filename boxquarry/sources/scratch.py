@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -21,3 +21,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
         top = _OWN["dir"]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(frame: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: what follows sees one version of them and needs no work before this again."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
