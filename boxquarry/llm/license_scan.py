@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxquarry.llm.arrow_batches import byte_slices
+from boxquarry.llm.licence_texts import FULL
 from boxquarry.llm.suffix_automaton import SuffixAutomaton, item_words
 from boxquarry.llm.text_hashing import ALNUM_WORDS, word_hashes
 
@@ -21,8 +22,8 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Publicly known licence notices and their labels.
-TEMPLATES = [
+# Short publicly known notices and their labels.
+NOTICES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("mit", "Released under the MIT License"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -41,6 +42,8 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
+TEMPLATES = [*NOTICES, *FULL]
+
 
 class LicenceIndex:
     """The automaton of phrases and templates; a match counts from ``least`` words on."""
@@ -82,22 +85,47 @@ class LicenceIndex:
         return phrases, matches
 
     def chains(self, matches: list[tuple[int, int, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
-        """For each template, spans (start, end, covered template words) of matches that follow one another closely in both texts."""
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        by: dict[int, list[tuple[int, int, int]]] = {}
+        """For each template, spans (start, end, covered template words) of its best chains of matches.
+
+        Matches of a chain rise in both texts and leave at most ``gap`` words between them in the document.  Dynamic
+        programming finds the chain that covers most template words up to each match; of those with one first match the fullest is a span.
+        """
+        by: dict[int, set[tuple[int, int, int]]] = {}
         for start, end, template, begin in matches:
-            by.setdefault(template, []).append((start, end, begin))
+            by.setdefault(template, set()).add((end, start, begin))
+        out: dict[int, list[tuple[int, int, int]]] = {}
         for template, found in by.items():
-            spans: list[list[int]] = []
-            for start, end, begin in sorted(found):
-                done = begin + end - start
-                if spans and start <= spans[-1][1] + self.gap and begin >= spans[-1][3] - (spans[-1][1] - start if start < spans[-1][1] else 0) and end > spans[-1][1]:
-                    span = spans[-1]
-                    span[2] += done - max(begin, span[3])
-                    span[1], span[3] = end, done
-                else:
-                    spans.append([start, end, end - start, done])
-            out[template] = [(s, e, n) for s, e, n, _ in spans]
+            order, best, root = sorted(found), [], []
+            for i, (end, start, begin) in enumerate(order):
+                most, first = end - start, i
+                for j in range(i - 1, -1, -1):
+                    before, since, at = order[j]
+                    if before < start - self.gap:
+                        break
+                    # what the earlier match has of this one's words goes to the earlier
+                    common = max(0, before - start)
+                    done = at + before - since
+                    if before < end and since < start and begin + common >= done and best[j] + end - start - common > most:
+                        most, first = best[j] + end - start - common, root[j]
+                best.append(most)
+                root.append(first)
+            fullest: dict[int, int] = {}
+            for i, first in enumerate(root):
+                if first not in fullest or best[i] > best[fullest[first]]:
+                    fullest[first] = i
+            out[template] = sorted((order[r][1], order[i][0], best[i]) for r, i in fullest.items())
+        return out
+
+
+    def spans(self, matches: list[tuple[int, int, int, int]]) -> list[dict]:
+        """Chains over enough of their template, without those inside a span of another label that covers more words."""
+        found = [(start, -end, -covered, self.labels[t], min(1.0, covered / self.sizes[t])) for t, chained in self.chains(matches).items() for start, end, covered in chained if covered >= self.share * self.sizes[t]]
+        out, around = [], (0, 0, "")
+        for start, end, covered, label, share in sorted(found):
+            if -end <= around[0] and -covered < around[1] and label != around[2]:
+                continue
+            around = max(around, (-end, -covered, label))
+            out.append({"start": start, "end": -end, "label": label, "coverage": share})
         return out
 
 
@@ -108,7 +136,8 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of ``docs``: (id, n_words, bases, spans).
 
     bases: each place where a phrase's words stand consecutively, overlapping ones too.  spans: covered template spans
-    in words, with the label and the share of the template's words that the span covers, if over three quarters.
+    in words, with the label and the share of the template's words that the span covers, if three quarters or more; a span
+    inside one of another label that covers more words goes.
     Null and empty texts have no words; repeated rows are each answered; extra columns are ignored.
     """
     index = LicenceIndex(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
@@ -130,10 +159,7 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         matches.setdefault(row, []).extend(found)
                 spans: list[list[dict]] = [[] for _ in range(len(part))]
                 for row, found in matches.items():
-                    for template, chained in block.chains(found).items():
-                        for start, end, covered in chained:
-                            if (share := min(1.0, covered / block.sizes[template])) >= block.share:
-                                spans[row].append({"start": start, "end": end, "label": block.labels[template], "coverage": share})
+                    spans[row] = block.spans(found)
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "n_words": pa.array(np.diff(bounds), pa.int64()), "bases": pa.array(bases, _ARROW["bases"]), "spans": pa.array(spans, _ARROW["spans"])})
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -117,6 +117,27 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM r GROUP BY x) c ON c.x = d.doc_id
 """
 
+OP9_SQL = rf"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '\A([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(rest, ''), '\A[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(name, start, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+f AS (SELECT page_id, arg_max(name || start, (length(name || start), name)) AS rule, arg_max(verdict, (length(name || start), name)) AS verdict
+  FROM h JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id),
+t AS (SELECT h.*, rule, verdict, list_filter(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/'), lambda x: x <> '') AS segs FROM h LEFT JOIN f USING (page_id)),
+tree AS (SELECT host, segs, count(*) AS n, count(*) FILTER (verdict = 'block') AS b, count(verdict) AS l FROM t GROUP BY ALL),
+br AS (SELECT host, segs, n, b, l, k, segs[1:k - 1] AS parent, segs[k] AS seg FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS k FROM tree)),
+c AS (SELECT host, parent, seg, sum(n) AS n, sum(b) AS b, sum(l) AS l FROM br GROUP BY ALL),
+a AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS an, sum(b) OVER w AS ab, sum(l) OVER w AS al FROM c WINDOW w AS (PARTITION BY host, parent)),
+nm AS (SELECT host, parent, seg, CASE WHEN contains(seg, '#') OR (kids > 20 AND n < 0.1::DOUBLE * an) OR (l >= 5 AND al - l >= 5
+   AND abs((b + 0.5::DOUBLE) / (l + 1) - (ab - b + 0.5::DOUBLE) / (al - l + 1)) < 2.0::DOUBLE * sqrt((ab + 1.0::DOUBLE) / (al + 2.0::DOUBLE) * (1 - (ab + 1.0::DOUBLE) / (al + 2.0::DOUBLE)) * (1.0::DOUBLE / (l + 1) + 1.0::DOUBLE / (al - l + 1))))
+  THEN '*' ELSE seg END AS name FROM a),
+tp AS (SELECT br.host, segs, '/' || string_agg(name, '/' ORDER BY k) AS template FROM br JOIN nm ON nm.host = br.host AND nm.parent = br.parent AND nm.seg = br.seg GROUP BY ALL),
+x AS (SELECT tree.*, coalesce(template, '') AS template FROM tree LEFT JOIN tp ON tp.host = tree.host AND tp.segs = tree.segs),
+q AS (SELECT host, template, (sum(b) + 1.0::DOUBLE) / (sum(l) + 2.0::DOUBLE) AS purity FROM x GROUP BY ALL)
+SELECT t.page_id, t.host, t.path, t.rule, coalesce(t.verdict, CASE WHEN purity >= 0.9 THEN 'block' ELSE 'allow' END) AS verdict, t.host || x.template AS template, purity
+FROM t JOIN x ON x.host = t.host AND x.segs = t.segs JOIN q ON q.host = x.host AND q.template = x.template
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -134,4 +155,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}

@@ -338,6 +338,46 @@ def test_registered_bands_overlook_no_pair_at_the_limit(spark):
     assert [r for r in got if r["keep_doc_id"] != r["doc_id"] // 2 * 2] == []
 
 
+def test_full_licences_are_told_apart(spark):
+    from boxquarry.llm.licence_texts import FULL
+    from boxquarry.llm.license_scan import license_report, license_spans
+
+    texts = [(k, f"some words before {text} and some after") for k, (_, text) in enumerate(FULL)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in rows_of(license_report(frame))}
+    for k, (label, _) in enumerate(FULL):
+        assert label in got[k]
+    name = {label: got[k] for k, (label, _) in enumerate(FULL)}
+    assert name["bsd-3"] == ["bsd-3"] and name["isc"] == ["isc"] and name["mit"] == ["mit"] and "gpl" not in name["mpl"]
+    spans = {r["doc_id"]: r["spans"] for r in rows_of(license_spans(frame))}
+    assert [(s["start"], s["end"], s["label"], s["coverage"]) for s in spans[0] if s["end"] - s["start"] > 100] == [(3, 3 + len(alnum(FULL[0][1])), "mit", 1.0)]
+
+
+def test_licence_chains_are_the_best_ones():
+    from itertools import combinations
+
+    from boxquarry.llm.license_scan import LicenceIndex
+
+    index, rnd = LicenceIndex({}, [("x", " ".join(f"w{k}" for k in range(40)))]), random.Random(5)
+    for _ in range(150):
+        found = []
+        for _ in range(rnd.randint(1, 6)):
+            start, begin, size = rnd.randint(0, 25), rnd.randint(0, 25), rnd.randint(4, 9)
+            found.append((start, start + size, 0, begin))
+        best = 0
+        for n in range(1, len(set(found)) + 1):
+            for some in combinations(sorted(set(found), key=lambda m: (m[1], m[0], m[3])), n):
+                total = some[0][1] - some[0][0]
+                for x, y in zip(some, some[1:], strict=False):
+                    common = max(0, x[1] - y[0])
+                    if not (x[1] < y[1] and x[0] < y[0] and x[1] >= y[0] - index.gap and y[3] + common >= x[3] + x[1] - x[0]):
+                        break
+                    total += y[1] - y[0] - common
+                else:
+                    best = max(best, total)
+        assert max(c for *_, c in index.chains(found)[0]) == best
+
+
 def test_warc_round_trip(spark, tmp_path):
     from boxquarry.llm.warc import archive_pages, fetch_records, read_bundles, write_bundles
 
