@@ -43,6 +43,23 @@ def greedy_pairs(candidates: DataFrame, order: Sequence[Column], keys: Sequence[
     return held.select(*keys, F.inline(taken))
 
 
+def match_in_arrays(preds: Column, labels: Column, threshold: float, match_classes: bool = True) -> Column:
+    """The matches of ``match_predictions`` as an array, from arrays of an image's predictions and labels; null arrays are empty."""
+
+    def met(p: Column) -> Column:
+        pairs = F.transform(F.coalesce(labels, F.array()), lambda x: F.struct((-p["confidence"]).alias("o0"), p["pred_index"].alias("pred_index"), (-iou(box_in(p), box_in(x))).alias("o2"), x["label_index"].alias("label_index"), x["class_id"].alias("k")))
+        fits = lambda c: (c["o2"] < 0) & (c["o2"] <= -threshold) & ((c["k"] == p["class_id"]) if match_classes else F.lit(True))
+        return F.filter(pairs, fits)
+
+    ordered = F.array_sort(F.flatten(F.transform(F.coalesce(preds, F.array()), met)))
+
+    def take(taken: Column, x: Column) -> Column:
+        used = F.exists(taken, lambda t: (t["pred_index"] == x["pred_index"]) | (t["label_index"] == x["label_index"]))
+        return F.when(used, taken).otherwise(F.concat(taken, F.array(F.struct(x["pred_index"].alias("pred_index"), x["label_index"].alias("label_index"), (-x["o2"]).alias("iou")))))
+
+    return F.aggregate(ordered, F.array().cast(_PAIR), take)
+
+
 def match_predictions(preds: DataFrame, labels: DataFrame, threshold: float = 0.5, match_classes: bool = True, keys: Sequence[str] = ("image",)) -> DataFrame:
     """One-to-one matches (image, pred_index, label_index, iou).
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxquarry.operators.matching import match_predictions
+from boxquarry.operators.matching import match_in_arrays
 
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
@@ -38,12 +38,20 @@ def reclassify(preds: DataFrame, least: float, blocked: Sequence[int] = ()) -> D
 
 
 def outcomes(preds: DataFrame, labels: DataFrame, threshold: float = 0.5, match_classes: bool = True, keys: Sequence[str] = ("image",)) -> DataFrame:
-    """One row for each label and for each prediction without one: (image, class_id, kind), kind being tp, fn or fp."""
-    keys = list(keys)
-    found = match_predictions(preds, labels, threshold, match_classes, keys)
-    label_rows = labels.join(found.select(*keys, "label_index", F.lit(True).alias("hit")), [*keys, "label_index"], "left").select(*keys, "class_id", F.when(F.col("hit"), "tp").otherwise("fn").alias("kind"))
-    extra = preds.join(found.select(*keys, "pred_index"), [*keys, "pred_index"], "left_anti").select(*keys, "class_id", F.lit("fp").alias("kind"))
-    return label_rows.unionByName(extra)
+    """One row for each label and for each prediction without one: (keys, class_id, kind), kind being tp, fn or fp.
+
+    Labels and predictions of an image meet once, and the match and its outcome are one fold: a shuffle of each side by its image at most.
+    """
+    keys, corners = list(keys), ("x1", "y1", "x2", "y2")
+    held = lambda rows, name, *own: rows.groupBy(*keys).agg(F.collect_list(F.struct(*own, "class_id", *corners)).alias(name))
+    both = held(labels, "_l", "label_index").join(held(preds, "_p", "pred_index", "confidence"), keys, "full_outer")
+    taken, ls, ps = match_in_arrays(F.col("_p"), F.col("_l"), threshold, match_classes), F.coalesce("_l", F.array()), F.coalesce("_p", F.array())
+    both = both.select(*keys, ls.alias("_l"), ps.alias("_p"), taken.alias("_m"))
+    has = lambda name, x: F.exists("_m", lambda m: m[name] == x[name])
+    row = lambda x, kind: F.struct(x["class_id"].alias("class_id"), kind.alias("kind"))
+    of_labels = F.transform("_l", lambda x: row(x, F.when(has("label_index", x), F.lit("tp")).otherwise(F.lit("fn"))))
+    extra = F.transform(F.filter("_p", lambda x: ~has("pred_index", x)), lambda x: row(x, F.lit("fp")))
+    return both.select(*keys, F.inline(F.concat(of_labels, extra)))
 
 
 def tally(rows: DataFrame, by: Sequence[str], empty: float | None = None) -> DataFrame:

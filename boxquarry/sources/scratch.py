@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,9 +14,14 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the session's spark.checkpoint.dir, or under a temporary folder where it names none."""
+    """A new path under the session's spark.checkpoint.dir.
+
+    Where it names none and all tasks run in this process, under a temporary folder; executors elsewhere wouldn't see that.
+    """
     top = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = tempfile.mkdtemp(prefix="boxquarry-")
             atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
