@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="boxquarry-")
-        atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
-    return _OWN["dir"]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from boxquarry.sources.scratch import scratch_path as new_path
 
 
 def cut(frame: DataFrame, name: str) -> DataFrame:
