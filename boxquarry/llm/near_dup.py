@@ -44,7 +44,7 @@ class Minima:
 
     def signatures(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Signatures of many sets at once, from 32-bit hashes one set after another; members may repeat, no set is empty."""
-        small, a = (hashes >> np.uint64(32)).astype(np.uint32), self.a.astype(np.uint32) | np.uint32(1)
+        small, a = hashes if hashes.dtype == np.uint32 else (hashes >> np.uint64(32)).astype(np.uint32), self.a.astype(np.uint32) | np.uint32(1)
         out, times = np.empty((len(a), len(starts)), dtype=np.uint32), np.empty_like(small)
         for k in range(len(a)):
             np.multiply(small, a[k], out=times)
@@ -259,6 +259,23 @@ def bucket_links(keyed: DataFrame, name: str) -> DataFrame:
     return found.where("not seam").select("a", "b").unionByName(across)
 
 
+def _few_links(nodes: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None, share: int, of: int) -> np.ndarray:
+    """``true_links`` of a few sets, pair by pair; a pair that is connected already isn't compared."""
+    group, kept, sizes = list(range(len(sets))), [], sizes.tolist()
+    for j in range(1, len(sets)):
+        for i in range(j):
+            small, large = min(sizes[i], sizes[j]), max(sizes[i], sizes[j])
+            if group[i] == group[j] or of * small < share * large or not small or (side is not None and side[i] == side[j]):
+                continue
+            at = np.searchsorted(sets[i], sets[j])
+            at[at == sizes[i]] = 0
+            both = int(np.count_nonzero(sets[i][at] == sets[j]))
+            if of * both >= share * (small + large - both):
+                kept.append((nodes[i], nodes[j]))
+                group = [group[i] if x == group[j] else x for x in group]
+    return np.array(kept, dtype=np.int64).reshape(-1, 2)
+
+
 def true_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, share: int, of: int = 100) -> np.ndarray:
     """Rows (a, b) of a spanning forest of all pairs with of * intersection >= share * union.
 
@@ -269,12 +286,8 @@ def true_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     if n < 2:
         return np.zeros((0, 2), dtype=np.int64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    if n == 2:
-        at = np.searchsorted(sets[0], sets[1]) if sizes.all() else np.zeros(0, dtype=np.int64)
-        both = int((sets[0][np.minimum(at, sizes[0] - 1)] == sets[1]).sum()) if len(at) else 0
-        apart = side is None or side[0] != side[1]
-        good = apart and sizes.all() and of * both >= share * (sizes.sum() - both)
-        return np.array([[nodes[0], nodes[1]]] if good else [], dtype=np.int64).reshape(-1, 2)
+    if n <= 8:
+        return _few_links(nodes, sets, sizes, side, share, of)
     owner = np.repeat(np.arange(n), sizes)
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
@@ -370,9 +383,9 @@ def similar_components(units: DataFrame, contents: DataFrame, hashes_of, share:
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # the first block meets itself and each other block
     meets = F.explode(F.expr("if(block = 0, sequence(0, blocks - 1), array(block))"))
-    # a merge join at every size: the units grow with the input, so a broadcast of them would only suit small inputs
-    # (contents in a table bucketed by node stay where they are)
-    held = placed.hint("merge").join(contents, "node").select("unit", F.lit(0).alias("lo"), meets.alias("hi"), F.col("block").alias("side"), "node", "content")
+    # a hash join of shuffled parts at every size: the units are a part of the nodes and a node is in few units, contents need no sort,
+    # and those in a table bucketed by node stay where they are
+    held = contents.join(placed.hint("shuffle_hash"), "node").select("unit", F.lit(0).alias("lo"), meets.alias("hi"), F.col("block").alias("side"), "node", "content")
     first = cut(connected_components(_confirmed(held, hashes_of, share), f"{name}-first"), f"{name}-first-components")
     # whoever is outside the largest component of a unit of several blocks meets all of it
     labelled = placed.where("blocks > 1").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -382,7 +395,7 @@ def similar_components(units: DataFrame, contents: DataFrame, hashes_of, share:
     more = outside.groupBy("unit").agg(F.ceil(F.count("*") / block).cast("int").alias("others"))
     outside = outside.join(more, "unit").select("unit", "node", F.expr("explode(sequence(0, blocks - 1))").alias("hi"), F.expr("cast(-1 - pmod(xxhash64(node), others) as int)").alias("lo"), F.lit(1).alias("side"))
     inside = labelled.join(more, "unit").select("unit", "node", F.col("block").alias("hi"), F.expr("explode(sequence(-others, -1))").alias("lo"), F.lit(0).alias("side"))
-    again = outside.unionByName(inside).hint("merge").join(contents, "node")
+    again = contents.join(outside.unionByName(inside).hint("shuffle_hash"), "node")
     rest = cut(_confirmed(again, hashes_of, share).where("a != b"), f"{name}-rest")
     known = first.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = cut(connected_components(known.unionByName(rest), f"{name}-true"), f"{name}-components")

@@ -65,6 +65,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser of 32-bit numbers."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def word_hashes(column: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text, A-Z lower-cased, and each text's bounds among them."""
     data, bounds = utf8_buffers(column)
