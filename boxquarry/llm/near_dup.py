@@ -304,11 +304,18 @@ def true_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray | Non
     keep = column >= 0
     owner, column = owner[keep], column[keep]
     width = min(2048, max(1, int(many.sum())))
+    if side is not None:
+        one, two = np.flatnonzero(side == side[0]), np.flatnonzero(side != side[0])
     for at in range(0, int(many.sum()), width):
         lo, hi = np.searchsorted(column, (at, at + width))
         block = np.zeros((n, width), dtype=np.float32)
         block[owner[lo:hi], column[lo:hi] - at] = 1
-        common += np.rint(block @ block.T).astype(np.int64)
+        if side is None:
+            common += np.rint(block @ block.T).astype(np.int64)
+        else:
+            across = np.rint(block[one] @ block[two].T).astype(np.int64)
+            common[np.ix_(one, two)] += across
+            common[np.ix_(two, one)] += across.T
     hit = of * common >= share * (sizes[:, None] + sizes[None, :] - common)
     hit &= (sizes > 0)[:, None] & (sizes > 0)[None, :]
     if side is not None:
