@@ -91,7 +91,7 @@ def a10_segments_to_boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.select("image", "label_index", "class_id", F.array_min(xs).alias("bx1"), F.array_min(ys).alias("by1"), F.array_max(xs).alias("bx2"), F.array_max(ys).alias("by2"))
 
 
-@query("r15_polygon_stats", f"{_BASE} SELECT image, label_index, 5 AS points, round({sql_area('gt')} + 1.5 * (y2 - y1), 6) AS area, round(({sql_area('gt')} + 1.5 * (y2 - y1)) / ((x2 + 3 - x1) * (y2 - y1)), 6) AS filled FROM gt")
+@query("r15_polygon_stats", f"{_BASE} SELECT image, label_index, 5 AS points, round({sql_area('gt')} + 1.5::DOUBLE * (y2 - y1), 6) AS area, round(({sql_area('gt')} + 1.5::DOUBLE * (y2 - y1)) / ((x2 + 3 - x1) * (y2 - y1)), 6) AS filled FROM gt")
 def r15_polygon_stats(spark: SparkSession, d: str) -> DataFrame:
     """Corners, area and share of the bounding box of each outline."""
     ring = F.array(*[v.cast("double") for v in (F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1"), F.expr("x2 + 3"), F.expr("(y1 + y2) div 2"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y2"))])
