@@ -107,9 +107,19 @@ class Splits:
         order = np.lexsort((nodes, keys))
         at = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
         self.keys, self.nodes = keys[at], nodes[at]
+        # keys by their first 12 bits: the range of all keys of a cell, or -1 where a bound lies in it
+        lowest = np.arange(-2048, 2048, dtype=np.int64) << 52
+        below, upto = np.searchsorted(self.keys, lowest, "left"), np.searchsorted(self.keys, lowest + ((1 << 52) - 1), "right")
+        self.cells = np.where(below == upto, below, -1).astype(np.int32)
 
     def part(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """The range of each pair: how many bounds are smaller."""
+        out = self.cells[(keys >> 52) + 2048]
+        hard = np.flatnonzero(out < 0)
+        out[hard] = self._among(keys[hard], nodes[hard])
+        return out
+
+    def _among(self, keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         first = np.searchsorted(self.keys, keys, "left")
         out = first.astype(np.int32)
         if len(self.keys):
@@ -125,6 +135,8 @@ class Splits:
         return np.unique(self.keys[max(0, part - 1) : part + 1])
 
 
+#: Bytes of text that are hashed at once: work arrays of this size stay in a core's cache.
+AT_ONCE = 1 << 17
 _PACKED = "part int, base long, places binary, keys binary, sketches binary"
 _UNIT = pa.schema([("unit", pa.int64()), ("seq", pa.int64())])
 
@@ -140,7 +152,7 @@ def packed_keys(contents: DataFrame, total: int, sketch_of, bands: int) -> tuple
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in byte_slices(batch, "content", 1 << 18):
+            for piece in byte_slices(batch, "content", AT_ONCE):
                 keys = sketch_of(piece.column("content"))[0]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(piece.column("seq").to_numpy(), bands))], names=["key", "seq"])
 
@@ -163,7 +175,7 @@ def packed_keys(contents: DataFrame, total: int, sketch_of, bands: int) -> tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for piece in byte_slices(batch, "content", 1 << 18):
+            for piece in byte_slices(batch, "content", AT_ONCE):
                 seqs = piece.column("seq").to_numpy()
                 # numbers of one chunk follow one another, and lie within 2**16 after its first
                 for whole in np.split(np.arange(len(seqs)), np.flatnonzero(np.diff(seqs) != 1) + 1):
@@ -358,7 +370,7 @@ def _confirmed(held: DataFrame, hashes_of, share: int) -> DataFrame:
             return true_links(np.array(held_nodes), held_sets, None if key[1] == key[2] else np.array(held_sides), share)
 
         for batch in batches:
-            for part in byte_slices(batch, "content"):
+            for part in byte_slices(batch, "content", AT_ONCE):
                 keys = np.stack([part.column(c).to_numpy() for c in meetings], axis=1)
                 nodes, sides, sets = part.column("node").to_pylist(), part.column("side").to_pylist(), hashes_of(part.column("content"))
                 starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]).tolist()
