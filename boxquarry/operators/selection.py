@@ -56,16 +56,32 @@ def cycle_join(left: DataFrame, right: DataFrame, left_order: Sequence[Column],
     return a.withColumn("_j", F.pmod(F.col("_i"), F.lit(n))).join(b, "_j").drop("_i", "_j")
 
 
-def number_rows(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``rows`` numbered from 0 in this total order: sorted by range partitions and written, so that places in a partition are fixed, then each partition's rows are counted."""
+def _in_ranges(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``rows`` sorted by range partitions and written, so that each row's partition, ``_part``, and its place there, by ``_at``, are fixed."""
     names = [f"_o{k}" for k in range(len(order))]
     dealt = rows.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)]).repartitionByRange(*names).sortWithinPartitions(*names)
     placed = cut(dealt.drop(*names).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_at", 33)
+    return placed.withColumn("_part", F.shiftright("_at", 33))
+
+
+def number_rows(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``rows`` numbered from 0 in this total order: places in a range partition, after the counts of those before it."""
+    placed = _in_ranges(rows, order)
     # one row for each partition
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+
+
+def running_totals(rows: DataFrame, order: Sequence[Column], weight: str, name: str) -> DataFrame:
+    """``rows`` with the total of ``weight``, a whole number, over all rows before each in this total order; a task sums one range of rows."""
+    placed = _in_ranges(rows, order)
+    # one row for each partition
+    sums = placed.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_earlier"))
+    inside = F.sum(weight).over(W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    out = placed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_earlier") + F.col("_inside")).drop("_part", "_at", "_inside", "_earlier")
 
 
 def number_in_groups(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, size: str) -> DataFrame:

@@ -2,26 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxquarry.operators.selection import running_totals
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float], linear: bool = True) -> DataFrame:
+    """A row for each group with values: by, and under each name of ``shares`` the exact quantile at that share.
+
+    ``linear`` interpolates at place (n - 1) * share, as SQL's continuous percentile does; else it is the value at that place, rounded with
+    halves to even.  Equal values are counted before the shuffle and summed up by sorted ranges, so no task holds a group.  Null values
+    don't count; nulls in ``by`` are a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_count"))
+    placed = running_totals(counts, [*[F.col(c) for c in by], F.col("_v")], "_count", "_before")
+    groups = placed.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.min("_before").alias("_start"), F.sum("_count").alias("_total"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    joined = placed.join(groups, same) if by else placed.crossJoin(F.broadcast(groups))
+    after = F.col("_before") - F.col("_start") + F.col("_count")
+    first = lambda place: F.min(F.when(after > place, F.col("_v")))
+    found = []
+    for name, share in shares.items():
+        place = (F.col("_total") - 1) * F.lit(share)
+        if linear:
+            found += [first(F.floor(place)).alias(f"_lo_{name}"), first(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+        else:
+            found.append(first(F.bround(place, 0)).alias(name))
+    out = joined.groupBy(*by).agg(*found)
+    if not linear:
+        return out
+    return out.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n) for n in shares])
+
 
 def numeric_summary(rows: DataFrame, by: Sequence[str], columns: Sequence[str], digits: int = 6) -> DataFrame:
     """For each group and column: count, mean, sample deviation (null for one value), and linear 5th, 50th and 95th percentiles."""
     long = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])))
-    p = F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = long.groupBy(*by, "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("stdev"), p.alias("p"))
-    r = lambda c: F.round(c, digits)
-    return out.select(*by, "metric", "n", r("mean").alias("mean"), r("stdev").alias("stdev"), *[r(F.col("p")[k]).alias(n) for k, n in enumerate(("p05", "p50", "p95"))])
-
-
-def nearest_rank(value: str, share: float) -> Column:
-    """The sorted value at place round((n - 1) * share), halves to even; null without values."""
-    held = F.array_sort(F.collect_list(value))
-    at = F.bround((F.size(held) - 1) * F.lit(share), 0).cast("int") + 1
-    return F.when(F.size(held) > 0, F.element_at(held, F.greatest(at, F.lit(1))))
+    out = long.groupBy(*by, "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("stdev"))
+    names = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    found = with_quantiles(out, quantiles(long, [*by, "metric"], "v", names), [*by, "metric"])
+    return found.select(*by, "metric", "n", *[F.round(c, digits).alias(c) for c in ("mean", "stdev", *names)])
+
+
+def with_quantiles(groups: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``groups`` with the columns of ``found``, which has a row for each group at most; nulls in ``by`` match."""
+    right = found.withColumnsRenamed({c: f"_q_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return groups.join(right, same, "left").drop(*[f"_q_{c}" for c in by])
 
 
 def mean_delta(rows: DataFrame, by: Sequence[str], family: str, one: str, other: str, value: str, digits: int = 6) -> DataFrame:

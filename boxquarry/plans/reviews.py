@@ -285,8 +285,9 @@ def k5_cosine_to_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k12_quantile_block", "SELECT round(min(value), 6) AS least, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS most FROM events")
 def k12_quantile_block(spark: SparkSession, d: str) -> DataFrame:
-    q = a.table(spark, d, "events").agg(F.min("value").alias("a"), F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"), F.max("value").alias("z"))
-    return q.select(F.round("a", 6).alias("least"), *[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p05", "p50", "p95"))], F.round("z", 6).alias("most"))
+    names = {"least": 0.0, "p05": 0.05, "p50": 0.5, "p95": 0.95, "most": 1.0}
+    q = st.quantiles(a.table(spark, d, "events").select("value"), [], "value", names)
+    return q.select(*[F.round(n, 6).alias(n) for n in names])
 
 
 @query("l11_metadata_checks", "WITH x AS (SELECT 'brand' AS key, min(p_brand) AS v FROM part UNION ALL SELECT 'type', min(p_type) FROM part UNION ALL SELECT 'flag', NULL), y AS (SELECT 'brand' AS key, max(p_brand) AS v FROM part UNION ALL SELECT 'type', min(p_type) FROM part UNION ALL SELECT 'flag', NULL) SELECT key, x.v IS NOT DISTINCT FROM y.v AS passed FROM x JOIN y USING (key)")
@@ -313,9 +314,9 @@ def l15_distribution_gate(spark: SparkSession, d: str) -> DataFrame:
 @query("l28_quality_fractions", f"{_BASE}, r AS (SELECT {_SIZE} AS s FROM gt), c AS (SELECT quantile_cont(s::DOUBLE, 0.1) AS soft FROM r) SELECT round(avg((s < 900)::INT), 9) AS tiny, round(avg((s <= (SELECT soft FROM c))::INT), 9) AS soft, round(quantile_cont(s::DOUBLE, 0.05), 6) AS p05 FROM r")
 def l28_quality_fractions(spark: SparkSession, d: str) -> DataFrame:
     r = a.gt_boxes(spark, d).select(g.area(g.box()).alias("s"))
-    c = r.agg(F.percentile("s", F.lit(0.1)).alias("cut"))
+    c = st.quantiles(r, [], "s", {"cut": 0.1, "low": 0.05})
     share = lambda x: F.round(F.avg(x.cast("int")), 9)
-    return r.crossJoin(F.broadcast(c)).agg(share(F.col("s") < 900).alias("tiny"), share(F.col("s") <= F.col("cut")).alias("soft"), F.round(F.percentile("s", F.lit(0.05)), 6).alias("p05"))
+    return r.crossJoin(F.broadcast(c)).agg(share(F.col("s") < 900).alias("tiny"), share(F.col("s") <= F.col("cut")).alias("soft"), F.round(F.max("low"), 6).alias("p05"))
 
 
 # ---- audits ----

@@ -196,8 +196,9 @@ def f12_keeper_by_priority(spark: SparkSession, d: str) -> DataFrame:
 @query("f13_unique_ids", "WITH r AS (SELECT part.p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g') AS base FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM r) SELECT p_partkey, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS id FROM k")
 def f13_unique_ids(spark: SparkSession, d: str) -> DataFrame:
     r = a.table(spark, d, "part").select("p_partkey", F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]+", "_").alias("base"))
-    n = F.row_number().over(W.partitionBy("base").orderBy("p_partkey"))
-    return r.withColumn("n", n).select("p_partkey", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n").cast("string"))).alias("id"))
+    # a base name may have very many rows: numbered by ranges, not in one window
+    numbered = sel.number_in_groups(r, ["base"], [F.col("p_partkey")], "n", "size")
+    return numbered.select("p_partkey", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), (F.col("n") + 1).cast("string"))).alias("id"))
 
 
 @query("r33_progress_rows", "SELECT user_id, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id")

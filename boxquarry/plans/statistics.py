@@ -90,7 +90,7 @@ def g18_class_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("g19_nearest_rank", f"{_BASE}, r AS (SELECT class_id, list_sort(list((x2 - x1) * (y2 - y1))) AS v FROM gt GROUP BY 1) SELECT class_id, v[round_even((len(v) - 1) * 0.1::DOUBLE, 0)::BIGINT + 1] AS q10, v[round_even((len(v) - 1) * 0.5::DOUBLE, 0)::BIGINT + 1] AS q50, v[round_even((len(v) - 1) * 0.9::DOUBLE, 0)::BIGINT + 1] AS q90 FROM r")
 def g19_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     b = a.gt_boxes(spark, d).select("class_id", g.area(g.box()).alias("size"))
-    return b.groupBy("class_id").agg(*[st.nearest_rank("size", q).alias(f"q{round(100 * q)}") for q in (0.1, 0.5, 0.9)])
+    return st.quantiles(b, ["class_id"], "size", {"q10": 0.1, "q50": 0.5, "q90": 0.9}, linear=False)
 
 
 @query("g20_replicates", "WITH r AS (SELECT l_suppkey % 5 AS replicate, avg(l_discount) AS v FROM lineitem GROUP BY 1) SELECT count(*) AS n, round(avg(v), 9) AS mean, round(min(v), 9) AS least, round(max(v), 9) AS most, round(stddev_pop(v), 9) AS pstdev FROM r")
@@ -233,7 +233,9 @@ def l21_class_minimums(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r14_metadata_summary", "SELECT event_type, count(value) AS n, min(value) AS least, round(median(value), 6) AS median, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type")
 def r14_metadata_summary(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    e = a.table(spark, d, "events").select("event_type", "value")
+    plain = e.groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    return st.with_quantiles(plain, st.quantiles(e, ["event_type"], "value", {"median": 0.5}), ["event_type"]).withColumn("median", F.round("median", 6))
 
 
 @query("r11_role_source_recall", f"{_BASE}, h AS (SELECT i.split, i.source_group, count(gt.image) AS gt, count(p.image) AS hit FROM images i LEFT JOIN gt ON gt.image = i.image AND gt.class_id = 12 LEFT JOIN (SELECT DISTINCT image, class_id FROM preds) p ON p.image = gt.image AND p.class_id = gt.class_id GROUP BY ALL) SELECT split, source_group, gt, hit, round(coalesce(hit / nullif(gt, 0), 1.0::DOUBLE), 9) AS recall FROM h")
