@@ -57,6 +57,13 @@ def with_quantiles(groups: DataFrame, found: DataFrame, by: Sequence[str]) -> Da
     return groups.join(right, same, "left").drop(*[f"_q_{c}" for c in by])
 
 
+def nearest_rank(value: str, share: float) -> Column:
+    """The sorted value at place round((n - 1) * share), halves to even; null without values.  For small groups: one task holds a group's values."""
+    held = F.array_sort(F.collect_list(value))
+    at = F.bround((F.size(held) - 1) * F.lit(share), 0).cast("int") + 1
+    return F.when(F.size(held) > 0, F.element_at(held, F.greatest(at, F.lit(1))))
+
+
 def mean_delta(rows: DataFrame, by: Sequence[str], family: str, one: str, other: str, value: str, digits: int = 6) -> DataFrame:
     """Means of two families in each group, and their difference; null where a family has no rows."""
     mean = lambda f: F.avg(F.when(F.col(family) == f, F.col(value)))
