@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boxquarry.llm.decontaminate import contamination_report
 from boxquarry.llm.exact_dedup import exact_groups
+from boxquarry.llm.fill_middle import fill_in_middle, restore
 from boxquarry.llm.language_id import identify_languages
 from boxquarry.llm.license_scan import license_report
 from boxquarry.llm.line_dedup import line_components
@@ -70,6 +71,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(_read(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text, 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1_SQL = """
@@ -138,6 +145,17 @@ SELECT t.page_id, t.host, t.path, t.rule, coalesce(t.verdict, CASE WHEN purity >
 FROM t JOIN x ON x.host = t.host AND x.segs = t.segs JOIN q ON q.host = x.host AND q.template = x.template
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda p: ('0x' || substr(h, p, 8))::BIGINT) AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -151,8 +169,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_quality": op10_quality,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_bundles": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_warc_bundles": OP1_SQL, "op3_decontamination": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
