@@ -15,6 +15,7 @@ from boxquarry.llm.hard_negatives import mine_negatives
 from boxquarry.llm.language_id import identify_languages
 from boxquarry.llm.license_scan import license_report
 from boxquarry.llm.line_dedup import line_components
+from boxquarry.llm.lm_scoring import score_texts
 from boxquarry.llm.minhash_dedup import minhash_components
 from boxquarry.llm.packing import pack
 from boxquarry.llm.quality import quality_scores
@@ -78,6 +79,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_texts(_read(spark, sf_dir, "documents"), _remainder(7) != 2)
+    return found.select("doc_id", F.coalesce(_remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_negatives(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
@@ -186,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_quality": op10_quality,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_lm_scoring": op12_lm_scoring,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
