@@ -4,11 +4,10 @@ The model is counted in Spark jobs and kept as sorted arrays of hashes with thei
 into memory and search.  It is built in four steps:
 
 1. words: counted, sorted by hash; a word's number is its place among all.
-2. runs of three words: counted in each task, dealt out by their middle word, merged and written.  All that begins with a pair, and all that
-   ends with one, shares the pair's word that is the middle word of the run, so a shard knows nearly all about its pairs; a word with more
-   runs than a shard holds is dealt to several shards, whatever share of the text it is.
-3. pairs: what the shards know about each pair is added up and written.
-4. single words: the same with what pairs tell about words.
+2. runs of three words: counted in each task, dealt out by their middle word, merged and written.  All that begins with a pair shares its
+   second word as middle word, and all that ends with one its first, so the shard also knows all about these pairs and writes them.
+3. pairs of a middle word with more runs than a shard holds, which is dealt to several shards: what these know about each pair is added up.
+4. single words: what pairs tell about them is added up.
 
 Every shard is bounded by the number of its runs, and each file is written by one task, under another name first, so that a task that is
 repeated leaves the same file.
@@ -17,12 +16,14 @@ repeated leaves the same file.
 from __future__ import annotations
 
 import os
+import pickle
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +36,11 @@ from boxquarry.llm.text_hashing import SPACE_WORDS, mix, word_hashes
 BEFORE, UNKNOWN = 2**32 - 1, 2**32 - 2
 #: The hash of the end of a text, which counts as a word.
 END = np.int64(0x5EED0E0D)
+_WORD = np.uint64(32)
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+    return first.astype(np.uint64) << _WORD | second.astype(np.uint64)
 
 
 def run_hash(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
@@ -54,12 +56,14 @@ def local_folder(path: str) -> str:
     return path
 
 
-def write_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """One file for each array, whole numbers in the smallest type that holds them."""
+def _least(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
     for kind, values in arrays.items():
-        if kind != "keys":
-            values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
         path = f"{folder}/{name}.{kind}.npy"
         own = f"{path}.{TaskContext.get().taskAttemptId()}"
         with open(own, "wb") as file:
@@ -67,6 +71,19 @@ def write_arrays(folder: str, name: str, **arrays: np.ndarray) -> None:
         os.replace(own, path)
 
 
+def write_table(folder: str, name: str, hashes: np.ndarray, **columns: np.ndarray) -> None:
+    """Entries in the order of their hashes: where each value of a hash's first bits begins, and its next 32 bits.
+
+    About 16 entries share first bits, so a hash that isn't there is taken for another with a chance of 4e-9.
+    """
+    bits = max(0, (len(hashes) // 16).bit_length() - 1)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    tops = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), dtype=np.uint64)
+    offsets = np.searchsorted(tops, np.arange((1 << bits) + 1, dtype=np.uint64))
+    _save(folder, name, offsets=_least(offsets), rest=(hashes >> np.uint64(32 - bits)).astype(np.uint32), **{k: _least(v[order]) for k, v in columns.items()})
+
+
 class Shelf:
     """Arrays mapped into memory, a bounded number of files at a time; a worker keeps one for its later tasks."""
 
@@ -86,22 +103,36 @@ class Shelf:
 _SHELF = Shelf()
 
 
-def look_up(folder: str, level: str, shards: np.ndarray, keys: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
-    """The entries of these distinct keys, each in its shard; 0 where there is none."""
-    out = [np.zeros(len(keys), dtype=np.int64) for _ in kinds]
+def _search(name: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these hashes a table holds, and where: by first bits and then by halving, all at a time."""
+    offsets, rest = _SHELF.get(f"{name}.offsets.npy"), _SHELF.get(f"{name}.rest.npy")
+    if not len(rest):
+        return np.zeros(len(hashes), dtype=bool), np.zeros(0, dtype=np.int64)
+    bits = (len(offsets) - 1).bit_length() - 1
+    tops = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
+    wanted = (hashes >> np.uint64(32 - bits)).astype(np.uint32)
+    lo, end = offsets[tops].astype(np.int64), offsets[tops + 1].astype(np.int64)
+    hi = end
+    while (lo < hi).any():
+        middle = (lo + hi) >> 1
+        less = (rest[np.minimum(middle, len(rest) - 1)] < wanted) & (lo < hi)
+        lo, hi = np.where(less, middle + 1, lo), np.where(less | (lo >= hi), hi, middle)
+    hit = lo < end
+    hit[hit] = rest[lo[hit]] == wanted[hit]
+    return hit, lo[hit]
+
+
+def look_up(folder: str, level: str, shards: np.ndarray, hashes: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
+    """The entries of these hashes, each in its shard; 0 where there is none."""
+    out = [np.zeros(len(hashes), dtype=np.int64) for _ in kinds]
     order = np.argsort(shards, kind="stable")
     bounds = np.flatnonzero(np.diff(shards[order], prepend=-1, append=-1))
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         some = order[lo:hi]
         name = f"{folder}/{level}-{shards[some[0]]}"
-        known = _SHELF.get(f"{name}.keys.npy")
-        if not len(known):
-            continue
-        at = np.searchsorted(known, keys[some])
-        at[at == len(known)] = 0
-        hit = known[at] == keys[some]
+        hit, at = _search(name, hashes[some])
         for values, kind in zip(out, kinds, strict=True):
-            values[some[hit]] = _SHELF.get(f"{name}.{kind}.npy")[at[hit]]
+            values[some[hit]] = _SHELF.get(f"{name}.{kind}.npy")[at]
     return out
 
 
@@ -115,6 +146,10 @@ class Words:
     starts: np.ndarray
     total: int
     types: int
+    texts: int = 0
+
+    def _file(self, k: int, kind: str) -> np.ndarray:
+        return _SHELF.get(f"{self.folder}/words-{self.parts[k]}.{kind}.npy")
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number and count of each word; UNKNOWN and 0 where it wasn't learned."""
@@ -124,33 +159,42 @@ class Words:
             files = np.maximum(np.searchsorted(self.firsts, distinct, side="right") - 1, 0)
             for k in np.unique(files).tolist():
                 some = np.flatnonzero(files == k)
-                known = _SHELF.get(f"{self.folder}/words-{self.parts[k]}.keys.npy")
+                known = self._file(k, "hash")
                 at = np.searchsorted(known, distinct[some])
                 at[at == len(known)] = 0
                 hit = known[at] == distinct[some]
                 numbers[some[hit]] = self.starts[k] + at[hit]
-                counts[some[hit]] = _SHELF.get(f"{self.folder}/words-{self.parts[k]}.n.npy")[at[hit]]
+                counts[some[hit]] = self._file(k, "n")[at[hit]]
         return numbers[back], counts[back]
 
+    def often(self, numbers: np.ndarray) -> np.ndarray:
+        """The count of each numbered word; for BEFORE, the number of texts; for UNKNOWN, 0."""
+        distinct, back = np.unique(numbers, return_inverse=True)
+        counts = np.where(distinct == BEFORE, self.texts, 0).astype(np.int64)
+        files = np.searchsorted(self.starts, distinct, side="right") - 1
+        for k in np.unique(files[distinct < UNKNOWN]).tolist():
+            some = np.flatnonzero((files == k) & (distinct < UNKNOWN))
+            counts[some] = self._file(k, "n")[distinct[some].astype(np.int64) - self.starts[k]]
+        return counts[back]
+
 
 @dataclass
 class Model:
     words: Words
     folder: str
     shard: int
-    shards: dict[str, int] = field(default_factory=dict)
-    discounts: dict[str, np.ndarray] = field(default_factory=dict)
+    shards: int
+    discounts: dict[int, np.ndarray] = field(default_factory=dict)
     # all different pairs, and how many words have one, two and more words before them
     pairs: int = 0
     spread: tuple[int, int, int] = (0, 0, 0)
 
-    def run_shards(self, middle: np.ndarray, often: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The shard of each run of three: by its middle word, which has as many shards as the word's count asks for."""
-        salts = (1 + often // max(1, self.shard // 4)).astype(np.uint64)
-        return (mix(middle.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + hashes % salts) % np.uint64(self.shards["runs"])).astype(np.int64)
+    def salts(self, middle: np.ndarray) -> np.ndarray:
+        """Over how many shards the runs with this middle word are dealt."""
+        return (1 + self.words.often(middle) // self.shard).astype(np.uint64)
 
-    def shard_of(self, level: str, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.astype(np.uint64)) % np.uint64(self.shards[level])).astype(np.int64)
+    def shard_of(self, keys: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        return (mix(keys.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1) * salt) % np.uint64(self.shards)).astype(np.int64)
 
 
 def _sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -178,15 +222,73 @@ def _totals(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[starts], *(np.add.reduceat(c[order], starts) if len(keys) else c for c in columns)
 
 
-def _by_shard(shards: np.ndarray, names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row a shard: its entries' columns as bytes."""
+#: What a row of counts is about; rows of a level below the step's own go through it.
+_TALLY, _WORD_OWN, _WORD_AFTER, _PAIR_OWN, _PAIR_AFTER, _RUN = range(6)
+_ROW = "level long, shard long, data binary"
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Whole numbers of one length, each byte's place by itself, so that they compress."""
+    kept = [_least(c) for c in columns]
+    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in kept)
+    return pickle.dumps((len(kept[0]), [c.itemsize for c in kept], zstandard.ZstdCompressor(level=1).compress(raw)))
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    n, sizes, packed = pickle.loads(data)
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8), 0, []
+    for size in sizes:
+        planes = raw[at : at + n * size].reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{size}").ravel().astype(np.uint64))
+        at += n * size
+    return out
+
+
+def _rows(level: int, shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row a shard with its entries."""
     order = np.argsort(shards, kind="stable")
     bounds = np.flatnonzero(np.diff(shards[order], prepend=-1, append=-1))
     columns = [c[order] for c in columns]
-    for first in range(0, len(bounds) - 1, 256):
-        pairs = list(zip(bounds[first : first + 257].tolist(), bounds[first + 1 : first + 257].tolist(), strict=False))
-        data = [pa.array([c[lo:hi].tobytes() for lo, hi in pairs], pa.binary()) for c in columns]
-        yield pa.RecordBatch.from_arrays([pa.array([int(shards[order[lo]]) for lo, _ in pairs], pa.int64()), *data], names=["shard", *names])
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield _row(level, int(shards[order[lo]]), _pack([c[lo:hi] for c in columns]))
+
+
+def _row(level: int, shard: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([level]), pa.array([shard]), pa.array([data], pa.binary())], names=["level", "shard", "data"])
+
+
+def _tally(words: int, shard: int, values: np.ndarray) -> pa.RecordBatch:
+    """Of a shard's counts of so many words: how many are 1 to 4, how many there are, and their sum."""
+    few = np.bincount(np.minimum(values, 5).astype(np.int64), minlength=6)[1:5].tolist()
+    return _row(_TALLY, shard, pickle.dumps([words, *few, int(np.count_nonzero(values)), int(values.sum())]))
+
+
+def _step(own: dict[int, Callable[[int, list[np.ndarray]], Iterator[pa.RecordBatch]]]) -> Callable:
+    """Calls the function of its level with each shard and its entries, all rows' one after another; rows of other levels go through.
+
+    Rows come sorted by level and shard, so one shard is held at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from own[at[0]](at[1], [np.concatenate(x) for x in zip(*held, strict=True)])
+
+        for batch in batches:
+            for level, shard, data in zip(*(batch.column(c) for c in ("level", "shard", "data")), strict=True):
+                key = level.as_py(), shard.as_py()
+                if key != at:
+                    yield from close()
+                    at, held = key, []
+                if key[0] in own:
+                    held.append(_unpack(data.as_py()))
+                else:
+                    yield _row(*key, data.as_py())
+        yield from close()
+
+    return run
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +319,7 @@ def learn_words(texts: DataFrame, folder: str) -> Words:
         if held:
             words, n = (np.concatenate(x) for x in zip(*held, strict=True))
             part = TaskContext.get().partitionId()
-            write_arrays(folder, f"words-{part}", keys=words, n=n)
+            _save(folder, f"words-{part}", hash=words, n=_least(n))
             yield pa.RecordBatch.from_pylist([{"part": part, "first": int(words[0]), "types": len(words), "total": int(n.sum())}])
 
     # one row for each partition of the sort
@@ -225,13 +327,19 @@ def learn_words(texts: DataFrame, folder: str) -> Words:
     types = files["types"].to_numpy()
     if types.sum() >= UNKNOWN:
         raise ValueError("more than 2^32 - 2 different words")
-    return Words(folder, files["first"].to_numpy(), files["part"].to_numpy(), np.cumsum(types) - types, int(files["total"].sum()), int(types.sum()))
+    words = Words(folder, files["first"].to_numpy(), files["part"].to_numpy(), np.cumsum(types) - types, int(files["total"].sum()), int(types.sum()))
+    words.texts = int(words.find(np.array([END]))[1][0])
+    return words
 
 
-_RUN = ["first", "second", "third", "n"]
-_RUN_TYPES = [np.uint32, np.uint32, np.uint32, np.uint64]
-_TALLY = ["level", "ones", "twos", "threes", "fours", "entries", "sum"]
-_ENTRY = ["keys", "own", "sum", "ones", "twos", "more"]
+def _distinct_runs(first: np.ndarray, second: np.ndarray, third: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The distinct runs with the sums of their counts, in the order of middle, first and last word."""
+    lead = pair_key(second, first)
+    order = np.lexsort((third, lead))
+    lead, third = lead[order], third[order]
+    starts = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (third[1:] != third[:-1])))
+    lead = lead[starts]
+    return [lead & np.uint64(2**32 - 1), lead >> _WORD, third[starts].astype(np.uint64), np.add.reduceat(n[order], starts)]
 
 
 def _count_runs(model: Model) -> Callable:
@@ -239,21 +347,16 @@ def _count_runs(model: Model) -> Callable:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            first, second, third, often = (np.concatenate(x) for x in zip(*held, strict=True))
-            hashes = run_hash(first, second, third)
-            order = np.argsort(hashes)
-            starts = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order[:1]] ^ np.uint64(1)))
-            n = np.diff(starts, append=len(order)).astype(np.uint64)
-            kept = order[starts]
-            shards = model.run_shards(second[kept], often[kept], hashes[kept])
-            yield from _by_shard(shards, _RUN, [first[kept], second[kept], third[kept], n])
+            first, second, third = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, second, third, n = _distinct_runs(first, second, third, np.ones(len(first), dtype=np.uint64))
+            shards = model.shard_of(second, run_hash(first, second, third) % model.salts(second))
+            yield from _rows(_RUN, shards, [first, second, third, n])
 
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 hashes, bounds = _sequences(part)
-                numbers, counts = model.words.find(hashes)
-                first, second = _runs(numbers, bounds)
-                held.append((*(x.astype(np.uint32) for x in (first, second, numbers)), _often(counts, bounds)))
+                numbers, _ = model.words.find(hashes)
+                held.append([x.astype(np.uint32) for x in (*_runs(numbers, bounds), numbers)])
                 size += len(numbers)
                 if size >= 1 << 21:
                     yield from flush()
@@ -264,114 +367,76 @@ def _count_runs(model: Model) -> Callable:
     return run
 
 
-def _often(counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The count of the word before each; before a text's first, that of the text's end, which each text has too."""
-    ends = counts[bounds[1:] - 1]
-    before = np.empty_like(counts)
-    before[1:] = counts[:-1]
-    before[bounds[:-1]] = ends
-    return before
-
-
-def _tally(level: int, shard: int, values: np.ndarray) -> pa.RecordBatch:
-    """A row that goes through all later levels: how many entries a shard has, their sum, and how many have each count from 1 to 4."""
-    few = np.bincount(np.minimum(values, 5).astype(np.int64), minlength=6)[1:5].tolist()
-    counts = np.array([level, *few, np.count_nonzero(values), int(values.sum())], dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array([-1 - shard]), *[pa.array([counts.tobytes()], pa.binary())] * len(_ENTRY)], names=["shard", *_ENTRY])
-
-
-def _shards(batches: Iterator[pa.RecordBatch], names: list[str], kinds: list[type]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The entries of each shard, whose rows come one after another; rows of tallies come as they are, as -1 and one array."""
-    shard, held = None, []
-
-    def entries() -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(r[k] for r in held), dtype=kind) for k, kind in enumerate(kinds)]
-
-    for batch in batches:
-        columns = [batch.column(n) for n in names]
-        for k, own in enumerate(batch.column("shard").to_pylist()):
-            if own != shard and held:
-                yield shard, entries()
-                held = []
-            shard = own
-            if own < 0:
-                yield own, [np.frombuffer(columns[0][k].as_py(), dtype=np.int64)]
-            else:
-                held.append([c[k].as_py() for c in columns])
-    if held:
-        yield shard, entries()
-
-
-def _passed_on(shard: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard]), *[pa.array([counts.tobytes()], pa.binary())] * len(_ENTRY)], names=["shard", *_ENTRY])
-
-
 def _spread(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each key: the sum of its entries, and how many of them are one, two and more."""
+    """For each key: the sum of its counts, and how many of them are one, two and more."""
     one = lambda x: x.astype(np.uint64)
     return _totals(keys, n, one(n == 1), one(n == 2), one(n > 2))
 
 
-def _merge(own: tuple[np.ndarray, np.ndarray], spread: tuple[np.ndarray, ...]) -> list[np.ndarray]:
-    """Entries of both kinds, by key: what ends with it, and what begins with it."""
-    zeros = lambda x, k: [np.zeros(len(x), dtype=np.uint64)] * k
-    columns = [np.concatenate(x) for x in zip((*own, *zeros(own[0], 4)), (spread[0], *zeros(spread[0], 1), *spread[1:]), strict=True)]
-    return list(_totals(*columns))
+_AFTER = ["sum", "ones", "twos", "more"]
 
 
-def _write_runs(model: Model) -> Callable:
-    """Writes each shard's runs; what it knows of pairs goes on to the pairs' shards."""
+def _save_pairs(model: Model, name: str, shard: int, own: tuple[np.ndarray, ...] | None, after: tuple[np.ndarray, ...] | None) -> None:
+    """Pairs by their counts, and by what comes after them; a pair that one word follows once has no entry of the second kind."""
+    if own is not None:
+        write_table(model.folder, f"{name}own-{shard}", mix(own[0]), n=own[1])
+    if after is not None:
+        more = after[1] > 1
+        write_table(model.folder, f"{name}after-{shard}", mix(after[0][more]), **{k: x[more] for k, x in zip(_AFTER, after[1:], strict=True)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, (first, second, third, n) in _shards(batches, _RUN, _RUN_TYPES):
-            hashes = run_hash(first, second, third)
-            order = np.argsort(hashes)
-            starts = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order[:1]] ^ np.uint64(1)))
-            n = np.add.reduceat(n[order], starts)
-            kept = order[starts]
-            first, second, third = first[kept], second[kept], third[kept]
-            write_arrays(model.folder, f"runs-{shard}", keys=hashes[kept], n=n)
-            yield _tally(3, shard, n)
-            # a pair counts by the different words before it; at a text's start, where there is none, by its occurrences
-            own = _totals(pair_key(second, third), np.where(second == BEFORE, n, np.uint64(1)))
-            entries = _merge(own, _spread(pair_key(first, second), n))
-            yield from _by_shard(model.shard_of("pairs", entries[0]), _ENTRY, entries)
 
-    return run
+def _about_words(model: Model, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What pairs and their counts tell about words: how many come before each, and the counts of what comes after."""
+    own = _totals(keys & np.uint64(2**32 - 1), np.ones(len(keys), dtype=np.uint64))
+    yield from _rows(_WORD_OWN, model.shard_of(own[0]), list(own))
+    after = _spread(keys >> _WORD, n)
+    yield from _rows(_WORD_AFTER, model.shard_of(after[0]), list(after))
+
+
+def _write_runs(model: Model) -> Callable:
+    def runs(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first, second, third, n = _distinct_runs(*entries)
+        write_table(model.folder, f"runs-{shard}", run_hash(first, second, third), n=n)
+        yield _tally(3, shard, n)
+        # a pair counts by the different words before it; at a text's start, where there is none, by its occurrences
+        own = _totals(pair_key(second, third), np.where(second == BEFORE, n, np.uint64(1)))
+        after = _spread(pair_key(first, second), n)
+        alone = model.salts(own[0] >> _WORD) == 1, model.salts(after[0] & np.uint64(2**32 - 1)) == 1
+        _save_pairs(model, "", shard, [x[alone[0]] for x in own], [x[alone[1]] for x in after])
+        yield _tally(2, shard, own[1][alone[0]])
+        yield from _about_words(model, *(x[alone[0]] for x in own))
+        for level, entries, mine in ((_PAIR_OWN, own, alone[0]), (_PAIR_AFTER, after, alone[1])):
+            yield from _rows(level, model.shard_of(entries[0][~mine]), [x[~mine] for x in entries])
+
+    return _step({_RUN: runs})
 
 
 def _write_pairs(model: Model) -> Callable:
-    """Adds up and writes each shard's pairs; what it knows of words goes on to the words' shards."""
+    def own(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = _totals(*entries)
+        _save_pairs(model, "often-", shard, (keys, n), None)
+        yield _tally(2, shard, n)
+        yield from _about_words(model, keys, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, entries in _shards(batches, _ENTRY, [np.uint64] * 6):
-            if shard < 0:
-                yield _passed_on(shard, entries[0])
-                continue
-            entries = list(_totals(*entries))
-            write_arrays(model.folder, f"pairs-{shard}", **dict(zip(_ENTRY, entries, strict=True)))
-            keys, own = (x[entries[1] > 0] for x in entries[:2])
-            yield _tally(2, shard, own)
-            second = _totals(keys & np.uint64(2**32 - 1), np.ones(len(keys), dtype=np.uint64))
-            words = _merge(second, _spread(keys >> np.uint64(32), own))
-            yield from _by_shard(model.shard_of("singles", words[0]), _ENTRY, words)
+    def after(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _save_pairs(model, "often-", shard, None, _totals(*entries))
+        yield from ()
 
-    return run
+    return _step({_PAIR_OWN: own, _PAIR_AFTER: after})
 
 
-def _write_singles(model: Model) -> Callable:
-    """Adds up and writes each shard's words; the tallies of all levels remain."""
+def _write_words(model: Model) -> Callable:
+    def own(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = _totals(*entries)
+        write_table(model.folder, f"word-own-{shard}", mix(keys), n=n)
+        yield _tally(1, shard, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, entries in _shards(batches, _ENTRY, [np.uint64] * 6):
-            if shard < 0:
-                yield _passed_on(shard, entries[0])
-                continue
-            entries = list(_totals(*entries))
-            write_arrays(model.folder, f"singles-{shard}", **dict(zip(_ENTRY, entries, strict=True)))
-            yield _tally(1, shard, entries[1])
+    def after(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, *columns = _totals(*entries)
+        write_table(model.folder, f"word-after-{shard}", mix(keys), **dict(zip(_AFTER, columns, strict=True)))
+        yield from ()
 
-    return run
+    return _step({_WORD_OWN: own, _WORD_AFTER: after})
 
 
 def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
@@ -382,64 +447,79 @@ def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
     return np.clip([0.0, 1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes], 0, [0, 1, 2, 3])
 
 
+_TALLIES = ["words", "ones", "twos", "threes", "fours", "entries", "sum"]
+
+
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = np.array([np.frombuffer(x.as_py(), dtype=np.int64) for x in batch.column("keys")]).reshape(-1, len(_TALLY))
-        yield pa.RecordBatch.from_arrays([pa.array(counts[:, k]) for k in range(len(_TALLY))], names=_TALLY)
+        counts = np.array([pickle.loads(x.as_py()) for x in batch.column("data")], dtype=np.int64).reshape(-1, len(_TALLIES))
+        yield pa.RecordBatch.from_arrays([pa.array(counts[:, k]) for k in range(len(_TALLIES))], names=_TALLIES)
 
 
-def learn(texts: DataFrame, shard: int = 1 << 21) -> Model:
+def learn(texts: DataFrame, shard: int = 1 << 20) -> Model:
     """A model of the column ``text`` without nulls; ``shard``: about how many runs of words a task holds at a time."""
     spark = texts.sparkSession
     folder = local_folder(new_path(spark, "language-model"))
     words = learn_words(texts, folder)
-    model = Model(words, folder, shard, {level: 1 + words.total // size for level, size in (("runs", shard), ("pairs", shard), ("singles", 4 * shard))})
-    blobs = lambda names: "shard long, " + ", ".join(f"{n} binary" for n in names)
-    rows = texts.mapInArrow(_count_runs(model), blobs(_RUN))
-    for write in (_write_runs, _write_pairs, _write_singles):
-        rows = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(write(model), blobs(_ENTRY))
-    tallies = cut(rows.mapInArrow(_tallies, ", ".join(f"{n} long" for n in _TALLY)), "tallies")
-    # one row a level
-    found = {r["level"]: r for r in tallies.groupBy("level").agg(*[F.sum(n).alias(n) for n in _TALLY[1:]]).collect()}
-    for level, name in ((3, "runs"), (2, "pairs"), (1, "singles")):
-        model.discounts[name] = discounts(*(found[level][n] if level in found else 0 for n in _TALLY[1:5]))
+    model = Model(words, folder, shard, 1 + words.total // shard)
+    rows = texts.mapInArrow(_count_runs(model), _ROW)
+    for write in (_write_runs, _write_pairs, _write_words):
+        rows = rows.repartition("level", "shard").sortWithinPartitions("level", "shard").mapInArrow(write(model), _ROW)
+    tallies = cut(rows.mapInArrow(_tallies, ", ".join(f"{n} long" for n in _TALLIES)), "tallies")
+    # one row for each number of words
+    found = {r["words"]: r for r in tallies.groupBy("words").agg(*[F.sum(n).alias(n) for n in _TALLIES[1:]]).collect()}
+    for k in (1, 2, 3):
+        model.discounts[k] = discounts(*(found[k][n] if k in found else 0 for n in _TALLIES[1:5]))
     if 1 in found:
         one = found[1]
         model.pairs, model.spread = one["sum"], (one["ones"], one["twos"], one["entries"] - one["ones"] - one["twos"])
     return model
 
 
-def _distinct(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-    return distinct, back, *(c[at] for c in columns)
-
-
 def _interpolated(lower: np.ndarray | float, own: np.ndarray, off: np.ndarray, total: np.ndarray, spread: list[np.ndarray]) -> np.ndarray:
     """Discounted shares of ``total``, and what was taken off, dealt out by ``lower``; where nothing was counted, ``lower`` itself."""
     left = sum(off[k + 1] * spread[k] for k in range(3))
     return np.where(total > 0, (np.maximum(own - off[np.minimum(own, 3)], 0) + left * lower) / np.maximum(total, 1), lower)
 
 
-def log_probabilities(model: Model, numbers: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _of_pairs(model: Model, level: str, keys: np.ndarray, middle: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
+    """Entries of pairs with their middle word: in its shard, or, where it has several, in the pair's."""
+    distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
+    middle = middle[at]
+    spread = model.salts(middle) > 1
+    out = [np.zeros(len(distinct), dtype=np.int64) for _ in kinds]
+    for prefix, some in (("", np.flatnonzero(~spread)), ("often-", np.flatnonzero(spread))):
+        shards = model.shard_of(distinct[some] if prefix else middle[some])
+        for values, found in zip(out, look_up(model.folder, prefix + level, shards, mix(distinct[some]), kinds), strict=True):
+            values[some] = found
+    return [x[back] for x in out]
+
+
+def _of_words(model: Model, level: str, numbers: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
+    distinct, back = np.unique(numbers, return_inverse=True)
+    return [x[back] for x in look_up(model.folder, level, model.shard_of(distinct), mix(distinct.astype(np.uint64)), kinds)]
+
+
+def log_probabilities(model: Model, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The base-10 logarithm of each word's probability after the two before it."""
     first, second = _runs(numbers, bounds)
-    types = model.words.types
-    entries = lambda level, keys: look_up(model.folder, level, model.shard_of(level, keys), keys, _ENTRY[1:])
-    # words: the different words before each
-    distinct, back = _distinct(np.concatenate([numbers, second]).astype(np.uint64))
-    singles = [x[back] for x in entries("singles", distinct)]
-    n = len(numbers)
-    p = _interpolated(1 / (types + 1), singles[0][:n], model.discounts["singles"], np.full(n, model.pairs), model.spread)
-    # pairs: what ends with the last two words, what begins with the first two
-    distinct, back = _distinct(np.concatenate([pair_key(second, numbers), pair_key(first, second)]))
-    pairs = [x[back] for x in entries("pairs", distinct)]
-    p = _interpolated(p, pairs[0][:n], model.discounts["pairs"], singles[1][n:], [x[n:] for x in singles[2:]])
-    hashes, back, middle, often = _distinct(run_hash(first, second, numbers), second, _often(counts, bounds))
-    own = look_up(model.folder, "runs", model.run_shards(middle, often, hashes), hashes, ["n"])[0][back]
-    return np.log10(_interpolated(p, own, model.discounts["runs"], pairs[1][n:], [x[n:] for x in pairs[2:]]))
-
-
-def score_texts(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = 1 << 21) -> DataFrame:
+    own = _of_words(model, "word-own", numbers, ["n"])[0]
+    p = _interpolated(1 / (model.words.types + 1), own, model.discounts[1], np.full(len(own), model.pairs), list(model.spread))
+    total, *spread = _of_words(model, "word-after", second, _AFTER)
+    own = _of_pairs(model, "own", pair_key(second, numbers), second, ["n"])[0]
+    p = _interpolated(p, own, model.discounts[2], total, spread)
+    # the pair before a word is that which its predecessor ends: known, it is followed by something, once unless an entry says more
+    known = np.empty(len(own), dtype=np.int64)
+    known[1:] = own[:-1] > 0
+    known[bounds[:-1]] = model.words.total > 0
+    total, ones, twos, more = _of_pairs(model, "after", pair_key(first, second), second, _AFTER)
+    once = total == 0
+    hashes, at, back = np.unique(run_hash(first, second, numbers), return_index=True, return_inverse=True)
+    own = look_up(model.folder, "runs", model.shard_of(second[at], hashes % model.salts(second[at])), hashes, ["n"])[0][back]
+    return np.log10(_interpolated(p, own, model.discounts[3], np.where(once, known, total), [np.where(once, known, ones), twos, more]))
+
+
+def score_texts(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = 1 << 20) -> DataFrame:
     """One row for each row of ``docs``: (doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity).
 
     Learns from the rows that are ``usable`` (null is no), all of them in full.  Tokens are runs of other than ASCII white space, A-Z
@@ -460,7 +540,7 @@ def score_texts(docs: DataFrame, usable: Column | None = None, id_col: str = "do
                 numbers, counts = model.words.find(hashes)
                 starts, sizes = bounds[:-1], np.diff(bounds)
                 base = np.add.reduceat(np.log10((counts + 1) / (total + types + 1)), starts)
-                score = np.add.reduceat(log_probabilities(model, numbers, counts, bounds), starts)
+                score = np.add.reduceat(log_probabilities(model, numbers, bounds), starts)
                 known = np.add.reduceat((counts > 0).astype(np.int64), starts)
                 data = [part.column("id"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300))]
                 yield pa.RecordBatch.from_arrays(data, names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
