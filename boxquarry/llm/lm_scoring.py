@@ -36,7 +36,7 @@ from boxquarry.llm.text_hashing import SPACE_WORDS, mix, word_hashes
 BEFORE, UNKNOWN = 2**32 - 1, 2**32 - 2
 #: The hash of the end of a text, which counts as a word.
 END = np.int64(0x5EED0E0D)
-_WORD = np.uint64(32)
+_WORD, _LAST = np.uint64(32), np.uint64(2**32 - 1)
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -125,8 +125,8 @@ def _search(name: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def look_up(folder: str, level: str, shards: np.ndarray, hashes: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
     """The entries of these hashes, each in its shard; 0 where there is none."""
     out = [np.zeros(len(hashes), dtype=np.int64) for _ in kinds]
-    order = np.argsort(shards, kind="stable")
-    bounds = np.flatnonzero(np.diff(shards[order], prepend=-1, append=-1))
+    order = np.argsort(_least(shards), kind="stable")
+    bounds = np.flatnonzero(np.diff(shards[order].astype(np.int64), prepend=-1, append=-1))
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         some = order[lo:hi]
         name = f"{folder}/{level}-{shards[some[0]]}"
@@ -151,8 +151,8 @@ class Words:
     def _file(self, k: int, kind: str) -> np.ndarray:
         return _SHELF.get(f"{self.folder}/words-{self.parts[k]}.{kind}.npy")
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number and count of each word; UNKNOWN and 0 where it wasn't learned."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number and count of each different word, UNKNOWN and 0 where it wasn't learned; and which of these each given one is."""
         distinct, back = np.unique(hashes, return_inverse=True)
         numbers, counts = np.full(len(distinct), UNKNOWN, dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
         if len(self.firsts):
@@ -165,7 +165,7 @@ class Words:
                 hit = known[at] == distinct[some]
                 numbers[some[hit]] = self.starts[k] + at[hit]
                 counts[some[hit]] = self._file(k, "n")[at[hit]]
-        return numbers[back], counts[back]
+        return numbers, counts, back
 
     def often(self, numbers: np.ndarray) -> np.ndarray:
         """The count of each numbered word; for BEFORE, the number of texts; for UNKNOWN, 0."""
@@ -193,8 +193,8 @@ class Model:
         """Over how many shards the runs with this middle word are dealt."""
         return (1 + self.words.often(middle) // self.shard).astype(np.uint64)
 
-    def shard_of(self, keys: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        return (mix(keys.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1) * salt) % np.uint64(self.shards)).astype(np.int64)
+    def shard_of(self, keys: np.ndarray, salt: np.ndarray | np.uint64 = np.uint64(0)) -> np.ndarray:
+        return (mix(keys.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + salt) % np.uint64(self.shards)).astype(np.int64)
 
 
 def _sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +246,8 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 def _rows(level: int, shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """One row a shard with its entries."""
-    order = np.argsort(shards, kind="stable")
-    bounds = np.flatnonzero(np.diff(shards[order], prepend=-1, append=-1))
+    order = np.argsort(_least(shards), kind="stable")
+    bounds = np.flatnonzero(np.diff(shards[order].astype(np.int64), prepend=-1, append=-1))
     columns = [c[order] for c in columns]
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         yield _row(level, int(shards[order[lo]]), _pack([c[lo:hi] for c in columns]))
@@ -332,14 +332,17 @@ def learn_words(texts: DataFrame, folder: str) -> Words:
     return words
 
 
-def _distinct_runs(first: np.ndarray, second: np.ndarray, third: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """The distinct runs with the sums of their counts, in the order of middle, first and last word."""
-    lead = pair_key(second, first)
-    order = np.lexsort((third, lead))
-    lead, third = lead[order], third[order]
-    starts = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (third[1:] != third[:-1])))
-    lead = lead[starts]
-    return [lead & np.uint64(2**32 - 1), lead >> _WORD, third[starts].astype(np.uint64), np.add.reduceat(n[order], starts)]
+def _distinct_runs(first: np.ndarray, second: np.ndarray, third: np.ndarray, n: np.ndarray | None = None) -> list[np.ndarray]:
+    """The distinct runs with the sums of their counts (one each, if none are given), in the order of middle, first and last word."""
+    leads, back = np.unique(pair_key(second, first), return_inverse=True)
+    keys = pair_key(back, third)
+    order = None if n is None else np.argsort(keys)
+    keys = np.sort(keys) if n is None else keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    counts = np.diff(starts, append=len(keys)).astype(np.uint64) if n is None else np.add.reduceat(n[order], starts)
+    keys = keys[starts]
+    lead = leads[(keys >> _WORD).astype(np.int64)]
+    return [lead & _LAST, lead >> _WORD, keys & _LAST, counts]
 
 
 def _count_runs(model: Model) -> Callable:
@@ -348,14 +351,15 @@ def _count_runs(model: Model) -> Callable:
 
         def flush() -> Iterator[pa.RecordBatch]:
             first, second, third = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, second, third, n = _distinct_runs(first, second, third, np.ones(len(first), dtype=np.uint64))
+            first, second, third, n = _distinct_runs(first, second, third)
             shards = model.shard_of(second, run_hash(first, second, third) % model.salts(second))
             yield from _rows(_RUN, shards, [first, second, third, n])
 
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 hashes, bounds = _sequences(part)
-                numbers, _ = model.words.find(hashes)
+                distinct, _, back = model.words.find(hashes)
+                numbers = distinct[back]
                 held.append([x.astype(np.uint32) for x in (*_runs(numbers, bounds), numbers)])
                 size += len(numbers)
                 if size >= 1 << 21:
@@ -387,7 +391,7 @@ def _save_pairs(model: Model, name: str, shard: int, own: tuple[np.ndarray, ...]
 
 def _about_words(model: Model, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What pairs and their counts tell about words: how many come before each, and the counts of what comes after."""
-    own = _totals(keys & np.uint64(2**32 - 1), np.ones(len(keys), dtype=np.uint64))
+    own = _totals(keys & _LAST, np.ones(len(keys), dtype=np.uint64))
     yield from _rows(_WORD_OWN, model.shard_of(own[0]), list(own))
     after = _spread(keys >> _WORD, n)
     yield from _rows(_WORD_AFTER, model.shard_of(after[0]), list(after))
@@ -401,7 +405,7 @@ def _write_runs(model: Model) -> Callable:
         # a pair counts by the different words before it; at a text's start, where there is none, by its occurrences
         own = _totals(pair_key(second, third), np.where(second == BEFORE, n, np.uint64(1)))
         after = _spread(pair_key(first, second), n)
-        alone = model.salts(own[0] >> _WORD) == 1, model.salts(after[0] & np.uint64(2**32 - 1)) == 1
+        alone = model.salts(own[0] >> _WORD) == 1, model.salts(after[0] & _LAST) == 1
         _save_pairs(model, "", shard, [x[alone[0]] for x in own], [x[alone[1]] for x in after])
         yield _tally(2, shard, own[1][alone[0]])
         yield from _about_words(model, *(x[alone[0]] for x in own))
@@ -482,41 +486,48 @@ def _interpolated(lower: np.ndarray | float, own: np.ndarray, off: np.ndarray, t
     return np.where(total > 0, (np.maximum(own - off[np.minimum(own, 3)], 0) + left * lower) / np.maximum(total, 1), lower)
 
 
-def _of_pairs(model: Model, level: str, keys: np.ndarray, middle: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
-    """Entries of pairs with their middle word: in its shard, or, where it has several, in the pair's."""
-    distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
-    middle = middle[at]
-    spread = model.salts(middle) > 1
-    out = [np.zeros(len(distinct), dtype=np.int64) for _ in kinds]
+def _of_pairs(model: Model, level: str, keys: np.ndarray, middle: np.ndarray, often: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
+    """Entries of pairs with their middle word: in its shard, or, if it is one of those that are dealt to several, in the pair's."""
+    spread = np.isin(middle, often)
+    out = [np.zeros(len(keys), dtype=np.int64) for _ in kinds]
     for prefix, some in (("", np.flatnonzero(~spread)), ("often-", np.flatnonzero(spread))):
-        shards = model.shard_of(distinct[some] if prefix else middle[some])
-        for values, found in zip(out, look_up(model.folder, prefix + level, shards, mix(distinct[some]), kinds), strict=True):
+        shards = model.shard_of(keys[some] if prefix else middle[some])
+        for values, found in zip(out, look_up(model.folder, prefix + level, shards, mix(keys[some]), kinds), strict=True):
             values[some] = found
-    return [x[back] for x in out]
+    return out
 
 
-def _of_words(model: Model, level: str, numbers: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
-    distinct, back = np.unique(numbers, return_inverse=True)
-    return [x[back] for x in look_up(model.folder, level, model.shard_of(distinct), mix(distinct.astype(np.uint64)), kinds)]
+def log_probabilities(model: Model, numbers: np.ndarray, counts: np.ndarray, back: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The base-10 logarithm of each word's probability after the two before it; words as ``Words.find`` gives them."""
+    starts = bounds[:-1]
+    numbers, counts = np.append(numbers, BEFORE), np.append(counts, model.words.texts)
 
+    def shifted(places: np.ndarray, first: int) -> np.ndarray:
+        out = np.empty_like(places)
+        out[1:] = places[:-1]
+        out[starts] = first
+        return out
 
-def log_probabilities(model: Model, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The base-10 logarithm of each word's probability after the two before it."""
-    first, second = _runs(numbers, bounds)
-    own = _of_words(model, "word-own", numbers, ["n"])[0]
+    before = shifted(back, len(numbers) - 1)
+    third, second, first = numbers[back], numbers[before], numbers[shifted(before, len(numbers) - 1)]
+    shards = model.shard_of(numbers), mix(numbers.astype(np.uint64))
+    own = look_up(model.folder, "word-own", *shards, ["n"])[0][back]
     p = _interpolated(1 / (model.words.types + 1), own, model.discounts[1], np.full(len(own), model.pairs), list(model.spread))
-    total, *spread = _of_words(model, "word-after", second, _AFTER)
-    own = _of_pairs(model, "own", pair_key(second, numbers), second, ["n"])[0]
-    p = _interpolated(p, own, model.discounts[2], total, spread)
-    # the pair before a word is that which its predecessor ends: known, it is followed by something, once unless an entry says more
-    known = np.empty(len(own), dtype=np.int64)
-    known[1:] = own[:-1] > 0
-    known[bounds[:-1]] = model.words.total > 0
-    total, ones, twos, more = _of_pairs(model, "after", pair_key(first, second), second, _AFTER)
-    once = total == 0
-    hashes, at, back = np.unique(run_hash(first, second, numbers), return_index=True, return_inverse=True)
-    own = look_up(model.folder, "runs", model.shard_of(second[at], hashes % model.salts(second[at])), hashes, ["n"])[0][back]
-    return np.log10(_interpolated(p, own, model.discounts[3], np.where(once, known, total), [np.where(once, known, ones), twos, more]))
+    total, *spread = (x[before] for x in look_up(model.folder, "word-after", *shards, _AFTER))
+    # each pair once: as what ends with its last word, and, of the next word, as what comes before; at a text's start that is BEFORE twice
+    pairs, which = np.unique(np.append(pair_key(second, third), pair_key(numbers[-1:], numbers[-1:])), return_inverse=True)
+    often = numbers[counts >= model.shard]
+    own = _of_pairs(model, "own", pairs, (pairs >> _WORD).astype(np.int64), often, ["n"])[0]
+    total_after, ones, twos, more = _of_pairs(model, "after", pairs, (pairs & _LAST).astype(np.int64), often, _AFTER)
+    # a pair that is known and has no entry is followed by one word, once
+    once = (total_after == 0) & ((own > 0) | (pairs == pair_key(numbers[-1:], numbers[-1:])) & (model.words.total > 0))
+    total_after, ones = np.where(once, 1, total_after), np.where(once, 1, ones)
+    p = _interpolated(p, own[which[:-1]], model.discounts[2], total, spread)
+    lead = shifted(which[:-1], which[-1])
+    hashes = run_hash(first, second, third)
+    salts = (1 + counts[before] // model.shard).astype(np.uint64)
+    own = look_up(model.folder, "runs", model.shard_of(second, hashes % salts), hashes, ["n"])[0]
+    return np.log10(_interpolated(p, own, model.discounts[3], total_after[lead], [x[lead] for x in (ones, twos, more)]))
 
 
 def score_texts(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", shard: int = 1 << 20) -> DataFrame:
@@ -532,18 +543,31 @@ def score_texts(docs: DataFrame, usable: Column | None = None, id_col: str = "do
     train = docs if usable is None else docs.where(usable)
     model = learn(train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), shard)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         total, types = model.words.total, model.words.types
+        hashes, bounds = zip(*(_sequences(p) for p in parts), strict=True)
+        bounds = np.append(0, np.cumsum(np.concatenate([np.diff(b) for b in bounds])))
+        numbers, counts, back = model.words.find(np.concatenate(hashes))
+        starts, sizes = bounds[:-1], np.diff(bounds)
+        base = np.add.reduceat(np.log10((counts + 1) / (total + types + 1))[back], starts)
+        score = np.add.reduceat(log_probabilities(model, numbers, counts, back, bounds), starts)
+        known = np.add.reduceat((counts > 0).astype(np.int64)[back], starts)
+        ids = pa.chunked_array([p.column("id") for p in parts]).combine_chunks()
+        data = [ids, pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300))]
+        return pa.RecordBatch.from_arrays(data, names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # some megabytes of text at a time: words and pairs that repeat are looked up once
+        held, size = [], 0
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                hashes, bounds = _sequences(part)
-                numbers, counts = model.words.find(hashes)
-                starts, sizes = bounds[:-1], np.diff(bounds)
-                base = np.add.reduceat(np.log10((counts + 1) / (total + types + 1)), starts)
-                score = np.add.reduceat(log_probabilities(model, numbers, bounds), starts)
-                known = np.add.reduceat((counts > 0).astype(np.int64), starts)
-                data = [part.column("id"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300))]
-                yield pa.RecordBatch.from_arrays(data, names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= 6 << 20:
+                    yield scores(held)
+                    held, size = [], 0
+        if held:
+            yield scores(held)
 
     scored = rows.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     return scored.withColumnRenamed("id", id_col)
