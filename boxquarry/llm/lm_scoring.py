@@ -362,7 +362,7 @@ def _count_runs(model: Model) -> Callable:
                 numbers = distinct[back]
                 held.append([x.astype(np.uint32) for x in (*_runs(numbers, bounds), numbers)])
                 size += len(numbers)
-                if size >= 1 << 21:
+                if size >= 3 << 19:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -563,7 +563,7 @@ def score_texts(docs: DataFrame, usable: Column | None = None, id_col: str = "do
             for part in byte_slices(batch, "text"):
                 held.append(part)
                 size += part.column("text").nbytes
-                if size >= 6 << 20:
+                if size >= 3 << 20:
                     yield scores(held)
                     held, size = [], 0
         if held:
