@@ -38,48 +38,6 @@ def _hash(seed: str) -> Column:
     return sel.hash_order(seed, "image")
 
 
-@query(
-    "i1_balanced_subset",
-    f"""{_LEADING}, kept AS (SELECT image, class_id, 'class' AS why FROM li WHERE source_group <> '1-URGENT' QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY {_rank('i1')}) <= 30),
-always AS (SELECT image, class_id, 'always' AS why FROM li WHERE source_group = '1-URGENT' ORDER BY {_rank('i1')} LIMIT 20),
-bare AS (SELECT image, NULL::BIGINT AS class_id, 'background' AS why FROM images ANTI JOIN gt USING (image) WHERE source_group NOT LIKE '5%' ORDER BY {_rank('i1')} LIMIT 25)
-SELECT * FROM kept UNION ALL SELECT * FROM always UNION ALL SELECT * FROM bare""",
-)
-def i1_balanced_subset(spark: SparkSession, d: str) -> DataFrame:
-    """So many images a leading class, some of one group always (capped), some backgrounds without the excluded group."""
-    li = _leading(spark, d)
-    urgent = F.col("source_group") == "1-URGENT"
-    kept = sel.top_per_group(li.where(~urgent), ["class_id"], [_hash("i1")], 30).select("image", "class_id", F.lit("class").alias("why"))
-    always = li.where(urgent).orderBy(_hash("i1")).limit(20).select("image", "class_id", F.lit("always").alias("why"))
-    bare = a.images(spark, d).join(a.gt_boxes(spark, d), "image", "left_anti").where(~F.col("source_group").startswith("5")).orderBy(_hash("i1")).limit(25)
-    return kept.unionByName(always).unionByName(bare.select("image", F.lit(None).cast("long").alias("class_id"), F.lit("background").alias("why")))
-
-
-@query(
-    "i2_oversample",
-    f"""{_LEADING}, k AS (SELECT image, class_id, row_number() OVER (PARTITION BY class_id ORDER BY image) - 1 AS pos, count(*) OVER (PARTITION BY class_id) AS n FROM li), t AS (SELECT max(n) AS target FROM k)
-SELECT image, class_id, 1 + (target - n) // n + CASE WHEN pos < (target - n) % n THEN 1 ELSE 0 END AS exposures FROM k, t""",
-)
-def i2_oversample(spark: SparkSession, d: str) -> DataFrame:
-    """Images of classes under the largest repeat in turn until their class is as large: how often each stands in the list."""
-    k = sel.number_in_groups(_leading(spark, d).select("image", "class_id"), ["class_id"], [F.col("image")], "at", "n")
-    both = k.crossJoin(F.broadcast(k.agg(F.max("n").alias("target"))))
-    missing = F.col("target") - F.col("n")
-    times = 1 + F.floor(missing / F.col("n")) + F.when(F.col("at") < missing % F.col("n"), 1).otherwise(0)
-    return both.select("image", "class_id", times.cast("long").alias("exposures"))
-
-
-@query(
-    "i3_class_and_empty_cap",
-    f"""{_LEADING} SELECT image, class_id FROM li WHERE kinds = 1 QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY {_rank('i3')}) <= 18
-UNION ALL (SELECT image, NULL FROM images ANTI JOIN gt USING (image) ORDER BY {_rank('i3')} LIMIT 12)""",
-)
-def i3_class_and_empty_cap(spark: SparkSession, d: str) -> DataFrame:
-    kept = sel.top_per_group(_leading(spark, d).where("kinds = 1"), ["class_id"], [_hash("i3")], 18).select("image", "class_id")
-    empty = a.images(spark, d).join(a.gt_boxes(spark, d), "image", "left_anti").orderBy(_hash("i3")).limit(12)
-    return kept.unionByName(empty.select("image", F.lit(None).cast("long").alias("class_id")))
-
-
 @query("i5_exact_sample", f"{_BASE} SELECT image, split FROM images WHERE split = 'val' ORDER BY {_rank('i5')} LIMIT 40")
 def i5_exact_sample(spark: SparkSession, d: str) -> DataFrame:
     """Exactly 40 rows, or an error if there are fewer."""
@@ -102,29 +60,11 @@ def i8_cyclic_take(spark: SparkSession, d: str) -> DataFrame:
     return pool.join(n, "class_id").select("class_id", "image", F.ceil((25 - (F.col("r") - 1)) / F.col("n")).cast("long").alias("times"))
 
 
-@query("i9_rare_first_with_source_cap", f"{_LEADING}, s AS (SELECT image, class_id, source_group FROM li QUALIFY row_number() OVER (PARTITION BY class_id, source_group ORDER BY {_rank('i9')}) <= 6) SELECT image, class_id, source_group FROM s QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY {_rank('i9')}) <= 20")
-def i9_rare_first_with_source_cap(spark: SparkSession, d: str) -> DataFrame:
-    """Images by their rarest class, at most 6 of a source and 20 in all."""
-    s = sel.top_per_group(_leading(spark, d), ["class_id", "source_group"], [_hash("i9")], 6)
-    return sel.top_per_group(s, ["class_id"], [_hash("i9")], 20).select("image", "class_id", "source_group")
-
-
 @query("i10_empties_sample", f"{_BASE} SELECT image FROM images ANTI JOIN gt USING (image) ORDER BY {_rank('i10')} LIMIT 15")
 def i10_empties_sample(spark: SparkSession, d: str) -> DataFrame:
     return a.images(spark, d).join(a.gt_boxes(spark, d), "image", "left_anti").orderBy(_hash("i10")).limit(15).select("image")
 
 
-@query(
-    "i11_balanced_eval_subset",
-    f"{_LEADING}, k AS (SELECT image, class_id FROM li WHERE split = 'val' QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY {_rank('i11')}) <= 16), n AS (SELECT class_id, count(*) AS n FROM k GROUP BY 1) SELECT class_name, coalesce(n, 0) AS taken, 16 - coalesce(n, 0) AS missing, coalesce(n, 0) < 16 AS underfilled FROM classes LEFT JOIN n USING (class_id)",
-)
-def i11_balanced_eval_subset(spark: SparkSession, d: str) -> DataFrame:
-    """How far a disjoint evaluation subset of 16 images a class can be filled."""
-    k = sel.top_per_group(_leading(spark, d).where("split = 'val'"), ["class_id"], [_hash("i11")], 16)
-    n = k.groupBy("class_id").agg(F.count("*").alias("taken"))
-    return a.classes(spark).join(n, "class_id", "left").fillna(0, ["taken"]).select("class_name", "taken", (16 - F.col("taken")).alias("missing"), (F.col("taken") < 16).alias("underfilled"))
-
-
 @query("i15_class_cap_by_path", f"{_BASE}, p AS (SELECT image, pred_index, class_id, confidence FROM preds QUALIFY row_number() OVER (PARTITION BY class_id, image ORDER BY confidence DESC, pred_index) <= 1) SELECT image, pred_index, class_id FROM p QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY confidence DESC, image, pred_index) <= 30")
 def i15_class_cap_by_path(spark: SparkSession, d: str) -> DataFrame:
     """The surest candidates of each class, one an image."""

@@ -253,42 +253,6 @@ def h2_representative_issues(spark: SparkSession, d: str) -> DataFrame:
     return _roll(spark, d).where("error > 0").groupBy("source_group", "error").agg(F.min("image").alias("image"), F.count("*").alias("images"))
 
 
-_BUCKETS = [("large_error", "error >= 3", 12), ("missed_all", "labels > 0 AND preds = 0", 10), ("crowded", "labels >= 4", 14), ("mixed", "kinds >= 3", 10), ("unsure", "surest < 0.4", 10)]
-_BUCKET_CASE = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c, _ in _BUCKETS) + " END"
-_CAP_CASE = "CASE bucket " + " ".join(f"WHEN '{n}' THEN {k}" for n, _, k in _BUCKETS) + " END"
-
-
-@query(
-    "h6_bucketed_packet",
-    f"""{_ROLL}, b AS (SELECT image, source_group, error, {_BUCKET_CASE} AS bucket FROM roll), c AS (SELECT *, {_CAP_CASE} AS cap FROM b WHERE bucket IS NOT NULL),
-s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY bucket, source_group ORDER BY error DESC, image) <= greatest(3, (cap + 1) // 2))
-SELECT bucket, image, source_group FROM s QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY error DESC, image) <= cap""",
-)
-def h6_bucketed_packet(spark: SparkSession, d: str) -> DataFrame:
-    """Images in the first bucket that they fit, so none stands twice; caps on each bucket and on each source in it."""
-    b = _roll(spark, d).withColumn("bucket", _first_of([(n, F.expr(c)) for n, c, _ in _BUCKETS])).where("bucket is not null").withColumn("cap", F.expr(_CAP_CASE))
-    order = [F.desc("error"), F.asc("image")]
-    r = lambda by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    # no cap is over 14: the ranks are bounded before the sort's rows are
-    s = b.withColumn("k", r(["bucket", "source_group"])).where("k <= 14").where(F.col("k") <= F.greatest(F.lit(3), F.floor((F.col("cap") + 1) / 2)))
-    return s.withColumn("k", r(["bucket"])).where("k <= 14").where("k <= cap").select("bucket", "image", "source_group")
-
-
-@query(
-    "h7_class_ordered_queue",
-    f"""{_ROLL}, s AS (SELECT image, first_class, source_group, error FROM roll WHERE error > 0 AND first_class IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_group ORDER BY error DESC, image) <= 60),
-c AS (SELECT *, row_number() OVER (PARTITION BY first_class ORDER BY error DESC, image) AS k FROM s) SELECT image, first_class, source_group, row_number() OVER (ORDER BY k > 5, CASE WHEN k <= 5 THEN first_class END, error DESC, image) AS place FROM c QUALIFY place <= 120""",
-)
-def h7_class_ordered_queue(spark: SparkSession, d: str) -> DataFrame:
-    """Up to 60 images a source; first five of each class, class by class, then the rest by error, 120 in all."""
-    order = [F.desc("error"), F.asc("image")]
-    s = sel.top_per_group(_roll(spark, d).where("error > 0 and first_class is not null"), ["source_group"], order, 60)
-    c = s.withColumn("k", F.row_number().over(W.partitionBy("first_class").orderBy(*order)))
-    # 60 rows a source, five sources
-    place = F.row_number().over(W.orderBy(F.col("k") > 5, F.when(F.col("k") <= 5, F.col("first_class")), *order))
-    return c.withColumn("place", place.cast("long")).where("place <= 120").select("image", "first_class", "source_group", "place")
-
-
 @query("h13_unique_sorted_spread", f"{_BASE}, u AS (SELECT image, row_number() OVER (ORDER BY image) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT image FROM preds WHERE confidence >= 0.9)) SELECT image FROM u WHERE n <= 25 OR pos IN (SELECT round_even(i * (n - 1) / 24::DOUBLE, 0)::BIGINT FROM range(25) t(i))")
 def h13_unique_sorted_spread(spark: SparkSession, d: str) -> DataFrame:
     u = a.pred_boxes(spark, d).where("confidence >= 0.9").select("image").distinct().withColumn("all", F.lit(1))
