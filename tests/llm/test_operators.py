@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -457,7 +458,7 @@ def test_language_id(spark):
 
 
 def test_every_language_is_learned(spark):
-    from boxquarry.llm.language_id import Presence, identify_languages
+    from boxquarry.llm.language_id import Presence, gram_sets, identify_languages
 
     rnd = random.Random(3)
     # 70 languages of 6 letters each, of which the last has the fewest rows and one has long texts only
@@ -469,8 +470,44 @@ def test_every_language_is_learned(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in rows_of(identify_languages(frame))}
     assert got == {d: lang for d, _, lang in data}
     # of many texts in one script and one in another, both scripts' n-grams are kept
-    few = Presence(["abcabc", "abcab", "abca", "äö"], ["a", "a", "a", "b"], 12)
-    assert few.size >= 12 and few.matrix(__import__("pyarrow").array(["äö"])).sum() > 2
+    few = Presence(gram_sets(pa.array(["abcabc", "abcab", "abca", "äö"])), ["a", "a", "a", "b"], 12)
+    assert few.size >= 12 and few.matrix(pa.array(["äö"])).sum() > 2
+
+
+def test_language_model_against_plain_kernels(spark):
+    """The registered form, with Nystroem landmarks, against sets of n-grams in plain Python and a direct solution."""
+    from boxquarry.llm.language_id import identify_languages
+
+    rnd = random.Random(4)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "nopéèqrs"}
+    data = [(k, synthetic_language(rnd, alphabets[lang], rnd.randint(3, 40)), lang) for k in range(60) for lang in [("aa", "bb", "cc")[k % 3]]]
+    grams = lambda t: {(n, t[k : k + n]) for b in [t.translate(LOW).encode()] for t in [b] for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+    sets = [grams(t) for _, t, _ in data]
+    gram = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    k = np.array([[gram(x, y) for y in sets] for x in sets])
+    # twenty texts a language, all of them landmarks: then Nystroem's features span the kernel's, and ridge regression has its dual form
+    wanted = np.array([[1.0 if lang == name else -1.0 for name in alphabets] for *_, lang in data])
+    scores = k @ np.linalg.solve(k + 1e-3 * len(data) * np.eye(len(data)), wanted)
+    got = {r["doc_id"]: r for r in rows_of(identify_languages(spark.createDataFrame(data, "doc_id long, text string, lang string")))}
+    for (d, *_), own in zip(data, scores, strict=True):
+        assert got[d]["lang_pred"] == list(alphabets)[int(own.argmax())]
+        assert abs(got[d]["score"] - min(max((own.max() + 1) / 2, 0), 1)) < 2e-3
+
+
+def test_language_samples_count_rows(spark):
+    """Null and repeated ids are drawn row by row, within the bound; ties of scores go to the first name."""
+    from pyspark.sql import functions as F
+
+    from boxquarry.llm.language_id import identify_languages, training_sample
+
+    rnd = random.Random(6)
+    rows = [(None, synthetic_language(rnd, "abcdef", 12), "aa") for _ in range(3000)] + [(7, synthetic_language(rnd, "uvwxyz", 12), "bb") for _ in range(3000)] + [(8, "same text", "cc")] * 2000
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = training_sample(frame, "doc_id", "text", "lang", F.lit(True), 100, 16_000)
+    assert drawn["lang"].value_counts().to_dict() == {"aa": 100, "bb": 100} | {"cc": drawn["lang"].eq("cc").sum()} and 1 <= drawn["lang"].eq("cc").sum() <= 100
+    assert {r["lang_pred"] for r in rows_of(identify_languages(frame.limit(50)))} == {"aa"}
+    both = spark.createDataFrame([(1, "same text", "b"), (2, "same text", "a")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in rows_of(identify_languages(both))} == {"a"}
 
 
 def test_quality(spark):
@@ -518,3 +555,32 @@ def test_splits_order_pairs_and_split_a_hot_key():
     assert np.bincount(part).max() < 2 * 3000 / 16  # the hot key too is dealt to several ranges
     assert part.tolist() == [sum((k, n) < (x, y) for k, n in zip(splits.keys.tolist(), splits.nodes.tolist(), strict=True)) for x, y in zip(keys.tolist(), nodes.tolist(), strict=True)]
     assert Splits(keys[:0], nodes[:0], 16).part(keys, nodes).max() == 0
+
+
+def test_quality_against_a_direct_fit(spark):
+    """The ranker's weights against Newton's method in plain numpy on the same pairs, and the bound on rows of a repeated id."""
+    from boxquarry.llm.quality import THRESHOLD, fit_ranker, quality_scores, text_features
+
+    rnd = random.Random(8)
+    texts = [synthetic_language(rnd, "abcdefghij", rnd.randint(5, 60)) + (" !!! 99 $$" * rnd.randint(1, 4) if k % 2 else ".") for k in range(120)]
+    labels = np.array([1 - k % 2 for k in range(120)])
+    features = text_features(pa.array(texts))
+    model = fit_ranker(features, labels, pairs=500, ridge=3e-3, seed=11)
+    scale = features.std(axis=0)
+    x = np.clip((features - features.mean(axis=0)) / np.where(scale > 1e-9, scale, 1), -8, 8)
+    draw = np.random.default_rng(11)
+    d = x[draw.choice(np.flatnonzero(labels == 1), 500)] - x[draw.choice(np.flatnonzero(labels == 0), 500)]
+    w = np.zeros(d.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / 500 + 3e-3 * np.eye(len(w)), d.T @ p / 500 - 3e-3 * w)
+    assert np.allclose(model.weights, w, atol=1e-6)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(v), 0) for k, v in enumerate(labels)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in rows_of(quality_scores(frame, marks))}
+    order = np.lexsort((*features.T[::-1], labels))
+    full = fit_ranker(features[order], labels[order])
+    assert np.allclose([got[k]["score"] for k in range(120)], full.score(features), atol=1e-9)
+    assert all(got[k]["predicted"] == int(got[k]["score"] >= THRESHOLD) for k in got)
+    many = spark.createDataFrame([(1, f"{t} {k}") for k in range(20) for t in texts], "doc_id long, text string")
+    assert len(rows_of(quality_scores(many, marks, most=50))) == 2400
