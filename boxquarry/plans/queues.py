@@ -58,21 +58,6 @@ def c16_model_filters(spark: SparkSession, d: str) -> DataFrame:
     return e.where(F.col("event_type").contains("c") & (F.abs(F.col("value") - F.round("value", 1)) <= 1e-9) & (F.col("k") >= 50)).select("event_id", "k")
 
 
-_MARKS = ["crop", "resize", "screenshot", "render", "tin", "steel"]
-
-
-@query("c19_derived_tokens", f"SELECT p_partkey, list_filter({_MARKS}, lambda t: contains(lower(p_name || ' ' || p_type), t)) AS tokens FROM part")
-def c19_derived_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """The marks of derived files that a name holds."""
-    name = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    return a.table(spark, d, "part").select("p_partkey", F.filter(F.array(*[F.lit(m) for m in _MARKS]), lambda t: F.contains(name, t)).alias("tokens"))
-
-
-@query("c18_capture_usability", "SELECT p_partkey, CASE WHEN p_size IS NULL OR p_size < 5 THEN 'too_small' WHEN p_retailprice < 950 THEN 'no_rights' WHEN contains(lower(p_type), 'tin') OR contains(lower(p_type), 'steel') THEN 'derived' ELSE 'usable' END AS reason FROM part")
-def c18_capture_usability(spark: SparkSession, d: str) -> DataFrame:
-    derived = F.lower("p_type").contains("tin") | F.lower("p_type").contains("steel")
-    reason = _first_of([("too_small", F.col("p_size").isNull() | (F.col("p_size") < 5)), ("no_rights", F.col("p_retailprice") < 950), ("derived", derived)], "usable")
-    return a.table(spark, d, "part").select("p_partkey", reason.alias("reason"))
 
 
 @query("c20_review_focus", f"{_BASE}, s AS (SELECT image, list_distinct(list(class_id)) AS g FROM gt GROUP BY 1), p AS (SELECT image, list_distinct(list(class_id)) AS p FROM preds GROUP BY 1) SELECT image, coalesce(list_has_any(g, [3, 7]), false) AS in_labels, coalesce(list_has_any(p, [3, 7]), false) AS in_predictions FROM images LEFT JOIN s USING (image) LEFT JOIN p USING (image) WHERE coalesce(list_has_any(g, [3, 7]), false) OR coalesce(list_has_any(p, [3, 7]), false)")
@@ -102,12 +87,6 @@ def c25_single_class_view(spark: SparkSession, d: str) -> DataFrame:
     return a.gt_boxes(spark, d).select("image", "label_index", F.lit(0).alias("class_id"), F.col("class_id").alias("was"))
 
 
-@query("c28_scored_keep", "SELECT p_partkey, p_size FROM part WHERE p_retailprice >= 920 AND p_size BETWEEN 5 AND 40 AND NOT (p_type LIKE '%TIN' AND p_size < 20) AND p_brand <> 'Brand#11'")
-def c28_scored_keep(spark: SparkSession, d: str) -> DataFrame:
-    small_tin = F.col("p_type").like("%TIN") & (F.col("p_size") < 20)
-    return a.table(spark, d, "part").where((F.col("p_retailprice") >= 920) & F.col("p_size").between(5, 40) & ~small_tin & (F.col("p_brand") != "Brand#11")).select("p_partkey", "p_size")
-
-
 # ---- geometry and joins ----
 
 
@@ -138,12 +117,6 @@ def d19_no_box_cause(spark: SparkSession, d: str) -> DataFrame:
     return k.where("best < 0.5").select("image", "label_index", cause.alias("cause"))
 
 
-@query("d24_alpha_flags", "SELECT p_partkey, list_filter([CASE WHEN p_size < 10 THEN 'small' END, CASE WHEN p_retailprice > 1500 THEN 'dense' END, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'ragged' END], lambda x: x IS NOT NULL) AS flags FROM part")
-def d24_alpha_flags(spark: SparkSession, d: str) -> DataFrame:
-    flags = F.array_compact(F.array(F.when(F.col("p_size") < 10, "small"), F.when(F.col("p_retailprice") > 1500, "dense"), F.when(F.col("p_type").startswith("ECONOMY"), "ragged")))
-    return a.table(spark, d, "part").select("p_partkey", flags.alias("flags"))
-
-
 @query("e19_crop_to_box", f"{_BASE}, crops AS (SELECT image, pred_index % 3 AS label_index, pred_index, confidence FROM preds) SELECT c.image, c.pred_index, c.label_index, l.class_id, c.confidence FROM crops c JOIN gt l USING (image, label_index)")
 def e19_crop_to_box(spark: SparkSession, d: str) -> DataFrame:
     crops = a.pred_boxes(spark, d).select("image", (F.col("pred_index") % 3).alias("label_index"), "pred_index", "confidence")
@@ -175,16 +148,6 @@ def e23_errors_by_variant(spark: SparkSession, d: str) -> DataFrame:
 # ---- first of many ----
 
 
-@query("f5_nms_by_index", f"{_BASE}, x AS (SELECT image, pred_index, x1, y1, x2, y2, confidence FROM preds WHERE confidence >= 0.6), bad AS (SELECT DISTINCT l.image, l.pred_index FROM x l JOIN x w ON l.image = w.image AND (w.confidence, -w.pred_index) > (l.confidence, -l.pred_index) WHERE {sql_iou('l', 'w')} >= 0.5) SELECT image, pred_index FROM x ANTI JOIN bad USING (image, pred_index) WHERE image % 2 = 0 ORDER BY image, pred_index")
-def f5_nms_by_index(spark: SparkSession, d: str) -> DataFrame:
-    """Sure boxes of even images that no surer box overlaps by half (chains of three are cut at both ends)."""
-    x = a.pred_boxes(spark, d).where("confidence >= 0.6 and image % 2 = 0")
-    w = x.select("image", F.col("pred_index").alias("wi"), F.col("confidence").alias("wc"), *[F.col(c).alias(f"w_{c}") for c in ("x1", "y1", "x2", "y2")])
-    surer = (F.col("wc") > F.col("confidence")) | ((F.col("wc") == F.col("confidence")) & (F.col("wi") < F.col("pred_index")))
-    bad = x.join(w, "image").where(surer & (g.iou(g.box(), g.box("w_")) >= 0.5)).select("image", "pred_index").distinct()
-    return x.join(bad, ["image", "pred_index"], "left_anti").select("image", "pred_index")
-
-
 @query("f9_unique_in_class_source", f"{_BASE} SELECT class_id, source_group, image % 97 AS key, min(image) AS image, count(*) AS seen FROM gt JOIN images USING (image) GROUP BY 1, 2, 3")
 def f9_unique_in_class_source(spark: SparkSession, d: str) -> DataFrame:
     b = a.gt_boxes(spark, d).join(a.images(spark, d), "image")
@@ -282,12 +245,6 @@ def h20_queue_rank(spark: SparkSession, d: str) -> DataFrame:
 # ---- evidence ----
 
 
-@query("m5_empty_label_buckets", f"{_ROLL} SELECT CASE WHEN preds = 0 THEN 'true_background' WHEN surest >= 0.8 THEN 'likely_missing_label' WHEN surest >= 0.4 THEN 'review' ELSE 'weak_noise' END AS bucket, count(*) AS images FROM roll WHERE labels <= 1 GROUP BY 1")
-def m5_empty_label_buckets(spark: SparkSession, d: str) -> DataFrame:
-    bucket = _first_of([("true_background", F.col("preds") == 0), ("likely_missing_label", F.col("surest") >= 0.8), ("review", F.col("surest") >= 0.4)], "weak_noise")
-    return _roll(spark, d).where("labels <= 1").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("images"))
-
-
 @query("m7_obligation_rows", f"{_ROLL}, u AS (SELECT first_class, source_group, min(image) AS image FROM roll WHERE error > 0 AND first_class IS NOT NULL GROUP BY first_class, source_group, image % 31) SELECT first_class, source_group, image FROM u QUALIFY row_number() OVER (PARTITION BY first_class ORDER BY image) <= 20")
 def m7_obligation_rows(spark: SparkSession, d: str) -> DataFrame:
     u = _roll(spark, d).where("error > 0 and first_class is not null").groupBy("first_class", "source_group", F.col("image") % 31).agg(F.min("image").alias("image"))
@@ -358,12 +315,6 @@ def m17_view_counts(spark: SparkSession, d: str) -> DataFrame:
     return _roll(spark, d).groupBy("split", "source_group").agg(F.count("*").alias("rows"), F.sum("error").alias("errors"), F.count_if(F.col("labels") == 0).alias("without_labels"))
 
 
-@query("m19_zero_label_guardrail", f"{_ROLL}, z AS (SELECT image, split, CASE split WHEN 'train' THEN 20 WHEN 'val' THEN 10 ELSE 5 END AS cap FROM roll WHERE labels <= 1) SELECT split, image FROM z QUALIFY row_number() OVER (PARTITION BY split ORDER BY sha256(concat('m19:', image))) <= cap")
-def m19_zero_label_guardrail(spark: SparkSession, d: str) -> DataFrame:
-    z = sel.top_per_group(_roll(spark, d).where("labels <= 1"), ["split"], [sel.hash_order("m19", "image")], 20, rank="k")
-    return z.where(F.col("k") <= F.when(F.col("split") == "train", 20).when(F.col("split") == "val", 10).otherwise(5)).select("split", "image")
-
-
 @query("m21_reviewed_proposals", f"{_BASE}, r AS (SELECT image, pred_index, CASE WHEN x2 - x1 < 30 THEN 'too_thin' WHEN class_id > 12 THEN 'bad_class' WHEN confidence < 0.2 THEN 'unsure' END AS reason FROM preds) SELECT image, count(*) FILTER (reason IS NULL) AS accepted, count(reason) AS rejected, min(reason) AS first_reason FROM r GROUP BY 1")
 def m21_reviewed_proposals(spark: SparkSession, d: str) -> DataFrame:
     reason = _first_of([("too_thin", F.expr("x2 - x1 < 30")), ("bad_class", F.col("class_id") > 12), ("unsure", F.col("confidence") < 0.2)])

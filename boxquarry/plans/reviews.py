@@ -77,11 +77,6 @@ def d11_letterbox_inverse(spark: SparkSession, d: str) -> DataFrame:
     return p.select("image", "pred_index", back("x1", 16, "width").alias("ox1"), back("y1", 24, "height").alias("oy1"))
 
 
-@query("d17_hamming", "SELECT part.p_partkey, bit_count(xor(p_partkey * 37, p_partkey * 101))::BIGINT AS distance FROM part")
-def d17_hamming(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "part").select("p_partkey", F.bit_count((F.col("p_partkey") * 37).bitwiseXOR(F.col("p_partkey") * 101)).cast("long").alias("distance"))
-
-
 # ---- joins of runs ----
 
 
@@ -270,12 +265,6 @@ def j21_split_from_path(spark: SparkSession, d: str) -> DataFrame:
 # ---- statistics and gates ----
 
 
-@query("k2_usable_rows", "SELECT event_type, count(*) AS usable FROM events WHERE isfinite(value) AND value IS NOT NULL AND try_cast(value AS DOUBLE) >= 0 GROUP BY 1")
-def k2_usable_rows(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value").try_cast("double")
-    return a.table(spark, d, "events").where(v.isNotNull() & ~F.isnan(v) & (v >= 0)).groupBy("event_type").agg(F.count("*").alias("usable"))
-
-
 @query("k5_cosine_to_centroid", "WITH e AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), c AS (SELECT label, i, avg(v) AS c FROM e GROUP BY ALL) SELECT vec_id, round(1 - sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))), 5) AS distance FROM e JOIN c USING (label, i) GROUP BY vec_id")
 def k5_cosine_to_centroid(spark: SparkSession, d: str) -> DataFrame:
     e = a.table(spark, d, "embeddings")
@@ -290,14 +279,6 @@ def k12_quantile_block(spark: SparkSession, d: str) -> DataFrame:
     return q.select(*[F.round(n, 6).alias(n) for n in names])
 
 
-@query("l11_metadata_checks", "WITH x AS (SELECT 'brand' AS key, min(p_brand) AS v FROM part UNION ALL SELECT 'type', min(p_type) FROM part UNION ALL SELECT 'flag', NULL), y AS (SELECT 'brand' AS key, max(p_brand) AS v FROM part UNION ALL SELECT 'type', min(p_type) FROM part UNION ALL SELECT 'flag', NULL) SELECT key, x.v IS NOT DISTINCT FROM y.v AS passed FROM x JOIN y USING (key)")
-def l11_metadata_checks(spark: SparkSession, d: str) -> DataFrame:
-    p = a.table(spark, d, "part")
-    side = lambda brand: p.agg(brand.alias("brand"), F.min("p_type").alias("type"), F.lit(None).cast("string").alias("flag")).unpivot([], ["brand", "type", "flag"], "key", "v")
-    x, y = side(F.min("p_brand")), side(F.max("p_brand")).withColumnRenamed("v", "w")
-    return x.join(y, "key").select("key", F.col("v").eqNullSafe(F.col("w")).alias("passed"))
-
-
 @query("l14_baseline_deltas", f"{_BASE}, r AS (SELECT source_group, round(avg(confidence), 9) AS v FROM preds JOIN images USING (image) GROUP BY 1) SELECT source_group, v, round(v - (SELECT v FROM r WHERE source_group = '3-MEDIUM'), 9) AS delta FROM r")
 def l14_baseline_deltas(spark: SparkSession, d: str) -> DataFrame:
     r = a.pred_boxes(spark, d).join(a.images(spark, d), "image").groupBy("source_group").agg(F.round(F.avg("confidence"), 9).alias("v"))
@@ -322,13 +303,6 @@ def l28_quality_fractions(spark: SparkSession, d: str) -> DataFrame:
 # ---- audits ----
 
 
-@query("m1_label_audit", f"{_BASE}, b AS (SELECT image, label_index, CASE WHEN {_SIZE} < 800 THEN 1 END AS r1, CASE WHEN x2 > width OR y2 > height THEN 1 END AS r2, CASE WHEN x1 <= 2 THEN 1 END AS r3, CASE WHEN x2 - x1 > 3 * (y2 - y1) OR y2 - y1 > 3 * (x2 - x1) THEN 1 END AS r4 FROM gt JOIN images USING (image)) SELECT 'tiny_box' AS reason, count(r1) AS n FROM b UNION ALL SELECT 'outside_image', count(r2) FROM b UNION ALL SELECT 'touches_left', count(r3) FROM b UNION ALL SELECT 'extreme_aspect', count(r4) FROM b")
-def m1_label_audit(spark: SparkSession, d: str) -> DataFrame:
-    rules = [("tiny_box", g.area(g.box()) < 800), ("outside_image", F.expr("x2 > width or y2 > height")), ("touches_left", F.col("x1") <= 2), ("extreme_aspect", F.expr("x2 - x1 > 3 * (y2 - y1) or y2 - y1 > 3 * (x2 - x1)"))]
-    counts = a.gt_boxes(spark, d).join(a.images(spark, d), "image").agg(*[F.count_if(c).alias(n) for n, c in rules])
-    return counts.unpivot([], [n for n, _ in rules], "reason", "n")
-
-
 @query("m4_teacher_student", f"{_BASE}, t AS (SELECT DISTINCT l.image, l.label_index FROM gt l JOIN preds p ON p.image = l.image AND p.class_id = l.class_id AND p.pred_index % 2 = 0 AND {sql_iou('p', 'l')} >= 0.5), s AS (SELECT DISTINCT l.image, l.label_index FROM gt l JOIN preds p ON p.image = l.image AND p.class_id = l.class_id AND p.pred_index % 2 = 1 AND {sql_iou('p', 'l')} >= 0.5) SELECT CASE WHEN t.image IS NOT NULL AND s.image IS NOT NULL THEN 'both' WHEN t.image IS NOT NULL THEN 'teacher_only' WHEN s.image IS NOT NULL THEN 'student_only' ELSE 'neither' END AS bucket, count(*) AS labels FROM gt LEFT JOIN t USING (image, label_index) LEFT JOIN s USING (image, label_index) GROUP BY 1")
 def m4_teacher_student(spark: SparkSession, d: str) -> DataFrame:
     p, q = _gp(spark, d)

@@ -82,35 +82,6 @@ def a9_clamped_boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.select("image", "label_index", *[F.col(n).cast("long").alias(n) for n in c._fields], g.area(box).cast("long").alias("area"), g.touches_edge(box, F.col("width"), F.col("height"), 1).alias("edge_touch"), (F.least(box.x2 - box.x1, box.y2 - box.y1) < 30).alias("thin"))
 
 
-@query("a10_segments_to_boxes", f"{_BASE} SELECT image, label_index, class_id, x1 AS bx1, y1 AS by1, x2 + 3 AS bx2, y2 AS by2 FROM gt")
-def a10_segments_to_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """The bounding box of each outline x, y, x, y, ..."""
-    ring = F.array("x1", "y1", "x2", "y1", F.expr("x2 + 3"), F.expr("(y1 + y2) div 2"), "x2", "y2", "x1", "y2")
-    b = a.gt_boxes(spark, d).withColumn("ring", ring)
-    xs, ys = F.filter("ring", lambda v, k: k % 2 == 0), F.filter("ring", lambda v, k: k % 2 == 1)
-    return b.select("image", "label_index", "class_id", F.array_min(xs).alias("bx1"), F.array_min(ys).alias("by1"), F.array_max(xs).alias("bx2"), F.array_max(ys).alias("by2"))
-
-
-@query("r15_polygon_stats", f"{_BASE} SELECT image, label_index, 5 AS points, round({sql_area('gt')} + 1.5::DOUBLE * (y2 - y1), 6) AS area, round(({sql_area('gt')} + 1.5::DOUBLE * (y2 - y1)) / ((x2 + 3 - x1) * (y2 - y1)), 6) AS filled FROM gt")
-def r15_polygon_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Corners, area and share of the bounding box of each outline."""
-    ring = F.array(*[v.cast("double") for v in (F.col("x1"), F.col("y1"), F.col("x2"), F.col("y1"), F.expr("x2 + 3"), F.expr("(y1 + y2) div 2"), F.col("x2"), F.col("y2"), F.col("x1"), F.col("y2"))])
-    b = a.gt_boxes(spark, d).withColumn("ring", ring).withColumn("area", g.polygon_area(F.col("ring")))
-    return b.select("image", "label_index", F.floor(F.size("ring") / 2).alias("points"), F.round("area", 6).alias("area"), F.round(F.col("area") / F.expr("double((x2 + 3 - x1) * (y2 - y1))"), 6).alias("filled"))
-
-
-@query("r16_segment_repair", f"{_BASE} SELECT image, count(*) FILTER (label_index % 7 <> 6 AND x2 - x1 >= 30) AS kept, count(*) FILTER (label_index % 7 = 6 OR x2 - x1 < 30) AS dropped FROM gt GROUP BY 1")
-def r16_segment_repair(spark: SparkSession, d: str) -> DataFrame:
-    good = (F.col("label_index") % 7 != 6) & F.expr("x2 - x1 >= 30")
-    return a.gt_boxes(spark, d).groupBy("image").agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped"))
-
-
-@query("r27_segmentation_audit", f"{_BASE} SELECT class_id, count(*) AS outlines, round(min({sql_area('gt')} / (width * height)::DOUBLE), 6) AS least, round(max({sql_area('gt')} / (width * height)::DOUBLE), 6) AS most, count(*) FILTER ({sql_area('gt')} < 2000) AS tiny FROM gt JOIN images USING (image) GROUP BY 1")
-def r27_segmentation_audit(spark: SparkSession, d: str) -> DataFrame:
-    share = g.area(g.box()) / (F.col("width") * F.col("height")).cast("double")
-    return _boxes(spark, d).groupBy("class_id").agg(F.count("*").alias("outlines"), F.round(F.min(share), 6).alias("least"), F.round(F.max(share), 6).alias("most"), F.count_if(g.area(g.box()) < 2000).alias("tiny"))
-
-
 @query("a8_column_labels", "SELECT event_id, (event_id % 13)::INT AS class_id, 8 AS values FROM events WHERE event_id % 10 <> 3")
 def a8_column_labels(spark: SparkSession, d: str) -> DataFrame:
     """Label lines of a class and eight corner values; those of another width are left out."""

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxquarry.functions import geometry as g
 from boxquarry.operators import search as se
 from boxquarry.operators import selection as sel
 from boxquarry.plans import adapters as a

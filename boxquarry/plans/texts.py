@@ -118,17 +118,6 @@ def e17_exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("e18_near_hashes", "WITH h AS (SELECT p_partkey, ('0x' || md5(p_partkey::VARCHAR)[1:8])::BIGINT AS h FROM part) SELECT x.p_partkey AS a, y.p_partkey AS b, bit_count(xor(x.h, y.h))::BIGINT AS distance FROM h x JOIN h y ON x.p_partkey < y.p_partkey AND bit_count(xor(x.h, y.h)) <= 4")
-def e18_near_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of 32-bit hashes within four bits: of five bands of bits, one is equal in any such pair, so bands are an exact filter."""
-    h = a.table(spark, d, "part").select("p_partkey", F.conv(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 8), 16, 10).cast("long").alias("h"))
-    cuts = [(0, 7), (7, 7), (14, 6), (20, 6), (26, 6)]
-    banded = h.select("*", F.posexplode(F.array(*[F.expr(f"shiftrightunsigned(h, {at}) & {2**n - 1}") for at, n in cuts])).alias("band", "key"))
-    x, y = (banded.select("band", "key", F.col("p_partkey").alias(n), F.col("h").alias(f"h_{n}")) for n in ("a", "b"))
-    near = x.join(y, ["band", "key"]).where("a < b").withColumn("distance", F.bit_count(F.expr("h_a ^ h_b")).cast("long"))
-    return near.where("distance <= 4").select("a", "b", "distance").distinct()
-
-
 @query("c2_regex_stages", "WITH r AS (SELECT url, regexp_matches(url, 'example') AS req, regexp_matches(url, 'casino|/de/') AS blk FROM pages) SELECT count(*) AS before, count(*) FILTER (req) AS after_require, count(*) FILTER (req AND NOT blk) AS after_block FROM r")
 def c2_regex_stages(spark: SparkSession, d: str) -> DataFrame:
     """Rows left after each stage, counted in one pass."""
