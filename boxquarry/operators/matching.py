@@ -6,7 +6,7 @@ the JVM.  What one group holds is an image's boxes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,13 +70,53 @@ def match_predictions(preds: DataFrame, labels: DataFrame, threshold: float = 0.
     return greedy_pairs(overlaps(preds, labels, match_classes, threshold), order, keys)
 
 
+def by_image(preds: DataFrame, labels: DataFrame, keys: Sequence[str] = ("image",), more: Sequence[str] = ()) -> DataFrame:
+    """(keys, _p, _l): an image's predictions and labels as arrays, empty where it has none; each side is dealt out once.
+
+    ``more``: columns of predictions that are kept besides index, confidence, class and corners.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    held = lambda rows, name, *own: rows.groupBy(*keys).agg(F.collect_list(F.struct(*own, "class_id", *corners)).alias(name))
+    both = held(labels, "_l", "label_index").join(held(preds, "_p", "pred_index", "confidence", *more), list(keys), "full_outer")
+    return both.select(*keys, F.coalesce("_p", F.array()).alias("_p"), F.coalesce("_l", F.array()).alias("_l"))
+
+
 def match_globally(preds: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Matches by falling (IoU, confidence, label index, prediction index): first within classes, then the rest across classes; ``kind`` tells which."""
-    pairs = overlaps(preds, labels, least=threshold)
-    order = [-F.col("iou"), -F.col("confidence"), -F.col("label_index"), -F.col("pred_index")]
-    same = greedy_pairs(pairs.where("pred_class = label_class"), order).withColumn("kind", F.lit("matched"))
-    rest = pairs.where("pred_class <> label_class").join(same.select("image", "pred_index"), ["image", "pred_index"], "left_anti").join(same.select("image", "label_index"), ["image", "label_index"], "left_anti")
-    return same.unionByName(greedy_pairs(rest, order).withColumn("kind", F.lit("wrong_class")))
+    """Matches by falling (IoU, confidence, label index, prediction index): first within classes, then the rest across classes; ``kind`` tells which.
+
+    One fold over an image's pairs does both, as those within classes sort first.
+    """
+
+    def met(p: Column) -> Column:
+        pair = lambda x: F.struct((p["class_id"] != x["class_id"]).alias("other"), (-iou(box_in(p), box_in(x))).alias("o1"), (-p["confidence"]).alias("o2"), (-x["label_index"]).alias("o3"), (-p["pred_index"]).alias("o4"))
+        return F.filter(F.transform("_l", pair), lambda c: (c["o1"] < 0) & (c["o1"] <= -threshold))
+
+    def take(taken: Column, x: Column) -> Column:
+        used = F.exists(taken, lambda t: (t["pred_index"] == -x["o4"]) | (t["label_index"] == -x["o3"]))
+        return F.when(used, taken).otherwise(F.concat(taken, F.array(F.struct((-x["o4"]).alias("pred_index"), (-x["o3"]).alias("label_index"), (-x["o1"]).alias("iou"), F.when(x["other"], "wrong_class").otherwise("matched").alias("kind")))))
+
+    none = F.array().cast("array<struct<pred_index:bigint,label_index:bigint,iou:double,kind:string>>")
+    return by_image(preds, labels).select("image", F.inline(F.aggregate(F.array_sort(F.flatten(F.transform("_p", met))), none, take)))
+
+
+def sweep(preds: DataFrame, labels: DataFrame, grid: Sequence[Mapping[str, float]], keep: Callable[[Column, Column], Column], class_of: Callable[[Column, Column], Column] | None = None, threshold: float = 0.5) -> DataFrame:
+    """(the names of the grid, predictions, tp, gt) for each of its points: the predictions that ``keep`` lets through, and their matches.
+
+    ``keep`` and ``class_of``, the class that a prediction counts for, take a prediction and a point.  Boxes are dealt out by image once, however
+    many points there are; all points are folds over the same arrays, and an image gives three numbers a point.
+    """
+    points = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in g.items()]) for g in grid])
+
+    def at(g: Column) -> Column:
+        kept = F.filter("_p", lambda p: keep(p, g))
+        if class_of is not None:
+            kept = F.transform(kept, lambda p: p.withField("class_id", class_of(p, g)))
+        return F.struct(F.size(kept).alias("predictions"), F.size(match_in_arrays(kept, F.col("_l"), threshold)).alias("tp"), F.size("_l").alias("gt"))
+
+    each = by_image(preds, labels, more=("gate_class", "gate_conf")).select(F.posexplode(F.transform(points, at)).alias("k", "v"))
+    sums = each.groupBy("k").agg(*[F.sum(f"v.{n}").alias(n) for n in ("predictions", "tp", "gt")])
+    every = preds.sparkSession.createDataFrame([(k, *g.values()) for k, g in enumerate(grid)], "k int, " + ", ".join(f"{n} double" for n in grid[0]))
+    return every.join(F.broadcast(sums), "k", "left").fillna(0, ["predictions", "tp", "gt"]).drop("k")  # a row a point
 
 
 def suppress(boxes: DataFrame, threshold: float, order: Sequence[Column], keys: Sequence[str] = ("image",)) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxquarry.operators.matching import match_in_arrays
+from boxquarry.operators.matching import by_image, match_in_arrays
 
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
@@ -42,11 +42,7 @@ def outcomes(preds: DataFrame, labels: DataFrame, threshold: float = 0.5, match_
 
     Labels and predictions of an image meet once, and the match and its outcome are one fold: a shuffle of each side by its image at most.
     """
-    keys, corners = list(keys), ("x1", "y1", "x2", "y2")
-    held = lambda rows, name, *own: rows.groupBy(*keys).agg(F.collect_list(F.struct(*own, "class_id", *corners)).alias(name))
-    both = held(labels, "_l", "label_index").join(held(preds, "_p", "pred_index", "confidence"), keys, "full_outer")
-    taken, ls, ps = match_in_arrays(F.col("_p"), F.col("_l"), threshold, match_classes), F.coalesce("_l", F.array()), F.coalesce("_p", F.array())
-    both = both.select(*keys, ls.alias("_l"), ps.alias("_p"), taken.alias("_m"))
+    both = by_image(preds, labels, keys).withColumn("_m", match_in_arrays(F.col("_p"), F.col("_l"), threshold, match_classes))
     has = lambda name, x: F.exists("_m", lambda m: m[name] == x[name])
     row = lambda x, kind: F.struct(x["class_id"].alias("class_id"), kind.alias("kind"))
     of_labels = F.transform("_l", lambda x: row(x, F.when(has("label_index", x), F.lit("tp")).otherwise(F.lit("fn"))))

@@ -22,6 +22,15 @@ def _match_sql(preds: str = "preds", keys: str = "p.image", on: str = "p.image =
 {name} AS MATERIALIZED (SELECT {names}, a[i] AS pred_index, -1 - a[i + 1] AS label_index FROM (SELECT {names}, a, unnest(range(1, len(a) + 1, 2)) AS i FROM {name}_f))"""
 
 
+def _held_sql(preds: str, labels: str, same: bool = True) -> str:
+    """SQL of an image's labels (ls), predictions (ps) and matches (m: prediction, -1 - label, and so on) in one row, by one fold and no join after it."""
+    own = lambda rel, index, more: f"SELECT image, list({{'i': {index}, 'c': class_id{more}, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY {index}) AS s FROM {rel} GROUP BY 1"
+    pair = f"{{'o0': -a.f, 'o1': a.i, 'o2': -{sql_iou('a', 'b')}, 'o3': b.i, 'same': a.c = b.c}}"
+    fits = "z.o2 <= -0.5 AND z.same" if same else "z.o2 <= -0.5"
+    return f"""lp AS (SELECT image, coalesce(l.s, []) AS ls, coalesce(p.s, []) AS ps FROM ({own(labels, 'label_index', '')}) l FULL JOIN ({own(preds, 'pred_index', ", 'f': confidence")}) p USING (image)),
+held AS (SELECT image, ls, ps, list_reduce(list_transform(list_sort(list_filter(flatten(list_transform(ps, lambda a: list_transform(ls, lambda b: {pair}))), lambda z: {fits})), lambda z: [z.o1, -1 - z.o3]), {_TAKE}) AS m FROM lp)"""
+
+
 _OUTCOMES = """o AS (SELECT l.image, l.class_id, CASE WHEN m.image IS NULL THEN 'fn' ELSE 'tp' END AS kind FROM gt l LEFT JOIN m ON m.image = l.image AND m.label_index = l.label_index
  UNION ALL SELECT p.image, p.class_id, 'fp' FROM preds p LEFT JOIN m ON m.image = p.image AND m.pred_index = p.pred_index WHERE m.image IS NULL)"""
 _TALLY = """count(*) FILTER (kind <> 'fp') AS gt, count(*) FILTER (kind = 'tp') AS tp, count(*) FILTER (kind = 'fn') AS fn, count(*) FILTER (kind = 'fp') AS fp,
@@ -157,7 +166,10 @@ def e2_match_any_class(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_predictions(p, q, match_classes=False).withColumn("iou", F.round("iou", 9))
 
 
-@query("e3_label_assignment", f"{_BASE}, {_match_sql(on='p.image = l.image')} SELECT l.image, l.label_index, l.class_id AS label_class, p.class_id AS pred_class FROM gt l LEFT JOIN m USING (image, label_index) LEFT JOIN preds p ON p.image = m.image AND p.pred_index = m.pred_index")
+@query(
+    "e3_label_assignment",
+    f"""{_BASE}, {_held_sql('preds', 'gt', same=False)} SELECT image, b.i AS label_index, b.c AS label_class, (list_filter(ps, lambda a: a.i = m[list_position(m, -1 - b.i) - 1])[1]).c AS pred_class FROM (SELECT image, ps, m, unnest(ls) AS b FROM held)""",
+)
 def e3_label_assignment(spark: SparkSession, d: str) -> DataFrame:
     p, q = _gp(spark, d)
     m = matching.match_predictions(p, q, match_classes=False).select("image", "label_index", "pred_index")
@@ -212,9 +224,8 @@ def e10_class_compare(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "e13_candidate_only",
-    f"""{_BASE}, q AS (SELECT image, pred_index AS label_index, class_id, x1, y1, x2, y2 FROM preds WHERE pred_index % 2 = 0), cand AS (SELECT * FROM preds WHERE pred_index % 2 = 1),
-{_match_sql(preds='cand', on='p.image = l.image AND p.class_id = l.class_id').replace('JOIN gt l', 'JOIN q l')}
-SELECT image, pred_index, class_id FROM cand ANTI JOIN m USING (image, pred_index)""",
+    f"""{_BASE}, q AS (SELECT image, pred_index AS label_index, class_id, x1, y1, x2, y2 FROM preds WHERE pred_index % 2 = 0), cand AS (SELECT * FROM preds WHERE pred_index % 2 = 1), {_held_sql('cand', 'q')}
+SELECT image, a.i AS pred_index, a.c AS class_id FROM (SELECT image, m, unnest(ps) AS a FROM held) WHERE NOT list_contains(m, a.i)""",
 )
 def e13_candidate_only(spark: SparkSession, d: str) -> DataFrame:
     """Candidate boxes that no baseline box of their class accounts for, each baseline box serving once."""
@@ -435,16 +446,8 @@ _GRID_SQL = f"grid(threshold) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in _G
 SELECT g.threshold, coalesce(tp, 0) AS tp, (SELECT count(*) FROM gp WHERE gp.threshold = g.threshold) AS predictions, round(coalesce(tp, 0) / (SELECT count(*) FROM gt), 9) AS recall, round(coalesce(tp, 0) / nullif((SELECT count(*) FROM gp WHERE gp.threshold = g.threshold), 0), 9) AS precision FROM grid g LEFT JOIN s USING (threshold)""",
 )
 def l1_gate_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Each grid point takes its own predictions; the grid is five rows, and one shuffle by image serves all points."""
     p, q = _gp(spark, d)
-    grid = F.broadcast(spark.createDataFrame([(t,) for t in _GRID], "threshold double").coalesce(1))
-    gp = p.crossJoin(grid).where(~((F.col("gate_class") >= 11) & (F.col("gate_conf") >= F.col("threshold"))))
-    pairs = gp.select("threshold", "image", "class_id", "pred_index", "confidence", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")]).join(q.select("image", "class_id", "label_index", *[F.col(c).alias(f"l_{c}") for c in ("x1", "y1", "x2", "y2")]), ["image", "class_id"])
-    pairs = pairs.withColumn("iou", g.iou(g.box("p_"), g.box("l_"))).where("iou >= 0.5")
-    m = matching.greedy_pairs(pairs, [-F.col("confidence"), F.col("pred_index"), -F.col("iou"), F.col("label_index")], ["threshold", "image"])
-    counts = gp.groupBy("threshold").agg(F.count("*").alias("predictions"))
-    labels = q.agg(F.count("*").alias("gt"))
-    out = grid.join(m.groupBy("threshold").agg(F.count("*").alias("tp")), "threshold", "left").join(counts, "threshold", "left").crossJoin(F.broadcast(labels)).fillna(0, ["tp", "predictions"])
+    out = matching.sweep(p, q, [{"threshold": t} for t in _GRID], lambda p, g: ~((p["gate_class"] >= 11) & (p["gate_conf"] >= g["threshold"])))
     return out.select("threshold", "tp", "predictions", F.round(metrics.ratio(F.col("tp"), F.col("gt")), 9).alias("recall"), F.round(metrics.ratio(F.col("tp"), F.col("predictions")), 9).alias("precision"))
 
 

@@ -16,18 +16,6 @@ from boxquarry.plans.registry import query
 _BASE = with_ctes("classes", "images", "gt", "preds")
 
 
-def _at(spark: SparkSession, values: list[float], name: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame([(v,) for v in values], f"{name} double").coalesce(1))
-
-
-def _swept(preds: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Hits of each grid point: greedy matches of its predictions, one shuffle by point and image."""
-    corners = ("x1", "y1", "x2", "y2")
-    p = preds.select(*keys, "image", "class_id", "pred_index", "confidence", *[F.col(c).alias(f"p_{c}") for c in corners])
-    pairs = p.join(labels.select("image", "class_id", "label_index", *[F.col(c).alias(f"l_{c}") for c in corners]), ["image", "class_id"]).withColumn("iou", g.iou(g.box("p_"), g.box("l_"))).where("iou >= 0.5")
-    return matching.greedy_pairs(pairs, [-F.col("confidence"), F.col("pred_index"), -F.col("iou"), F.col("label_index")], [*keys, "image"]).groupBy(*keys).agg(F.count("*").alias("tp"))
-
-
 _RESCUE = "grid(rescue) AS (VALUES (0.6::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE))"
 
 
@@ -38,10 +26,7 @@ s AS (SELECT rescue, count(*) AS tp FROM m GROUP BY 1), n AS (SELECT rescue, cou
 )
 def l3_rescue_sweep(spark: SparkSession, d: str) -> DataFrame:
     """A base model's boxes with those of a second model from some confidence on."""
-    p, q = a.pred_boxes(spark, d), a.gt_boxes(spark, d)
-    gp = p.crossJoin(_at(spark, [0.6, 0.8, 0.95], "rescue")).where("pred_index % 2 = 0 and confidence >= 0.25 or pred_index % 2 = 1 and confidence >= rescue")
-    n = gp.groupBy("rescue").agg(F.count("*").alias("predictions"))
-    out = n.join(_swept(gp, q, ["rescue"]), "rescue").crossJoin(F.broadcast(q.agg(F.count("*").alias("gt"))))
+    out = matching.sweep(a.pred_boxes(spark, d), a.gt_boxes(spark, d), [{"rescue": r} for r in (0.6, 0.8, 0.95)], lambda p, g: (p["pred_index"] % 2 == 0) & (p["confidence"] >= 0.25) | (p["pred_index"] % 2 == 1) & (p["confidence"] >= g["rescue"]))
     return out.select("rescue", "predictions", "tp", (F.col("predictions") - F.col("tp")).alias("fp"), (F.col("gt") - F.col("tp")).alias("fn"))
 
 
@@ -53,10 +38,9 @@ s AS (SELECT det, cls, count(*) AS tp FROM m GROUP BY ALL), n AS (SELECT det, cl
 )
 def l4_two_stage_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Detector threshold times the threshold from which the second stage names the class."""
-    p = a.pred_boxes(spark, d).crossJoin(_at(spark, [0.3, 0.6], "det")).crossJoin(_at(spark, [0.2, 0.5], "cls")).where("confidence >= det")
-    gp = p.withColumn("class_id", F.when(F.col("gate_conf") >= F.col("cls"), F.col("gate_class")).otherwise(F.col("class_id")))
-    n = gp.groupBy("det", "cls").agg(F.count("*").alias("predictions"))
-    return n.join(_swept(gp, a.gt_boxes(spark, d), ["det", "cls"]), ["det", "cls"], "left").fillna(0, ["tp"])
+    grid = [{"det": x, "cls": y} for x in (0.3, 0.6) for y in (0.2, 0.5)]
+    named = lambda p, g: F.when(p["gate_conf"] >= g["cls"], p["gate_class"]).otherwise(p["class_id"])
+    return matching.sweep(a.pred_boxes(spark, d), a.gt_boxes(spark, d), grid, lambda p, g: p["confidence"] >= g["det"], named).drop("gt")
 
 
 def _checks_sql(source: str, rules: list[tuple[str, str, str]]) -> str:
