@@ -69,13 +69,6 @@ def c20_review_focus(spark: SparkSession, d: str) -> DataFrame:
     return out.where("in_labels or in_predictions")
 
 
-@query("c22_split_policy", f"{_BASE}, v AS (SELECT image, split, source_group, row_number() OVER (PARTITION BY source_group, image % 100 ORDER BY image) AS k FROM images) SELECT source_group, image, split FROM v WHERE CASE WHEN source_group = '1-URGENT' THEN split = 'train' WHEN source_group LIKE '5%' THEN split <> 'train' ELSE split IN ('val', 'test') END")
-def c22_split_policy(spark: SparkSession, d: str) -> DataFrame:
-    """Variants by each group's policy on splits."""
-    fits = F.when(F.col("source_group") == "1-URGENT", F.col("split") == "train").when(F.col("source_group").startswith("5"), F.col("split") != "train").otherwise(F.col("split").isin("val", "test"))
-    return a.images(spark, d).where(fits).select("source_group", "image", "split")
-
-
 @query("c23_visible_rows", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND length(trim(text)) > 0 AND contains(lower(text), 'the') AND turn < 4")
 def c23_visible_rows(spark: SparkSession, d: str) -> DataFrame:
     t = a.table(spark, d, "conversations")
@@ -123,20 +116,6 @@ def e19_crop_to_box(spark: SparkSession, d: str) -> DataFrame:
     return crops.join(a.gt_boxes(spark, d).select("image", "label_index", "class_id"), ["image", "label_index"]).select("image", "pred_index", "label_index", "class_id", "confidence")
 
 
-_SUPPORT = f"""sup AS (SELECT x.image, x.pred_index, y.class_id, y.confidence, y.pred_index AS other FROM preds x JOIN preds y ON x.image = y.image AND x.pred_index <> y.pred_index AND x.class_id <> y.class_id AND y.confidence > x.confidence WHERE {sql_iou('x', 'y')} >= 0.5),
-best AS (SELECT image, pred_index, arg_max(class_id, (confidence, -other)) AS class_id FROM sup GROUP BY 1, 2)"""
-
-
-@query("e22_supported_relabel", f"{_BASE}, {_SUPPORT} SELECT p.image, p.pred_index, coalesce(best.class_id, p.class_id) AS class_id, best.class_id IS NOT NULL AS relabelled FROM preds p LEFT JOIN best USING (image, pred_index)")
-def e22_supported_relabel(spark: SparkSession, d: str) -> DataFrame:
-    """A box takes the class of the surest surer box of another class that overlaps it by half.  All look at the classes as given."""
-    p = a.pred_boxes(spark, d)
-    y = p.select("image", F.col("pred_index").alias("other"), F.col("class_id").alias("oc"), F.col("confidence").alias("of"), *[F.col(c).alias(f"y_{c}") for c in ("x1", "y1", "x2", "y2")])
-    sup = p.join(y, "image").where((F.col("pred_index") != F.col("other")) & (F.col("class_id") != F.col("oc")) & (F.col("of") > F.col("confidence")) & (g.iou(g.box(), g.box("y_")) >= 0.5))
-    best = sup.groupBy("image", "pred_index").agg(F.max_by("oc", F.struct("of", -F.col("other"))).alias("new"))
-    return p.join(best, ["image", "pred_index"], "left").select("image", "pred_index", F.coalesce("new", "class_id").alias("class_id"), F.col("new").isNotNull().alias("relabelled"))
-
-
 @query("e23_errors_by_variant", f"{_ROLL}, o AS (SELECT image AS key, unnest([image, image + 1, image + 2]) AS variant FROM images WHERE image % 50 = 0) SELECT key, count(r.image) AS variants, coalesce(sum(error), 0)::BIGINT AS errors, arg_max(r.image, (error, -r.image)) AS worst FROM o LEFT JOIN roll r ON r.image = o.variant GROUP BY key")
 def e23_errors_by_variant(spark: SparkSession, d: str) -> DataFrame:
     """Rows that stand for several images, with the errors of all of them."""

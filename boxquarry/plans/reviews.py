@@ -56,14 +56,6 @@ def c14_reject_after_nms(spark: SparkSession, d: str) -> DataFrame:
     return metrics.gate_reject(kept, 13, 0.3).where("not rejected").select("image", "pred_index")
 
 
-@query("c21_review_routing", "SELECT doc_id, CASE WHEN quality IS NULL THEN 'unreviewed' WHEN toxic = 1 THEN 'blocked' WHEN quality = 1 THEN 'train' ELSE 'holdout' END AS bucket, CASE WHEN quality IS NULL THEN 'no_decision' WHEN toxic = 1 THEN 'toxic' WHEN n_chars < 200 THEN 'short' ELSE '' END AS reason FROM documents LEFT JOIN labels USING (doc_id)")
-def c21_review_routing(spark: SparkSession, d: str) -> DataFrame:
-    r = a.table(spark, d, "documents").select("doc_id", "n_chars").join(a.table(spark, d, "labels"), "doc_id", "left")
-    bucket = F.when(F.col("quality").isNull(), "unreviewed").when(F.col("toxic") == 1, "blocked").when(F.col("quality") == 1, "train").otherwise("holdout")
-    reason = F.when(F.col("quality").isNull(), "no_decision").when(F.col("toxic") == 1, "toxic").when(F.col("n_chars") < 200, "short").otherwise("")
-    return r.select("doc_id", bucket.alias("bucket"), reason.alias("reason"))
-
-
 @query("c27_quality_flags", f"{_BASE}, f AS (SELECT l_orderkey AS image, (l_linenumber - 1) // 2 AS label_index, bool_or(l_returnflag = 'A') AS flag FROM lineitem GROUP BY ALL) SELECT gt.image, gt.label_index FROM gt JOIN f USING (image, label_index) WHERE flag")
 def c27_quality_flags(spark: SparkSession, d: str) -> DataFrame:
     flag = a.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("image"), F.expr("(l_linenumber - 1) div 2").alias("label_index")).agg(F.bool_or(F.col("l_returnflag") == "A").alias("flag"))
@@ -104,20 +96,6 @@ def e11_ranked_deltas(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("place", F.rank().over(W.orderBy(F.desc("delta"))).cast("long"))
 
 
-def _ab_sql() -> str:
-    side = lambda n, cond: f"{n} AS (SELECT image, count(*) AS n FROM preds WHERE {cond} GROUP BY 1)"
-    return f"{side('ra', 'confidence >= 0.3')}, {side('rb', 'confidence >= 0.6')}, tg AS (SELECT image, count(*) AS n FROM gt GROUP BY 1), v AS (SELECT i.image, i.split, abs(coalesce(ra.n, 0) - coalesce(tg.n, 0)) AS ea, abs(coalesce(rb.n, 0) - coalesce(tg.n, 0)) AS eb FROM images i LEFT JOIN ra USING (image) LEFT JOIN rb USING (image) LEFT JOIN tg USING (image))"
-
-
-@query("e12_wins_and_losses", f"{_BASE}, {_ab_sql()} SELECT split, count(*) FILTER (eb < ea) AS wins, count(*) FILTER (eb > ea) AS losses, count(*) FILTER (eb = ea) AS ties, sum(eb - ea)::BIGINT AS error_delta FROM v GROUP BY split")
-def e12_wins_and_losses(spark: SparkSession, d: str) -> DataFrame:
-    p, q = _gp(spark, d)
-    n = p.groupBy("image").agg(F.count_if(F.col("confidence") >= 0.3).alias("a"), F.count_if(F.col("confidence") >= 0.6).alias("b"))
-    v = a.images(spark, d).join(n, "image", "left").join(q.groupBy("image").agg(F.count("*").alias("n")), "image", "left").fillna(0, ["a", "b", "n"])
-    v = v.withColumns({"ea": F.abs(F.col("a") - F.col("n")), "eb": F.abs(F.col("b") - F.col("n"))})
-    return v.groupBy("split").agg(F.count_if(F.col("eb") < F.col("ea")).alias("wins"), F.count_if(F.col("eb") > F.col("ea")).alias("losses"), F.count_if(F.col("eb") == F.col("ea")).alias("ties"), F.sum(F.col("eb") - F.col("ea")).alias("error_delta"))
-
-
 @query("e14_transfer_acceptances", f"{_BASE}, k AS (SELECT p.image, p.pred_index, l.label_index, p.class_id AS pc, l.class_id AS lc, {sql_iou('p', 'l')} AS iou FROM preds p LEFT JOIN gt l ON p.image = l.image AND {sql_intersection('p', 'l')} > 0), b AS (SELECT image, pred_index, max(iou) FILTER (label_index IS NOT NULL) AS best, arg_max(lc, (iou, -label_index)) FILTER (label_index IS NOT NULL) AS lc, any_value(pc) AS pc FROM k GROUP BY ALL) SELECT CASE WHEN best IS NULL THEN 'no_overlap' WHEN best < 0.5 THEN 'below_minimum' WHEN lc <> pc THEN 'class_conflict' ELSE 'accepted' END AS outcome, count(*) AS n FROM b GROUP BY 1")
 def e14_transfer_acceptances(spark: SparkSession, d: str) -> DataFrame:
     p, q = _gp(spark, d)
@@ -339,13 +317,6 @@ def r2_scoreable_images(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumns({"n": F.count("*").over(own), "undecided": F.bool_or(g.area(g.box()) < 900).over(own)}).where("n <= 4 and not undecided").select("image", "label_index")
 
 
-@query("r9_review_merge", "WITH e AS (SELECT doc_id, lang AS old, CASE WHEN doc_id % 4 = 0 THEN upper(lang) END AS new FROM documents) SELECT doc_id, coalesce(new, old) AS lang, new IS NOT NULL AND new <> old AS changed FROM e")
-def r9_review_merge(spark: SparkSession, d: str) -> DataFrame:
-    old = a.table(spark, d, "documents").select("doc_id", F.col("lang").alias("old"))
-    new = old.where("doc_id % 4 = 0").select("doc_id", F.upper("old").alias("new"))
-    return old.join(new, "doc_id", "left").select("doc_id", F.coalesce("new", "old").alias("lang"), F.coalesce(F.col("new") != F.col("old"), F.lit(False)).alias("changed"))
-
-
 @query("r12_best_label", f"{_BASE}, k AS (SELECT p.image, p.pred_index, l.label_index, {sql_iou('p', 'l')} AS iou FROM preds p JOIN gt l ON p.image = l.image) SELECT image, pred_index, arg_max(label_index, (iou, -label_index)) AS label_index, round(max(iou), 9) AS iou FROM k GROUP BY ALL")
 def r12_best_label(spark: SparkSession, d: str) -> DataFrame:
     """The label with the largest IoU, without a threshold: at 0 the first label stays."""
