@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxquarry.functions import geometry as g
+from boxquarry.operators import contracts
 from boxquarry.operators import selection as sel
 from boxquarry.operators.statistics import quantiles
 from boxquarry.plans import adapters as a
@@ -227,3 +228,28 @@ def m18_capture_registration(spark: SparkSession, d: str) -> DataFrame:
     # a base may have very many rows: numbered by ranges, those of the inventory first
     k = sel.number_in_groups(f, ["base"], [F.col("fresh"), F.col("doc_id")], "n", "size").where("fresh")
     return k.select("doc_id", "local_path", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.lit("_"), (F.col("n") + 1).cast("string"))).alias("image_id"), "scene_type")
+
+
+# ---- stored tables ----
+
+
+@query("l18_label_views", "WITH s AS (SELECT source, lang, sum(n_chars)::BIGINT AS n FROM documents GROUP BY ALL), r AS (SELECT source, lang, sum(length(text))::BIGINT AS n FROM documents GROUP BY ALL) SELECT source, lang, s.n AS stored, r.n AS counted FROM s FULL JOIN r USING (source, lang) WHERE s.n IS DISTINCT FROM r.n")
+def l18_label_views(spark: SparkSession, d: str) -> DataFrame:
+    """Groups whose stored number of characters isn't that of their texts."""
+    doc = a.table(spark, d, "documents")
+    stored, counted = doc.groupBy("source", "lang").agg(F.sum("n_chars").alias("n")), doc.groupBy("source", "lang").agg(F.sum(F.length("text")).alias("n"))
+    return contracts.view_differences(stored, counted, ["source", "lang"], "n")
+
+
+@query(
+    "l23_freshness",
+    "WITH r AS (SELECT doc_id::VARCHAR AS path, quality IS NOT NULL AS required, n_chars > 20 AS existed, CASE WHEN n_chars % 41 = 0 THEN '' ELSE sha256(n_chars::VARCHAR) END AS stored, doc_id FROM documents LEFT JOIN labels USING (doc_id)), n AS (SELECT doc_id, sha256(length(rtrim(text, '.'))::VARCHAR) AS now FROM documents WHERE lang IS NOT NULL AND length(text) > 20), j AS (SELECT r.*, now, n.doc_id IS NOT NULL AS here FROM r LEFT JOIN n USING (doc_id)) SELECT path, 'was missing when the report was generated' AS failure FROM j WHERE required AND NOT existed UNION ALL SELECT path, 'path is missing' FROM j WHERE NOT here AND (existed OR required) UNION ALL SELECT path, 'is missing sha256' FROM j WHERE here AND stored = '' UNION ALL SELECT path, 'fingerprint is stale' FROM j WHERE here AND stored <> '' AND stored <> now",
+)
+def l23_freshness(spark: SparkSession, d: str) -> DataFrame:
+    """Texts whose stored size isn't that of what is there without its last points, which are missing, or which were never recorded."""
+    doc = a.table(spark, d, "documents").join(a.table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    digest = lambda n: F.sha2(n.cast("string"), 256)
+    path = F.col("doc_id").cast("string").alias("path")
+    report = doc.select(path, F.col("quality").isNotNull().alias("required"), (F.col("n_chars") > 20).alias("existed"), F.when(F.col("n_chars") % 41 == 0, "").otherwise(digest(F.col("n_chars"))).alias("sha256"))
+    present = doc.where(F.col("lang").isNotNull() & (F.length("text") > 20)).select(path, digest(F.length(F.regexp_replace("text", "\\.+$", ""))).alias("sha256"))
+    return contracts.stale_rows(report, present)

@@ -128,13 +128,6 @@ def l17_count_contract(spark: SparkSession, d: str) -> DataFrame:
     return _checks(one, [("row_count", F.col("rows"), F.col("rows") == F.col("images")), ("label_total", F.col("labels"), F.col("labels") == F.col("boxes")), ("negative_counts", F.col("negative"), F.col("negative") == 0)])
 
 
-@query("l18_label_views", f"{_BASE}, v AS (SELECT image, class_id, CASE WHEN image % 500 = 3 THEN count(*) + 1 ELSE count(*) END AS n FROM gt GROUP BY 1, 2), r AS (SELECT image, class_id, count(*) AS n FROM gt GROUP BY 1, 2) SELECT image, class_id, n FROM v EXCEPT SELECT image, class_id, n FROM r")
-def l18_label_views(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of a stored count view that counting again doesn't give."""
-    r = a.gt_boxes(spark, d).groupBy("image", "class_id").agg(F.count("*").alias("n"))
-    return r.withColumn("n", F.when(F.col("image") % 500 == 3, F.col("n") + 1).otherwise(F.col("n"))).subtract(r)
-
-
 @query("l19_capture_report", "WITH n AS (SELECT p_brand, count(*) FILTER (p_size >= 5 AND p_retailprice >= 950) AS usable, count(*) AS all_rows FROM part GROUP BY 1) SELECT p_brand, usable, all_rows, CASE WHEN usable >= 70 THEN 'met' WHEN usable > 0 THEN 'partial' ELSE 'missing' END AS status FROM n")
 def l19_capture_report(spark: SparkSession, d: str) -> DataFrame:
     n = a.table(spark, d, "part").groupBy("p_brand").agg(F.count_if((F.col("p_size") >= 5) & (F.col("p_retailprice") >= 950)).alias("usable"), F.count("*").alias("all_rows"))
@@ -158,15 +151,6 @@ def l22_scorecard_axes(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("source_group").agg(F.element_at(F.array(*[F.lit(x) for x in _STATUS]), F.max("rank") + 1).alias("worst"), F.count_if(F.col("rank") == 0).alias("passed"), F.count("*").alias("axes"))
 
 
-@query("l23_freshness", "WITH now AS (SELECT doc_id, md5(text) AS print FROM documents), was AS (SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN 'old' ELSE md5(text) END AS print FROM documents WHERE doc_id % 33 <> 0) SELECT doc_id, CASE WHEN was.doc_id IS NULL THEN 'new' ELSE 'stale' END AS state FROM now LEFT JOIN was USING (doc_id) WHERE was.print IS DISTINCT FROM now.print")
-def l23_freshness(spark: SparkSession, d: str) -> DataFrame:
-    """Files whose stored fingerprint isn't the present one."""
-    now = a.table(spark, d, "documents").select("doc_id", F.md5("text").alias("print"))
-    was = now.where("doc_id % 33 <> 0").select("doc_id", F.when(F.col("doc_id") % 20 == 0, "old").otherwise(F.col("print")).alias("stored"), F.lit(True).alias("known"))
-    out = now.join(was, "doc_id", "left").where(~F.col("stored").eqNullSafe(F.col("print")))
-    return out.select("doc_id", F.when(F.col("known").isNull(), "new").otherwise("stale").alias("state"))
-
-
 @query("l24_readiness", f"{_ROLL}, s AS (SELECT source_group, count(*) FILTER (split = 'val') AS val, count(*) FILTER (source_family = 'real') AS real, max(error) AS most FROM roll GROUP BY 1) SELECT source_group, array_to_string(list_filter([CASE WHEN val < 310 THEN 'few_val' END, CASE WHEN real < 1990 THEN 'few_real' END, CASE WHEN most >= 5 THEN 'count_errors' END], lambda x: x IS NOT NULL), ';') AS blockers, NOT (val < 310 OR real < 1990 OR most >= 5) AS ready FROM s")
 def l24_readiness(spark: SparkSession, d: str) -> DataFrame:
     s = _roll(spark, d).groupBy("source_group").agg(F.count_if(F.col("split") == "val").alias("val"), F.count_if(F.col("source_family") == "real").alias("real"), F.max("error").alias("most"))
