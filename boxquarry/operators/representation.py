@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, GroupedData, Window as W
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from boxquarry.operators.selection import hash_order, number_in_groups, running_totals

@@ -97,9 +97,11 @@ def i20_calibrated_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _swapped(rows: DataFrame, out: Column, pool: DataFrame) -> DataFrame:
-    """``rows`` (ord, image) in which rows of ``out`` have an image of ``pool`` (k, image), in turn, at the same place."""
+    """``rows`` (ord, image) in which rows of ``out`` have an image of ``pool`` (k, image), in turn, at the same place; with an empty pool they go."""
     n = pool.count()
     gone, kept = rows.where(out), rows.where(~out)
+    if not n:
+        return kept.select("ord", "image")
     numbered = sel.number_rows(gone.select("ord"), [F.col("ord")], "at").withColumn("k", F.col("at") % n)
     return kept.select("ord", "image").unionByName(numbered.join(F.broadcast(pool), "k").select("ord", "image"))
 
