@@ -31,7 +31,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after deleting ASCII white space; null counts as empty.  Of equal texts the row
     with the most code points in its original text stays, then the smallest id, null ids last; of rows that are
     alike in all this, exactly one stays.  ``row`` (with_rows) is a struct of the row's own columns, so extra columns
-    with any name are safe.
+    with any name are safe.  Ids are whole numbers: a text that is none raises.
     """
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, "")
     row = F.struct(*[F.col(c) for c in docs.columns])

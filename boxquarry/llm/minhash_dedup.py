@@ -63,7 +63,8 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``width`` words (A-Z lower-cased, split at ASCII white space); component_id is the smallest id reachable.
     A text with fewer words is one shingle.  Null and empty texts have no shingles and stand alone.
     Documents with one and the same set are one node.  Rows with a null id stand alone, with a null component
-    and kept; repeated ids with one text are one document and give equal rows.  Extra columns are ignored.
+    and kept; repeated ids with one text are one document and give equal rows.  Extra columns are ignored.  Ids are whole
+    numbers: a text that is none raises.
     A pair of Jaccard 0.85 is overlooked with a chance of (1 - 0.85**rows)**bands = 8e-6.
     """
     minima = Minima(bands, rows)

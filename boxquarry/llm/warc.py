@@ -213,7 +213,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     stored_bytes is the size of the record's own payload and intact says whether its digest and size, recomputed from the
     archive, are those of its header (for revisits: whether it has no payload).  Null html is an empty payload; null urls are written
-    as ``urn:page:null``; repeated rows are written each; extra columns are ignored; an empty table gives no rows.
+    as ``urn:page:null``; repeated rows are written each; extra columns are ignored; an empty table gives no rows.  Ids are whole numbers: a text
+    that is none raises.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")

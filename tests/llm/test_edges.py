@@ -43,6 +43,17 @@ def test_line_dedup_edges(table, texts):
     assert kept == [(1, 0), (4, 0), (8, 2)]
 
 
+def test_dropping_lines_of_repeated_ids_is_an_error(spark):
+    from boxquarry.llm.line_dedup import drop_similar_lines
+
+    one = "a line that is long enough to be told apart\nanother one of some length"
+    rows = [(1, one), (2, one + "\nand a third line here"), (None, "a line without an id"), (3, "")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in rows_of(drop_similar_lines(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == {1: (one, 0), 2: ("and a third line here", 2)}
+    with pytest.raises(Exception, match="two rows share one doc_id"):
+        drop_similar_lines(spark.createDataFrame([*rows, (1, one)], "doc_id long, text string")).collect()
+
+
 def test_near_dedup_edges(table):
     from boxquarry.llm.minhash_dedup import drop_near_copies, minhash_components
 
