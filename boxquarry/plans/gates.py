@@ -52,17 +52,6 @@ def _checks(one: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFram
     return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value"), p.alias("passed")) for n, v, p in rules])))
 
 
-@query(
-    "l6_crop_visual_gate",
-    f"{_BASE}, f AS (SELECT avg({sql_area('gt')}) FILTER (source_family = 'real') AS r, avg({sql_area('gt')}) FILTER (source_family = 'synthetic') AS s, count(*) AS n FROM gt JOIN images USING (image)) {_checks_sql('f', [('area_ratio', 'round(s / r, 6)', 'round(s / r, 6) BETWEEN 0.9 AND 1.1'), ('crops', 'n', 'n >= 1000')])}",
-)
-def l6_crop_visual_gate(spark: SparkSession, d: str) -> DataFrame:
-    b = a.gt_boxes(spark, d).join(a.images(spark, d), "image")
-    mean = lambda f: F.avg(F.when(F.col("source_family") == f, g.area(g.box())))
-    one = b.agg(F.round(mean("synthetic") / mean("real"), 6).alias("ratio"), F.count("*").alias("n"))
-    return _checks(one, [("area_ratio", F.col("ratio"), F.col("ratio").between(0.9, 1.1)), ("crops", F.col("n"), F.col("n") >= 1000)])
-
-
 @query(
     "l7_negative_gate",
     f"{_BASE}, x AS (SELECT image, count(*) AS n, max(confidence) AS c FROM preds ANTI JOIN (SELECT image FROM gt WHERE class_id < 8) k USING (image) GROUP BY 1), f AS (SELECT count(*) AS images, round(avg(n), 6) AS mean, count(*) FILTER (c >= 0.9) AS sure FROM x) {_checks_sql('f', [('boxes_an_image', 'mean', 'mean <= 2'), ('sure_images', 'sure', 'sure * 2 <= images')])}",

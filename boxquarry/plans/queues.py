@@ -201,13 +201,6 @@ def h13_unique_sorted_spread(spark: SparkSession, d: str) -> DataFrame:
     return sel.spread(u, ["all"], [F.col("image")], 25).select("image")
 
 
-@query("h18_source_group_targets", f"{_BASE}, m AS (SELECT source_group, avg(x2 - x1) AS w FROM gt JOIN images USING (image) GROUP BY 1), t AS (SELECT avg(x2 - x1) AS w FROM gt) SELECT source_group, round(m.w, 6) AS width, round(abs(m.w - t.w), 6) AS distance FROM m, t")
-def h18_source_group_targets(spark: SparkSession, d: str) -> DataFrame:
-    b = a.gt_boxes(spark, d).join(a.images(spark, d), "image").withColumn("w", F.expr("x2 - x1"))
-    m = b.groupBy("source_group").agg(F.avg("w").alias("m"))
-    return m.crossJoin(F.broadcast(a.gt_boxes(spark, d).agg(F.avg(F.expr("x2 - x1")).alias("t")))).select("source_group", F.round("m", 6).alias("width"), F.round(F.abs(F.col("m") - F.col("t")), 6).alias("distance"))
-
-
 @query("h19_image_targets", f"{_BASE} SELECT image, round(min({sql_area('gt')} / (width * height)::DOUBLE), 9) AS least FROM gt JOIN images USING (image) GROUP BY 1 ORDER BY least, image LIMIT 150")
 def h19_image_targets(spark: SparkSession, d: str) -> DataFrame:
     b = a.gt_boxes(spark, d).join(a.images(spark, d), "image")

@@ -133,20 +133,6 @@ def e28_linked_or_all(spark: SparkSession, d: str) -> DataFrame:
 # ---- staged metrics ----
 
 
-@query(
-    "g5_staged_metrics",
-    f"{_BASE}, s2 AS (SELECT * FROM preds WHERE NOT (gate_class = 13 AND gate_conf >= 0.3)), {_match_sql()}, {_match_sql(preds='s2', name='m2')} SELECT 'raw' AS stage, (SELECT count(*) FROM preds) AS predictions, (SELECT count(*) FROM m) AS tp UNION ALL SELECT 'gated', (SELECT count(*) FROM s2), (SELECT count(*) FROM m2)",
-)
-def g5_staged_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Counts before and after the gate; each stage is matched on its own."""
-    p, q = _gp(spark, d)
-    gated = metrics.gate_reject(p, 13, 0.3).where("not rejected").drop("rejected")
-    staged = p.withColumn("stage", F.lit("raw")).unionByName(gated.withColumn("stage", F.lit("gated")))
-    counts = staged.groupBy("stage").agg(F.count("*").alias("predictions"))
-    tp = lambda x, n: matching.match_predictions(x, q).select(F.lit(n).alias("stage"))
-    return counts.join(tp(p, "raw").unionByName(tp(gated, "gated")).groupBy("stage").agg(F.count("*").alias("tp")), "stage")
-
-
 @query("g15_reason_counters", f"{_BASE}, r AS (SELECT split, source_group, CASE WHEN {_SIZE} < 900 THEN 'small' WHEN {_SIZE} > 15000 THEN 'large' ELSE 'plain' END AS reason FROM gt JOIN images USING (image)) SELECT split, source_group, reason, count(*) AS n FROM r GROUP BY GROUPING SETS ((split), (source_group), (reason), (split, reason))")
 def g15_reason_counters(spark: SparkSession, d: str) -> DataFrame:
     size = g.area(g.box())
@@ -162,12 +148,6 @@ def g26_count_targets(spark: SparkSession, d: str) -> DataFrame:
     return x.exceptAll(y).agg(F.count("*").alias("differing"))
 
 
-@query("g32_visual_flags", f"{_BASE}, r AS (SELECT image, min({_SIZE}) AS least, median({_SIZE}) AS mid FROM gt GROUP BY image) SELECT image, least, round(mid, 6) AS mid, concat_ws(',', CASE WHEN least < 900 THEN 'tiny' END, CASE WHEN mid < 2500 THEN 'small' END) AS flags FROM r")
-def g32_visual_flags(spark: SparkSession, d: str) -> DataFrame:
-    r = a.gt_boxes(spark, d).groupBy("image").agg(F.min(g.area(g.box())).alias("least"), F.percentile(g.area(g.box()), F.lit(0.5)).alias("mid"))
-    return r.select("image", "least", F.round("mid", 6).alias("mid"), F.concat_ws(",", F.when(F.col("least") < 900, "tiny"), F.when(F.col("mid") < 2500, "small")).alias("flags"))
-
-
 @query("g34_coverage", "SELECT p_brand, count(DISTINCT p_type) FILTER (p_partkey % 2 = 0) AS front, count(DISTINCT p_type) FILTER (p_partkey % 2 = 1) AS back, array_to_string(list_sort(list(p_partkey))[1:3], ',') AS examples FROM part GROUP BY p_brand")
 def g34_coverage(spark: SparkSession, d: str) -> DataFrame:
     p = a.table(spark, d, "part").withColumn("even", F.col("p_partkey") % 2 == 0)
@@ -270,14 +250,6 @@ def l15_distribution_gate(spark: SparkSession, d: str) -> DataFrame:
     return b.select((F.col("most") <= 2 * F.col("least")).alias("balanced"), (F.col("least") >= 100).alias("enough"))
 
 
-@query("l28_quality_fractions", f"{_BASE}, r AS (SELECT {_SIZE} AS s FROM gt), c AS (SELECT quantile_cont(s::DOUBLE, 0.1) AS soft FROM r) SELECT round(avg((s < 900)::INT), 9) AS tiny, round(avg((s <= (SELECT soft FROM c))::INT), 9) AS soft, round(quantile_cont(s::DOUBLE, 0.05), 6) AS p05 FROM r")
-def l28_quality_fractions(spark: SparkSession, d: str) -> DataFrame:
-    r = a.gt_boxes(spark, d).select(g.area(g.box()).alias("s"))
-    c = st.quantiles(r, [], "s", {"cut": 0.1, "low": 0.05})
-    share = lambda x: F.round(F.avg(x.cast("int")), 9)
-    return r.crossJoin(F.broadcast(c)).agg(share(F.col("s") < 900).alias("tiny"), share(F.col("s") <= F.col("cut")).alias("soft"), F.round(F.max("low"), 6).alias("p05"))
-
-
 # ---- audits ----
 
 

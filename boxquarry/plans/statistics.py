@@ -62,11 +62,6 @@ def g13_family_delta(spark: SparkSession, d: str) -> DataFrame:
     return st.mean_delta(_labelled(spark, d).withColumn("w", F.expr("x2 - x1")), ["class_id"], "source_family", "real", "synthetic", "w")
 
 
-@query("g14_rollup_levels", f"{_BASE} SELECT split, source_group, class_id, count(*) AS boxes, round(quantile_cont((x2 - x1)::DOUBLE, 0.5), 6) AS median_width FROM gt JOIN images USING (image) GROUP BY ROLLUP (split, source_group, class_id)")
-def g14_rollup_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _labelled(spark, d).rollup("split", "source_group", "class_id").agg(F.count("*").alias("boxes"), F.round(F.percentile(F.expr("x2 - x1"), F.lit(0.5)), 6).alias("median_width"))
-
-
 @query("g16_grouped_recall", f"{_BASE} SELECT source_family, split, count(*) AS gt, count(*) FILTER (p.image IS NOT NULL) AS hit, round(count(*) FILTER (p.image IS NOT NULL) / count(*), 9) AS recall FROM gt JOIN images USING (image) LEFT JOIN (SELECT DISTINCT image, class_id FROM preds) p ON p.image = gt.image AND p.class_id = gt.class_id GROUP BY ALL")
 def g16_grouped_recall(spark: SparkSession, d: str) -> DataFrame:
     seen = a.pred_boxes(spark, d).select("image", "class_id").distinct().withColumn("seen", F.lit(True))
@@ -139,14 +134,6 @@ def g28_issue_rollup(spark: SparkSession, d: str) -> DataFrame:
     return a.images(spark, d).select("image").join(r, "image", "left").fillna(0, ["issues", "worst"]).fillna("", ["reasons"])
 
 
-@query("g29_background_fp", f"{_BASE}, b AS (SELECT image FROM images ANTI JOIN gt USING (image)), f AS (SELECT p.* FROM preds p JOIN b USING (image)) SELECT (SELECT count(*) FROM b) AS images, count(DISTINCT image) AS images_with_fp, count(image) AS detections, round(count(image) / nullif((SELECT count(*) FROM b), 0), 9) AS fp_per_image FROM f")
-def g29_background_fp(spark: SparkSession, d: str) -> DataFrame:
-    b = a.images(spark, d).join(a.gt_boxes(spark, d), "image", "left_anti").select("image")
-    n = a.pred_boxes(spark, d).groupBy("image").agg(F.count("*").alias("n"))
-    r = b.join(n, "image", "left").agg(F.count("*").alias("images"), F.count("n").alias("images_with_fp"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"))
-    return r.withColumn("fp_per_image", F.round(F.try_divide(F.col("detections").cast("double"), F.col("images")), 9))
-
-
 @query("g30_mined_per_image", f"{_BASE} SELECT image, count(*) AS n, max(confidence) AS best, array_to_string(list_sort(list_distinct(list(class_id::VARCHAR))), ';') AS class_list FROM preds WHERE confidence >= 0.7 GROUP BY image")
 def g30_mined_per_image(spark: SparkSession, d: str) -> DataFrame:
     return a.pred_boxes(spark, d).where("confidence >= 0.7").groupBy("image").agg(F.count("*").alias("n"), F.max("confidence").alias("best"), F.array_join(F.array_sort(F.collect_set(F.col("class_id").cast("string"))), ";").alias("class_list"))
@@ -164,19 +151,6 @@ def g36_repeat_stress(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("image").agg(F.max("n").alias("most")).groupBy("most").agg(F.count("*").alias("images"))
 
 
-@query("g38_report_rollup", f"{_BASE}, v AS (SELECT i.image, i.split, (SELECT count(*) FROM gt WHERE gt.image = i.image) AS g, (SELECT count(*) FROM preds p WHERE p.image = i.image) AS p FROM images i) SELECT split, count(*) FILTER (p = g) AS perfect, count(*) FILTER (p < g) AS under_count, count(*) FILTER (p > g) AS over_count, count(*) FILTER (g = 0 AND p > 0) AS hard_negatives FROM v GROUP BY split")
-def g38_report_rollup(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda b, name: b.groupBy("image").agg(F.count("*").alias(name))
-    v = a.images(spark, d).join(n(a.gt_boxes(spark, d), "g"), "image", "left").join(n(a.pred_boxes(spark, d), "p"), "image", "left").fillna(0, ["g", "p"])
-    return v.groupBy("split").agg(F.count_if(F.col("p") == F.col("g")).alias("perfect"), F.count_if(F.col("p") < F.col("g")).alias("under_count"), F.count_if(F.col("p") > F.col("g")).alias("over_count"), F.count_if((F.col("g") == 0) & (F.col("p") > 0)).alias("hard_negatives"))
-
-
-@query("k3_feature_means", "SELECT label, round(avg(embedding[1]) FILTER (vec_id % 2 = 0), 6) AS mean_even, round(avg(embedding[1]) FILTER (vec_id % 2 = 1), 6) AS mean_odd FROM embeddings GROUP BY label")
-def k3_feature_means(spark: SparkSession, d: str) -> DataFrame:
-    e = a.table(spark, d, "embeddings").withColumn("v", F.col("embedding")[0].cast("double"))
-    return e.groupBy("label").agg(F.round(F.avg(F.when(F.col("vec_id") % 2 == 0, F.col("v"))), 6).alias("mean_even"), F.round(F.avg(F.when(F.col("vec_id") % 2 == 1, F.col("v"))), 6).alias("mean_odd"))
-
-
 _CENTRES = "e AS (SELECT label, vec_id % 2 AS domain, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), c AS (SELECT label, domain, i, avg(v) AS v FROM e GROUP BY ALL), p AS (SELECT label, i, max(v) FILTER (domain = 0) AS x, max(v) FILTER (domain = 1) AS y FROM c GROUP BY ALL)"
 
 
