@@ -16,6 +16,14 @@ from boxquarry.functions.geometry import box, box_in, coverage, iou
 _PAIR = "array<struct<pred_index:bigint,label_index:bigint,iou:double>>"
 
 
+def one_by_one(folded: Column) -> Column:
+    """The structs of an array that a fold has made as rows, an empty array as one row of nulls.
+
+    The outer form keeps Spark from adding a filter on the array's size below the generator, which would run the fold a second time.
+    """
+    return F.inline_outer(folded)
+
+
 def overlaps(preds: DataFrame, labels: DataFrame, match_classes: bool = False, least: float = 0.0) -> DataFrame:
     """Pairs of a prediction and a label of one image (and class) with an IoU over 0 and of ``least`` or more.
 
@@ -40,7 +48,7 @@ def greedy_pairs(candidates: DataFrame, order: Sequence[Column], keys: Sequence[
         return F.when(used, taken).otherwise(F.concat(taken, F.array(F.struct(x["pred_index"].alias("pred_index"), x["label_index"].alias("label_index"), x["iou"].alias("iou")))))
 
     taken = F.aggregate("c", F.array().cast(_PAIR), take)
-    return held.select(*keys, F.inline(taken))
+    return held.select(*keys, one_by_one(taken))
 
 
 def match_in_arrays(preds: Column, labels: Column, threshold: float, match_classes: bool = True) -> Column:
@@ -96,7 +104,7 @@ def match_globally(preds: DataFrame, labels: DataFrame, threshold: float = 0.5)
         return F.when(used, taken).otherwise(F.concat(taken, F.array(F.struct((-x["o4"]).alias("pred_index"), (-x["o3"]).alias("label_index"), (-x["o1"]).alias("iou"), F.when(x["other"], "wrong_class").otherwise("matched").alias("kind")))))
 
     none = F.array().cast("array<struct<pred_index:bigint,label_index:bigint,iou:double,kind:string>>")
-    return by_image(preds, labels).select("image", F.inline(F.aggregate(F.array_sort(F.flatten(F.transform("_p", met))), none, take)))
+    return by_image(preds, labels).select("image", one_by_one(F.aggregate(F.array_sort(F.flatten(F.transform("_p", met))), none, take))).where("pred_index is not null")
 
 
 def sweep(preds: DataFrame, labels: DataFrame, grid: Sequence[Mapping[str, float]], keep: Callable[[Column, Column], Column], class_of: Callable[[Column, Column], Column] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -113,7 +121,7 @@ def sweep(preds: DataFrame, labels: DataFrame, grid: Sequence[Mapping[str, float
             kept = F.transform(kept, lambda p: p.withField("class_id", class_of(p, g)))
         return F.struct(F.size(kept).alias("predictions"), F.size(match_in_arrays(kept, F.col("_l"), threshold)).alias("tp"), F.size("_l").alias("gt"))
 
-    each = by_image(preds, labels, more=("gate_class", "gate_conf")).select(F.posexplode(F.transform(points, at)).alias("k", "v"))
+    each = by_image(preds, labels, more=("gate_class", "gate_conf")).select(F.posexplode_outer(F.transform(points, at)).alias("k", "v"))
     sums = each.groupBy("k").agg(*[F.sum(f"v.{n}").alias(n) for n in ("predictions", "tp", "gt")])
     every = preds.sparkSession.createDataFrame([(k, *g.values()) for k, g in enumerate(grid)], "k int, " + ", ".join(f"{n} double" for n in grid[0]))
     return every.join(F.broadcast(sums), "k", "left").fillna(0, ["predictions", "tp", "gt"]).drop("k")  # a row a point
@@ -126,7 +134,7 @@ def suppress(boxes: DataFrame, threshold: float, order: Sequence[Column], keys:
     ordered = F.transform("c", lambda x: x["b"])
     none = F.filter(ordered, lambda x: F.lit(False))
     kept = F.aggregate(ordered, none, lambda kept, x: F.when(F.exists(kept, lambda k: iou(box_in(k), box_in(x)) >= threshold), kept).otherwise(F.concat(kept, F.array(x))))
-    return held.select(F.inline(kept)).select(*boxes.columns)
+    return held.select(one_by_one(kept)).select(*boxes.columns)
 
 
 def best_per_label(preds: DataFrame, labels: DataFrame, same_class: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxquarry.functions.geometry import box_in, iou
-from boxquarry.operators.matching import by_image, match_in_arrays
+from boxquarry.operators.matching import by_image, match_in_arrays, one_by_one
 
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
@@ -48,7 +48,7 @@ def outcomes(preds: DataFrame, labels: DataFrame, threshold: float = 0.5, match_
     row = lambda x, kind: F.struct(x["class_id"].alias("class_id"), kind.alias("kind"))
     of_labels = F.transform("_l", lambda x: row(x, F.when(has("label_index", x), F.lit("tp")).otherwise(F.lit("fn"))))
     extra = F.transform(F.filter("_p", lambda x: ~has("pred_index", x)), lambda x: row(x, F.lit("fp")))
-    return both.select(*keys, F.inline(F.concat(of_labels, extra)))
+    return both.select(*keys, one_by_one(F.concat(of_labels, extra)))
 
 
 def staged_outcomes(images: DataFrame, preds: DataFrame, labels: DataFrame, stages: Mapping[str, Callable[[Column], Column]], threshold: float = 0.5, more: Sequence[str] = ()) -> DataFrame:
@@ -61,7 +61,7 @@ def staged_outcomes(images: DataFrame, preds: DataFrame, labels: DataFrame, stag
     """
     both = images.join(by_image(preds, labels, more=more), "image", "left").withColumns({"_p": F.coalesce("_p", F.array()), "_l": F.coalesce("_l", F.array())})
     made = F.array(*[F.struct(F.lit(name).alias("stage"), keep(F.col("_p")).alias("_s")) for name, keep in stages.items()])
-    staged = both.select(*images.columns, "_p", "_l", F.inline(made))
+    staged = both.select(*images.columns, "_p", "_l", one_by_one(made))
     staged = staged.withColumns({"_m": match_in_arrays(F.col("_s"), F.col("_l"), threshold), "_n": match_in_arrays(F.col("_s"), F.col("_l"), threshold, False)})
 
     def of_label(x: Column) -> Column:

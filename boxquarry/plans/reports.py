@@ -14,6 +14,7 @@ from boxquarry.functions import geometry as g
 from boxquarry.operators import metrics
 from boxquarry.operators import selection as sel
 from boxquarry.operators import statistics as st
+from boxquarry.operators.matching import one_by_one
 from boxquarry.plans import adapters as a
 from boxquarry.plans.adapters import sql_iou, with_ctes
 from boxquarry.plans.detection import _match_sql
@@ -56,6 +57,10 @@ def _staged(spark: SparkSession, d: str) -> DataFrame:
     return metrics.staged_outcomes(images, a.pred_boxes(spark, d), _view(spark, d), _stages(), more=("gate_class", "gate_conf"))
 
 
+def _outcomes(staged: DataFrame) -> DataFrame:
+    return staged.select("stage", "split", "source_group", one_by_one(F.col("outcomes"))).where("kind is not null")
+
+
 _CORNERS = "confidence, x1, y1, x2, y2"
 _STAGED = f"""{_VIEW}, st AS MATERIALIZED (SELECT 'raw' AS stage, image, pred_index, class_id, {_CORNERS} FROM preds
  UNION ALL SELECT 'gated', image, pred_index, class_id, {_CORNERS} FROM preds WHERE NOT ({_RULES["reject"]})
@@ -123,7 +128,7 @@ def g5_staged_metrics(spark: SparkSession, d: str) -> DataFrame:
  FROM r JOIN images USING (image) GROUP BY ALL""",
 )
 def g5_staged_by_class(spark: SparkSession, d: str) -> DataFrame:
-    r = _staged(spark, d).select("stage", "source_group", F.inline("outcomes"))
+    r = _outcomes(_staged(spark, d))
     k = lambda *names: F.count_if(F.col("kind").isin(*names))
     misses = ("no_box", "wrong_class", "same_class_conflict")
     return r.groupBy("stage", "source_group", "class_id").agg(k("tp", *misses).alias("gt"), k("tp").alias("tp"), k(*misses).alias("fn"), k("fp").alias("fp"), F.count("other").alias("localization_tp"), *[k(m).alias(f"{m}_fn") for m in misses])
@@ -136,7 +141,7 @@ def g5_staged_by_class(spark: SparkSession, d: str) -> DataFrame:
 )
 def g5_no_box_causes(spark: SparkSession, d: str) -> DataFrame:
     """Why a stage has no box for a label: it was lost after the first stage, or how near the first stage came."""
-    r = _staged(spark, d).select("stage", "source_group", F.inline("outcomes")).where("kind = 'no_box'")
+    r = _outcomes(_staged(spark, d)).where("kind = 'no_box'")
     best = F.col("best_reference")
     cause = F.when(best >= 0.5, "reference_had_box_stage_lost").otherwise(F.concat(F.lit("reference_"), g.iou_bucket(best, 0.5)))
     return r.groupBy("stage", "source_group", "class_id", cause.alias("cause")).agg(F.count("*").alias("labels"))
