@@ -228,19 +228,6 @@ def m8_semantic_rows(spark: SparkSession, d: str) -> DataFrame:
     return sel.top_per_group(_roll(spark, d).where("kinds >= 2 and split = 'train'"), ["source_group"], [F.desc("kinds"), sel.hash_order("m8", "image")], 15).select("source_group", "image", "labels")
 
 
-_LEDGER = """SELECT 'count' AS kind, 'count:' || image AS id, image, error AS weight FROM roll WHERE error >= 2
-UNION ALL SELECT 'empty', 'empty:' || image, image, preds FROM roll WHERE labels <= 1 AND preds >= 2 UNION ALL SELECT 'unsure', 'count:' || image, image, 1 FROM roll WHERE surest < 0.3"""
-
-
-@query("m9_obligation_ledger", f"{_ROLL}, l AS ({_LEDGER}) SELECT id, arg_min(kind, kind) AS kind, image, max(weight) AS weight, count(*) AS evidence FROM l GROUP BY id, image")
-def m9_obligation_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Obligations of several kinds of evidence in one ledger; those with one id are one, with its evidence counted."""
-    r = _roll(spark, d)
-    parts = [("count", "error >= 2", "count:", F.col("error")), ("empty", "labels <= 1 and preds >= 2", "empty:", F.col("preds")), ("unsure", "surest < 0.3", "count:", F.lit(1).cast("long"))]
-    made = F.array_compact(F.array(*[F.when(F.expr(c), F.struct(F.lit(k).alias("kind"), F.concat(F.lit(p), F.col("image").cast("string")).alias("id"), w.cast("long").alias("weight"))) for k, c, p, w in parts]))
-    return r.select("image", F.inline(made)).groupBy("id", "image").agg(F.min("kind").alias("kind"), F.max("weight").alias("weight"), F.count("*").alias("evidence"))
-
-
 @query("m10_positive_error_ingest", f"{_ROLL} SELECT image, first_class, CASE WHEN preds < labels THEN 'recall' ELSE 'precision' END AS need, error FROM roll WHERE labels > 0 AND error >= 2")
 def m10_positive_error_ingest(spark: SparkSession, d: str) -> DataFrame:
     return _roll(spark, d).where("labels > 0 and error >= 2").select("image", "first_class", F.when(F.col("preds") < F.col("labels"), "recall").otherwise("precision").alias("need"), "error")

@@ -105,14 +105,6 @@ def e14_transfer_acceptances(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("e20_draft_checks", "WITH r AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) SELECT CASE WHEN o_orderkey IS NULL THEN 'unknown_image' WHEN l_linenumber > 6 THEN 'index_out_of_range' WHEN n > 1 THEN 'duplicate' ELSE 'ok' END AS problem, count(*) AS rows FROM r LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'P' GROUP BY 1")
-def e20_draft_checks(spark: SparkSession, d: str) -> DataFrame:
-    r = a.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
-    o = a.table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(True).alias("known"))
-    problem = F.when(F.col("known").isNull(), "unknown_image").when(F.col("l_linenumber") > 6, "index_out_of_range").when(F.col("n") > 1, "duplicate").otherwise("ok")
-    return r.join(o, "l_orderkey", "left").groupBy(problem.alias("problem")).agg(F.count("*").alias("rows"))
-
-
 @query("e21_fused_fragments", f"{_BASE}, k AS (SELECT DISTINCT l.image, l.label_index, p.pred_index FROM gt l JOIN preds p ON p.image = l.image AND p.class_id = l.class_id AND {sql_intersection('p', 'l')} / {sql_area('l')}::DOUBLE >= 0.6) SELECT image, count(DISTINCT label_index) AS supported, count(DISTINCT pred_index) AS proposals FROM k GROUP BY image")
 def e21_fused_fragments(spark: SparkSession, d: str) -> DataFrame:
     p, q = _gp(spark, d)
@@ -262,14 +254,6 @@ def m4_teacher_student(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("labels"))
 
 
-@query("m6_obligations", f"{_BASE}, {_match_sql()}, {_OUTCOMES}, t AS (SELECT class_id, {_TALLY} FROM o GROUP BY class_id) SELECT class_id, 'positive' AS kind, fn AS weight FROM t WHERE recall < 0.9 AND fn >= 10 UNION ALL SELECT class_id, 'negative', fp FROM t WHERE fp > tp")
-def m6_obligations(spark: SparkSession, d: str) -> DataFrame:
-    p, q = _gp(spark, d)
-    t = metrics.tally(metrics.outcomes(p, q), ["class_id"])
-    rules = F.array_compact(F.array(F.when((F.col("recall") < 0.9) & (F.col("fn") >= 10), F.struct(F.lit("positive").alias("kind"), F.col("fn").alias("weight"))), F.when(F.col("fp") > F.col("tp"), F.struct(F.lit("negative").alias("kind"), F.col("fp").alias("weight")))))
-    return t.select("class_id", F.inline(rules))
-
-
 @query("m20_pseudo_labels", f"{_BASE} SELECT image, pred_index FROM (SELECT *, {_SIZE} AS s FROM preds) WHERE class_id IN (1, 4) AND s BETWEEN 1000 AND 12000 QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY confidence DESC, s DESC, image, pred_index) <= 75")
 def m20_pseudo_labels(spark: SparkSession, d: str) -> DataFrame:
     p = a.pred_boxes(spark, d).withColumn("s", g.area(g.box())).where(F.col("class_id").isin(1, 4) & F.col("s").between(1000, 12000))
