@@ -88,7 +88,7 @@ def d4_iou_matrix(spark: SparkSession, d: str) -> DataFrame:
     """For each prediction, its IoU with every label of the image, in the labels' order."""
     p, q = a.pred_boxes(spark, d), a.gt_boxes(spark, d)
     x = p.select("image", "pred_index", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")]).join(q.select("image", "label_index", *[F.col(c).alias(f"l_{c}") for c in ("x1", "y1", "x2", "y2")]), "image")
-    held = F.array_sort(F.collect_list(F.struct("label_index", F.round(g.iou(g.box("p_"), g.box("l_")), 9).alias("iou"))))
+    held = F.array_sort(F.collect_list(F.struct("label_index", g.rounded(g.iou(g.box("p_"), g.box("l_")), 9).alias("iou"))))
     return x.groupBy("image", "pred_index").agg(F.transform(held, lambda v: v["iou"]).alias("ious"))
 
 

@@ -101,3 +101,17 @@ def test_values_that_cancel_are_exact(spark):
     got = {r.image: r for r in metrics.per_image_values(images, preds, labels, classes).collect()}
     assert got[1].exact_value and not got[1].exact_count and got[1].count_error == 1
     assert got[2].exact_value and got[2].exact_count
+
+
+def test_rounding_against_sql(spark):
+    """Ratios whose tenth decimal is a last 5, which Spark's own round takes up where a product of doubles falls short."""
+    import duckdb
+
+    from boxquarry.functions.geometry import rounded
+
+    rows = [(k, n, (-1) ** k * k / n) for n in (5120, 10240, 25600, 7) for k in range(1, n, 3)] + [(0, 1, 0.0), (1, 1, 1.0)]
+    got = [r["v"] for r in spark.createDataFrame(rows, "k long, n long, x double").select(rounded(F.col("x"), 9).alias("v")).collect()]
+    db = duckdb.connect()
+    want = [db.execute("SELECT list_transform(?::DOUBLE[], lambda v: round(v, 9))", [[x for _, _, x in rows]]).fetchall()[0][0]][0]
+    assert got == want
+    assert spark.range(1).select(rounded(F.lit(None).cast("double"), 9).alias("v")).collect()[0]["v"] is None
