@@ -584,3 +584,24 @@ def test_quality_against_a_direct_fit(spark):
     assert all(got[k]["predicted"] == int(got[k]["score"] >= THRESHOLD) for k in got)
     many = spark.createDataFrame([(1, f"{t} {k}") for k in range(20) for t in texts], "doc_id long, text string")
     assert len(rows_of(quality_scores(many, marks, most=50))) == 2400
+
+
+def test_quality_learns_from_all_rows(spark):
+    """Groups of a few rows, a label rarer than the groups, and rows beyond any bound: the model moves with each labelled row."""
+    from boxquarry.llm.quality import FEATURES, _fit, fit_ranker, pair_sums
+
+    rnd = np.random.default_rng(5)
+    labels = np.array([0] * 3 + [1] * 77)
+    x = rnd.normal(size=(80, FEATURES)) + labels[:, None] * rnd.normal(size=FEATURES)
+    good, bad, w = x[labels == 1], x[labels == 0], rnd.normal(size=FEATURES) / 10
+    d = (good[:, None, :] - bad[None, :, :]).reshape(-1, FEATURES)
+    p = 1 / (1 + np.exp(d @ w))
+    gradient, hessian = pair_sums(good, bad, w)
+    assert np.allclose(gradient, -(d.T @ p)) and np.allclose(hessian, (d * (p * (1 - p))[:, None]).T @ d)
+    rows = [(int(k), n, v.tobytes()) for n, (k, v) in enumerate(zip(labels, x, strict=True))]
+    fit = lambda rows, group: _fit(spark.createDataFrame(rows, "label int, place long, x binary"), group)
+    one, full = fit(rows, 100), fit_ranker(x, labels)
+    assert np.allclose(one.weights, full.weights, atol=1e-9) and np.isclose(one.cut, full.cut) and np.isclose(one.unit, full.unit)
+    many, fewer = fit(rows, 8), fit(rows[:-1], 8)
+    assert np.isfinite(many.weights).all() and not np.allclose(many.weights, fewer.weights, atol=1e-9)
+    assert ((many.raw(x) > many.raw(x[:3]).max())[3:]).mean() > 0.9
