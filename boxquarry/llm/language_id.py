@@ -25,6 +25,9 @@ UNKNOWN = "und"
 #: n-grams that each language has at least, however many languages there are
 LEAST_GRAMS = 64
 
+#: texts in one matrix of presences: 16 MB with 8192 n-grams
+MOST_ROWS = 512
+
 
 def gram_codes(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams inside texts, and their texts."""
@@ -116,7 +119,9 @@ class LanguageModel:
         return (own @ self.landmarks) / np.sqrt(np.maximum(own.sum(axis=1), 1))[:, None]
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return self.kernel(self.presence.matrix(column)).astype(np.float64) @ self.weights
+        # very short texts are many to a slice, and each has a row as long as there are n-grams
+        each = [self.kernel(self.presence.matrix(column.slice(k, MOST_ROWS))) for k in range(0, max(len(column), 1), MOST_ROWS)]
+        return np.concatenate(each).astype(np.float64) @ self.weights
 
 
 def fit(sets: list[np.ndarray], languages: list[str], landmarks: int = 40, ridge: float = 1e-3, most_grams: int = 8192) -> LanguageModel:

@@ -605,3 +605,22 @@ def test_quality_learns_from_all_rows(spark):
     many, fewer = fit(rows, 8), fit(rows[:-1], 8)
     assert np.isfinite(many.weights).all() and not np.allclose(many.weights, fewer.weights, atol=1e-9)
     assert ((many.raw(x) > many.raw(x[:3]).max())[3:]).mean() > 0.9
+
+
+def test_language_scores_of_many_short_texts_in_bounded_memory():
+    import tracemalloc
+
+    from boxquarry.llm.language_id import fit, gram_sets
+
+    rnd = random.Random(12)
+    texts = [synthetic_language(rnd, "abcdef" if k % 2 else "uvwxyz", 40) for k in range(60)]
+    model = fit(gram_sets(pa.array(texts)), ["aa" if k % 2 else "bb" for k in range(60)])
+    short = pa.array([texts[k % 60][:20] for k in range(20_000)])
+    want = model.scores(short.slice(0, 60))
+    model.presence.tables  # built once a worker
+    tracemalloc.start()
+    got = model.scores(short)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (20_000, 2) and np.allclose(got[:60], want, atol=1e-5) and np.allclose(got[-20:], want[(np.arange(19_980, 20_000)) % 60], atol=1e-5)
+    assert peak < 4 * len(short) * model.presence.size / 2  # the texts' own matrix would be twice that
