@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from boxquarry.sources.scratch import cut
 
+FEW_GROUPS = 10_000
+
 
 def hash_order(seed: str, *keys: str) -> Column:
     """A fixed pseudo-random order: SHA-256 of the seed and the keys."""
@@ -87,10 +89,13 @@ def running_totals(rows: DataFrame, order: Sequence[Column], weight: str, name:
 def number_in_groups(rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, size: str) -> DataFrame:
     """``rows`` numbered from 0 within each group in this order, with the group's ``size``; no group is held by one task.
 
-    Nulls in ``by`` form no group and go.
+    Nulls in ``by`` form no group and go.  Starts of up to FEW_GROUPS groups are broadcast; those of more are joined, where Spark may split a hot group.
     """
     numbered = number_rows(rows, [*[F.col(c) for c in by], *order], "_all")
-    starts = numbered.groupBy(*by).agg(F.min("_all").alias("_start"), F.count("*").alias(size))
+    starts = cut(numbered.groupBy(*by).agg(F.min("_all").alias("_start"), F.count("*").alias(size)), "starts")
+    # a join by few groups would put each of them into one task
+    if starts.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        starts = F.broadcast(starts)
     return numbered.join(starts, list(by)).withColumn(name, F.col("_all") - F.col("_start")).drop("_all", "_start")
 
 

@@ -118,3 +118,21 @@ def test_separator_against_a_direct_fit(frame):
     want = np.mean([(a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]])
     assert math.isclose(auc(model.predictions, "p", "domain"), want, rel_tol=1e-12)
     assert auc(model.predictions.where("domain = 1"), "p", "domain") is None
+
+
+def test_two_large_groups_are_not_dealt_by_group(spark):
+    """Numbering by a key of two values joins the starts by a broadcast, though broadcasts by size are off."""
+    from pyspark.sql import functions as F
+
+    from boxquarry.operators.selection import number_in_groups
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = number_in_groups(spark.range(1000).withColumn("domain", F.col("id") % 2), ["domain"], [-F.col("id")], "k", "n")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["id"], r["k"], r["n"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == {(v, (999 - v) // 2, 500) for v in range(1000)}
+    assert "SortMergeJoin" not in plan and "hashpartitioning(domain" not in plan
