@@ -244,9 +244,9 @@ _FALSE = f"f AS (SELECT p.image, p.pred_index, p.class_id, p.confidence, {sql_ar
 
 def _false(spark: SparkSession, d: str) -> DataFrame:
     """Predictions that overlap no label of their class by half."""
-    p = a.pred_boxes(spark, d)
-    hits = matching.overlaps(p, a.gt_boxes(spark, d), match_classes=True, least=0.5).select("image", "pred_index").distinct()
-    return p.join(hits, ["image", "pred_index"], "left_anti").withColumn("area", g.area(g.box()))
+    p = a.pred_boxes(spark, d).withColumn("area", g.area(g.box()))
+    best = matching.best_per_prediction(p, a.gt_boxes(spark, d), more=("class_id", "confidence", "area"))
+    return best.where("same is null or same < 0.5").drop("near", "same")
 
 
 @query(
