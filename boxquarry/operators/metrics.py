@@ -7,8 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxquarry.functions.geometry import box_in, iou
-from boxquarry.operators.matching import by_image, match_in_arrays, one_by_one
+from boxquarry.functions.geometry import area, box_in, intersection, iou_of_areas
+from boxquarry.operators.matching import by_image, match_in_arrays, one_by_one, pairs_in_arrays, take_pairs
 
 
 def ratio(part: Column, whole: Column, empty: float | None = None) -> Column:
@@ -51,32 +51,43 @@ def outcomes(preds: DataFrame, labels: DataFrame, threshold: float = 0.5, match_
     return both.select(*keys, one_by_one(F.concat(of_labels, extra)))
 
 
-def staged_outcomes(images: DataFrame, preds: DataFrame, labels: DataFrame, stages: Mapping[str, Callable[[Column], Column]], threshold: float = 0.5, more: Sequence[str] = ()) -> DataFrame:
+def staged_outcomes(images: DataFrame, preds: DataFrame, labels: DataFrame, stages: Mapping[str, Callable[[Column], Column]], threshold: float = 0.5, more: Sequence[str] = (), best: Sequence[str] = ("best_stage", "best_reference")) -> DataFrame:
     """One row for each image and stage: the columns of ``images``, stage, ``_s`` (its predictions), ``_l`` (the labels) and ``outcomes``.
 
     A stage makes its predictions of an image's array of all; each is matched on its own.  ``outcomes`` has (at, class_id, kind, other, best_stage, best_reference)
     of each label, and of each prediction without one (kind fp); ``at`` is its index.  A label that isn't hit is no_box if no free prediction of any class takes it,
     same_class_conflict if one of its class would, wrong_class if another would; ``other`` is that prediction's class, set for hits too.  The best
-    IoUs are those with the stage's and with all predictions, null without any.  Images without boxes stay.  Labels and predictions meet once for all stages.
+    IoUs are those with the stage's and with all predictions, null without any; those that ``best`` doesn't name are null, and cost nothing.  Images without boxes stay.  Labels and predictions meet once for all stages.
     """
     both = images.join(by_image(preds, labels, more=more), "image", "left").withColumns({"_p": F.coalesce("_p", F.array()), "_l": F.coalesce("_l", F.array())})
     made = F.array(*[F.struct(F.lit(name).alias("stage"), keep(F.col("_p")).alias("_s")) for name, keep in stages.items()])
     staged = both.select(*images.columns, "_p", "_l", one_by_one(made))
-    staged = staged.withColumns({"_m": match_in_arrays(F.col("_s"), F.col("_l"), threshold), "_n": match_in_arrays(F.col("_s"), F.col("_l"), threshold, False)})
+    # pairs are sought once for both matches
+    staged = staged.withColumn("_c", pairs_in_arrays(F.col("_s"), F.col("_l"), threshold))
+    staged = staged.withColumns({"_m": take_pairs(F.filter("_c", lambda c: c["k"] == c["p"]["class_id"])), "_n": take_pairs(F.col("_c"))})
 
-    def of_label(x: Column) -> Column:
-        met = F.get(F.filter("_n", lambda m: m["label_index"] == x["label_index"]), F.lit(0))["pred_index"]
-        other = F.get(F.filter("_s", lambda p: p["pred_index"] == met), F.lit(0))["class_id"]
-        kind = F.when(F.exists("_m", lambda m: m["label_index"] == x["label_index"]), "tp").when(other.isNull(), "no_box").when(other == x["class_id"], "same_class_conflict").otherwise("wrong_class")
-        best = lambda of: F.array_max(F.transform(of, lambda p: iou(box_in(p), box_in(x)).cast("double")))
-        return F.struct(x["label_index"].alias("at"), x["class_id"].alias("class_id"), kind.alias("kind"), other.alias("other"), best("_s").alias("best_stage"), best("_p").alias("best_reference"))
+    none = F.lit(None).cast("double")
+
+    def best_of(name: str, of: str, x: Column) -> Column:
+        if name not in best:
+            return none.alias(name)
+        shared = F.transform(of, lambda p: F.struct(intersection(box_in(p), box_in(x)).alias("both"), area(box_in(p)).alias("own")))
+        return F.array_max(F.transform(shared, lambda c: iou_of_areas(c["both"], c["own"], area(box_in(x))).cast("double"))).alias(name)
+
+    def found(x: Column) -> Column:
+        other = F.get(F.filter("_n", lambda m: m["label_index"] == x["label_index"]), F.lit(0))["pred_class"]
+        return F.struct(x.alias("x"), F.exists("_m", lambda m: m["label_index"] == x["label_index"]).alias("hit"), other.alias("other"))
+
+    def of_label(f: Column) -> Column:
+        x, other = f["x"], f["other"]
+        kind = F.when(f["hit"], "tp").when(other.isNull(), "no_box").when(other == x["class_id"], "same_class_conflict").otherwise("wrong_class")
+        return F.struct(x["label_index"].alias("at"), x["class_id"].alias("class_id"), kind.alias("kind"), other.alias("other"), best_of("best_stage", "_s", x), best_of("best_reference", "_p", x))
 
     def of_extra(p: Column) -> Column:
-        none = F.lit(None).cast("double")
         return F.struct(p["pred_index"].alias("at"), p["class_id"].alias("class_id"), F.lit("fp").alias("kind"), F.lit(None).cast("long").alias("other"), none.alias("best_stage"), none.alias("best_reference"))
 
     extra = F.filter("_s", lambda p: ~F.exists("_m", lambda m: m["pred_index"] == p["pred_index"]))
-    return staged.select(*images.columns, "stage", "_s", "_l", F.concat(F.transform("_l", of_label), F.transform(extra, of_extra)).alias("outcomes"))
+    return staged.select(*images.columns, "stage", "_s", "_l", F.concat(F.transform(F.transform("_l", found), of_label), F.transform(extra, of_extra)).alias("outcomes"))
 
 
 def tally(rows: DataFrame, by: Sequence[str], empty: float | None = None) -> DataFrame:

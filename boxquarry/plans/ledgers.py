@@ -20,7 +20,7 @@ _MISSES = ("no_box", "wrong_class", "same_class_conflict")
 def _run(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes of the gated stage, counted finely: (split, source_group, class_id, kind, other, bare, image_rows, n); bare tells images without labels."""
     images = a.images(spark, d).select("image", "split", "source_group")
-    staged = metrics.staged_outcomes(images, a.pred_boxes(spark, d), _view(spark, d), {"gated": _stages()["gated"]}, more=("gate_class", "gate_conf"))
+    staged = metrics.staged_outcomes(images, a.pred_boxes(spark, d), _view(spark, d), {"gated": _stages()["gated"]}, more=("gate_class", "gate_conf"), best=())
     # an image without labels is counted once, by its first extra prediction
     first = F.transform("outcomes", lambda x, k: x.withField("bare", F.size("_l") == 0).withField("first", (k == 0) & (F.size("_l") == 0)))
     rows = _outcomes(staged.withColumn("outcomes", first))

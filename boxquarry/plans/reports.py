@@ -52,9 +52,9 @@ def _stages() -> dict:
     return {"raw": lambda all_: F.filter(all_, lambda p: F.lit(True)), "gated": gated, "reclassified": lambda all_: F.transform(gated(all_), renamed)}
 
 
-def _staged(spark: SparkSession, d: str) -> DataFrame:
+def _staged(spark: SparkSession, d: str, best: Sequence[str] = ()) -> DataFrame:
     images = a.images(spark, d).select("image", "split", "source_group", "width", "height")
-    return metrics.staged_outcomes(images, a.pred_boxes(spark, d), _view(spark, d), _stages(), more=("gate_class", "gate_conf"))
+    return metrics.staged_outcomes(images, a.pred_boxes(spark, d), _view(spark, d), _stages(), more=("gate_class", "gate_conf"), best=best)
 
 
 def _outcomes(staged: DataFrame) -> DataFrame:
@@ -102,9 +102,8 @@ def g5_staged_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Totals before the gate, after it and after renaming: hits, kinds of misses, extras, background images, count and value errors, areas of extras."""
     of = lambda test: F.size(F.filter("outcomes", test)).cast("long")
     kind = lambda name: of(lambda x: x["kind"] == name)
-    extra = F.transform(F.filter("outcomes", lambda x: x["kind"] == "fp"), lambda x: x["at"])
-    areas = F.transform(F.filter("_s", lambda p: F.array_contains("_extra", p["pred_index"])), lambda p: g.area(g.box_in(p)) / (F.col("width") * F.col("height")).cast("double"))
-    rows = _staged(spark, d).withColumn("_extra", extra).withColumn("_areas", areas)
+    areas = F.transform(F.filter("_s", lambda p: F.exists("outcomes", lambda x: (x["at"] == p["pred_index"]) & (x["kind"] == "fp"))), lambda p: g.area(g.box_in(p)) / (F.col("width") * F.col("height")).cast("double"))
+    rows = _staged(spark, d).withColumn("_areas", areas)
     t = rows.select(
         "stage", F.size("_s").cast("long").alias("p"), F.size("_l").cast("long").alias("l"), (_worth("_s", "USD") - _worth("_l", "USD")).alias("usd"), (_worth("_s", "KHR") - _worth("_l", "KHR")).alias("khr"),
         kind("tp").alias("tp"), kind("fp").alias("fp"), kind("no_box").alias("nb"), kind("wrong_class").alias("wc"), kind("same_class_conflict").alias("sc"), of(lambda x: x["other"].isNotNull()).alias("loc"),
@@ -141,7 +140,7 @@ def g5_staged_by_class(spark: SparkSession, d: str) -> DataFrame:
 )
 def g5_no_box_causes(spark: SparkSession, d: str) -> DataFrame:
     """Why a stage has no box for a label: it was lost after the first stage, or how near the first stage came."""
-    r = _outcomes(_staged(spark, d)).where("kind = 'no_box'")
+    r = _outcomes(_staged(spark, d, ["best_reference"])).where("kind = 'no_box'")
     best = F.col("best_reference")
     cause = F.when(best >= 0.5, "reference_had_box_stage_lost").otherwise(F.concat(F.lit("reference_"), g.iou_bucket(best, 0.5)))
     return r.groupBy("stage", "source_group", "class_id", cause.alias("cause")).agg(F.count("*").alias("labels"))
@@ -163,7 +162,7 @@ def g38_report_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Sums over a report's cases: matches, count and value errors, perfect cases, rejected proposals, hard negatives, boxes too few and too many."""
     images = a.images(spark, d).select("image", "split")
     stages = _stages()
-    all_ = metrics.staged_outcomes(images, a.pred_boxes(spark, d), _view(spark, d), {"gated": stages["gated"]}, more=("gate_class", "gate_conf"))
+    all_ = metrics.staged_outcomes(images, a.pred_boxes(spark, d), _view(spark, d), {"gated": stages["gated"]}, more=("gate_class", "gate_conf"), best=())
     rejected = a.pred_boxes(spark, d).where(_RULES["reject"]).groupBy("image").agg(F.count("*").alias("rejected"))
     n = lambda test: F.size(F.filter("outcomes", test)).cast("long")
     c = all_.join(rejected, "image", "left").select(
