@@ -1,6 +1,7 @@
 """What plans of queries over boxes must not do twice, and the operators that they share against plain Python."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from boxquarry.operators import matching
@@ -66,3 +67,17 @@ def test_label_matches(spark, by_class):
     assert len(got) == len(labels)
     for r in got:
         assert r.pred_index == want.get((r.image, r.label_index)) and r.pred_class == classes.get((r.image, r.pred_index))
+
+
+@pytest.mark.parametrize("name", ["r31_hard_negative_swap"])
+def test_tasks_sort_no_more_lines_of_a_larger_table(spark, monkeypatch, name):
+    """Lines are dealt by their number, still once for labels and predictions, with the same rows in the end."""
+    from boxquarry.plans import adapters
+
+    want = sorted(map(tuple, entry.queries()[name](spark, SMALL).collect()))
+    monkeypatch.setattr(adapters, "TASK_LINES", 500)
+    for made in (adapters.gt_boxes(spark, SMALL), adapters.pred_boxes(spark, SMALL)):
+        sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 10 and max(sizes) < 1000
+    assert len([x for x in plan(spark, "d3_iou") if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]) == 1
+    assert sorted(map(tuple, entry.queries()[name](spark, SMALL).collect())) == want
