@@ -69,7 +69,7 @@ def test_label_matches(spark, by_class):
         assert r.pred_index == want.get((r.image, r.label_index)) and r.pred_class == classes.get((r.image, r.pred_index))
 
 
-@pytest.mark.parametrize("name", ["r31_hard_negative_swap"])
+@pytest.mark.parametrize("name", ["r31_hard_negative_swap", "i12_equal_domains"])
 def test_tasks_sort_no_more_lines_of_a_larger_table(spark, monkeypatch, name):
     """Lines are dealt by their number, still once for labels and predictions, with the same rows in the end."""
     from boxquarry.plans import adapters
