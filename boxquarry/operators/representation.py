@@ -1,12 +1,13 @@
 """How far two domains of feature vectors are apart.
 
 Rows are (id, domain, x) with domain 0 or 1 and x an array of doubles, all of one length.  What needs all pairs is done by
-meetings of blocks of bounded size, one task at a time holding two blocks, and no pair is written.  What needs sums of products
-is one bounded array for each task, added up by place.
+meetings of blocks of bounded size, one task at a time holding two blocks, and no pair is written but those next to a median.  What
+needs sums of products is one bounded array for each task, added up by place.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -120,7 +121,8 @@ def coral_distance(rows: DataFrame) -> float | None:
 
 
 def _blocks(rows: DataFrame, block: int) -> tuple[DataFrame, int]:
-    of = max(1, -(-rows.count() // block))
+    n = rows.count()
+    of = max(1, -(-n // block), min(24, n // 1024))  # smaller blocks where few would leave cores idle
     return rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(of)).cast("int")), of
 
 
@@ -141,58 +143,181 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(key: tuple, a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared distances of the pairs of a meeting, and both domains; each pair of a block with itself once."""
-    if not a.num_rows or not b.num_rows:
-        return np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    same = key[0].as_py() == key[1].as_py()
-    order = lambda t: t.take(np.lexsort((t["domain"].to_numpy(), t["id"].to_numpy())))
-    a, b = order(a), order(b)
-    d = _squares(matrix(a["x"]), matrix(b["x"]))
-    keep = np.triu(np.ones(d.shape, dtype=bool), 1) if same else np.ones(d.shape, dtype=bool)
-    one, two = np.broadcast_arrays(a["domain"].to_numpy()[:, None], b["domain"].to_numpy()[None, :])
-    return d[keep], one[keep], two[keep]
+class _Meeting:
+    """Squared distances of all rows of one block and all of another, in tiles that a core's cache holds.
 
+    A tile is one product of matrices, off by ``slack`` at most, by rounding; ``exact`` gives those of some pairs from differences.  Of a block
+    with itself each pair comes twice, and each row with itself.
+    """
 
-def median_square(rows: DataFrame, block: int = 2048) -> float:
-    """The exact median of all positive squared distances of two rows; 1 if there is none.
+    TILE = 128, 1024
+
+    def __init__(self, key: tuple, a: pa.Table, b: pa.Table) -> None:
+        self.same = key[0].as_py() == key[1].as_py()
+        order = lambda t: t.take(np.argsort(t["domain"].to_numpy(), kind="stable"))
+        a, b = order(a), order(b)
+        self.a, self.b = matrix(a["x"]), matrix(b["x"])
+        self.of_a, self.of_b = a["domain"].to_numpy(), b["domain"].to_numpy()
+        centre = self.a.mean(axis=0)  # large means would cost digits
+        x, y = self.a - centre, self.b - centre
+        p, q = (x * x).sum(axis=1, keepdims=True), (y * y).sum(axis=1, keepdims=True)
+        self.left, self.right = np.hstack([-2 * x, p, np.ones_like(p)]), np.hstack([y, np.ones_like(q), q]).T.copy()
+        self.left_short, self.right_short = self.left.astype(np.float32), self.right.astype(np.float32)
+        self.top = p.max() + q.max()
+        self.raw = (self.a * self.a).sum(axis=1).max() + (self.b * self.b).sum(axis=1).max()
+
+    def slack(self, kind: type) -> float:
+        return 4 * np.finfo(kind).eps * np.sqrt(self.a.shape[1] + 8) * self.top + 8 * np.finfo(np.float64).eps * np.sqrt(self.top * self.raw)
+
+    def tiles(self) -> Iterator[tuple[slice, slice]]:
+        """Places of a tile's rows in both blocks; a tile has rows of one domain on each side."""
+        for i in self._steps(self.of_a, self.TILE[0]):
+            for j in self._steps(self.of_b, self.TILE[1]):
+                yield i, j
+
+    @staticmethod
+    def _steps(domain: np.ndarray, most: int) -> list[slice]:
+        ends = [0, int(np.searchsorted(domain, 1)), len(domain)]
+        return [slice(k, min(k + most, to)) for start, to in zip(ends, ends[1:], strict=False) for k in range(start, to, most)]
+
+    def squares(self, i: slice, j: slice) -> np.ndarray:
+        return self.left[i] @ self.right[:, j]
+
+    def short_squares(self, i: slice, j: slice) -> np.ndarray:
+        return self.left_short[i] @ self.right_short[:, j]
+
+    def exact(self, i: slice, j: slice, where: np.ndarray) -> np.ndarray:
+        """Squared distances of those pairs of a tile, from differences: exact zeros for equal rows."""
+        at, to = np.nonzero(where)
+        out = np.empty(len(at))
+        for k in range(0, len(at), 4096):
+            part = slice(k, k + 4096)
+            out[part] = ((self.b[j][to[part]] - self.a[i][at[part]]) ** 2).sum(axis=1)
+        return out
+
+
+#: Bits of a single-precision number that a bin of distances leaves open: bins are 2^-14 wide, of the number.
+_OPEN = 9
+
+
+def _bracket(rows: DataFrame, block: int) -> tuple[float, float]:
+    """What the median of all positive squared distances lies between.  All pairs are counted, by the leading bits of a number of single precision."""
+
+    def count(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        total, both = np.zeros(1 << 31 - _OPEN, dtype=np.int64), 1
+        leading = lambda d: np.maximum(d.astype(np.float32, copy=False).view(np.int32) >> _OPEN, 0)
+        if a.num_rows and b.num_rows:
+            m = _Meeting(key, a, b)
+            both += m.same
+            # below these a number may be off by more than a bin
+            short, full = (m.slack(kind) * 2 ** (23 - _OPEN) for kind in (np.float32, np.float64))
+            for i, j in m.tiles():
+                d, least = m.short_squares(i, j), short
+                if np.count_nonzero(d < least) > d.size // 100:
+                    d, least = m.squares(i, j), full
+                heads = leading(d.ravel())
+                if (bad := d < least).any():
+                    # apart, as near 0 they would make the counts of a tile a long array
+                    heads = heads[~bad.ravel()]
+                    np.add.at(total, leading(m.exact(i, j, bad)), 1)
+                if len(heads):
+                    first = int(heads.min())
+                    found = np.bincount(heads - first)
+                    total[first : first + len(found)] += found
+        heads = np.flatnonzero(total)
+        return pa.table([pa.array(heads), pa.array(total[heads] // both)], names=["head", "n"])
+
+    met = _pair_meetings(rows, block).applyInArrow(count, "head long, n long")
+    infinite = int(np.array(np.inf, dtype=np.float32).view(np.int32)) >> _OPEN
+    found = met.where(F.col("head").between(1, infinite)).groupBy("head").agg(F.sum("n").alias("n")).toPandas().sort_values("head")
+    upto = found["n"].cumsum().to_numpy()
+    if not len(upto):
+        return 0.0, float(np.finfo(np.float32).tiny)
+    heads = [int(found["head"].iloc[np.searchsorted(upto, rank, side="right")]) for rank in ((upto[-1] - 1) // 2, upto[-1] // 2)]
+    # a bin more on both sides
+    low, high = (float(np.array(h << _OPEN, dtype=np.int32).view(np.float32)) for h in (max(heads[0] - 1, 0), min(heads[1] + 2, infinite)))
+    return low, high
+
+
+#: Moments of a kernel's sums: with those of gamma d up to the second, a gamma that is off by 2e-4 of its value costs less than 2e-12 of a mean.
+_MOMENTS = 3
+
+
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and how often each comes, from such pairs of arrays."""
+    values, place = np.unique(np.concatenate([np.zeros(0), *[v for v, _ in counts]]), return_inverse=True)
+    return values, np.bincount(place, np.concatenate([np.zeros(0), *[n for _, n in counts]]), len(values)).astype(np.int64)
+
+
+def _moments_of_pairs(rows: DataFrame, low: float, high: float, gamma: float, block: int) -> tuple[np.ndarray, int, int, DataFrame]:
+    """Of all pairs: sums of (gamma d)^k exp(-gamma d) by kind (both of domain 0, both of 1, one of each), how many d are positive, how many of these
+    lie below ``low``, and (d, n) of the positive ones from there to ``high``.
+    """
+    kinds = 3 * _MOMENTS
 
-    By digits: the bits of a positive double order as the number does, so each pass counts pairs by the next 16 bits after those
-    already known of the middle one or two, and 65,536 counts say how it goes on.
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        sums, positive, below, inside = np.zeros((2, 2, _MOMENTS)), 0, 0, []
+        same = False
+        if a.num_rows and b.num_rows:
+            m = _Meeting(key, a, b)
+            same, slack = m.same, m.slack(np.float64)
+            for i, j in m.tiles():
+                d = m.squares(i, j)
+                near = (d >= low - slack) & (d <= high + slack) | (d <= slack) if gamma * slack < 1e-11 else np.ones(d.shape, dtype=bool)
+                zeros = 0
+                if near.any():
+                    d[near] = found = m.exact(i, j, near)
+                    inside.append(np.unique(found[(found > 0) & (found >= low) & (found <= high)], return_counts=True))
+                    if sum(len(v) for v, _ in inside[1:]) > 1 << 18:
+                        inside = [_added(inside)]  # many pairs may be equally far
+                    zeros = np.count_nonzero(found == 0)
+                positive += np.count_nonzero(d >= 0) - zeros
+                below += np.count_nonzero(d < low) - (zeros if low > 0 else 0)
+                d *= gamma
+                w = np.exp(-d)
+                of = sums[m.of_a[i.start], m.of_b[j.start]]
+                of[0] += w.sum()
+                for k in range(1, _MOMENTS):
+                    w *= d
+                    of[k] += w.sum()
+            if same:
+                for x in (0, 1):
+                    sums[x, x, 0] -= (m.of_a == x).sum()  # rows with themselves
+        values, n = _added(inside)
+        flat = np.stack([sums[0, 0], sums[1, 1], sums[0, 1] + sums[1, 0]]).ravel() / (1 + same)
+        kind = np.concatenate([np.arange(kinds + 2), np.full(len(values), -1)])
+        return pa.table([pa.array(kind), pa.array(np.concatenate([flat, [0, 0], values])), pa.array(np.concatenate([np.zeros(kinds, dtype=np.int64), [positive, below], n]) // (1 + same))], names=["kind", "v", "n"])
+
+    met = cut(_pair_meetings(rows, block).applyInArrow(meet, "kind long, v double, n long"), "pairs")
+    total = met.where("kind >= 0").groupBy("kind").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().set_index("kind")
+    inside = met.where("kind < 0").groupBy(F.col("v").alias("d")).agg(F.sum("n").alias("n"))
+    return total["v"].reindex(range(kinds)).to_numpy().reshape(3, _MOMENTS), int(total["n"][kinds]), int(total["n"][kinds + 1]), inside
+
+
+def _median_and_moments(rows: DataFrame, block: int) -> tuple[float, float, np.ndarray]:
+    """The exact median of all positive squared distances (1 if there is none), a gamma near its own, and the sums of pairs for that gamma.
+
+    All pairs are worked out twice: once to bound the median by two near numbers, once to count those below and keep those between, from differences.
     """
-    def by_digit(shift: int, heads: list[int]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-        def count(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-            bits = _pairs(key, a, b)[0]
-            bits = bits[bits > 0].view(np.int64)
-            out = []
-            for h in heads:
-                own = bits if shift == 48 else bits[bits >> (shift + 16) == h]
-                digits, n = np.unique(own >> shift & 0xFFFF, return_counts=True)
-                out.append(pa.table([pa.array(np.full(len(n), h)), pa.array(digits), pa.array(n)], names=["head", "digit", "n"]))
-            return pa.concat_tables(out)
-
-        return count
-
-    known, total = [(0, 0)], 0
-    for shift in (48, 32, 16, 0):
-        met = _pair_meetings(rows.select("id", "domain", "x"), block).applyInArrow(by_digit(shift, sorted({h for h, _ in known})), "head long, digit long, n long")
-        found = met.groupBy("head", "digit").agg(F.sum("n").alias("n")).toPandas()
-        if shift == 48:
-            total = int(found["n"].sum())
-            if not total:
-                return 1.0
-            known = [(0, (total - 1) // 2), (0, total // 2)]
-        after = []
-        for head, rank in known:
-            own = found[found["head"] == head].sort_values("digit")
-            upto = own["n"].cumsum().to_numpy()
-            at = int(np.searchsorted(upto, rank, side="right"))
-            after.append((head << 16 | int(own["digit"].iloc[at]), rank - (int(upto[at - 1]) if at else 0)))
-        known = after
-    return float(np.array([h for h, _ in known], dtype=np.int64).view(np.float64).mean())
-
-
-def kernel_distance(rows: DataFrame, block: int = 2048) -> tuple[float, float] | None:
+    low, high = _bracket(rows, block)
+    while True:
+        gamma = 1 / max(low + high, 1e-12)
+        sums, positive, below, inside = _moments_of_pairs(rows, low, high, gamma, block)
+        if not positive:
+            return 1.0, gamma, sums
+        placed = running_totals(inside, [F.col("d")], "n", "before").withColumn("before", F.col("before") + below)
+        middle = [placed.where((F.col("before") <= k) & (F.col("before") + F.col("n") > k)).first() for k in ((positive - 1) // 2, positive // 2)]
+        if all(middle):
+            return (middle[0]["d"] + middle[1]["d"]) / 2, gamma, sums
+        low, high = low / 4, high * 4  # rounding was worse than its bound
+
+
+def median_square(rows: DataFrame, block: int = 16384) -> float:
+    """The exact median of all positive squared distances of two rows; 1 if there is none."""
+    return _median_and_moments(rows.select("id", "domain", "x"), block)[0]
+
+
+def kernel_distance(rows: DataFrame, block: int = 16384) -> tuple[float, float] | None:
     """(mmd2, gamma): the domains' distance under exp(-gamma d^2), gamma from the median; means take each row with itself too.
 
     None with fewer than two rows in a domain.
@@ -201,15 +326,14 @@ def kernel_distance(rows: DataFrame, block: int = 2048) -> tuple[float, float] |
     if min(n.get(0, 0), n.get(1, 0)) < 2:
         return None
     rows = cut(rows.select("id", "domain", "x"), "vectors")
-    gamma = 1 / max(2 * median_square(rows, block), 1e-12)
-
-    def sums(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        d, one, two = _pairs(key, a, b)
-        k = np.exp(-gamma * d)
-        return pa.table([pa.array([0, 1, 2]), pa.array([k[(one == x) & (two == y) | (one == y) & (two == x)].sum() for x, y in ((0, 0), (1, 1), (0, 1))])], names=["kind", "s"])
-
-    s = {r["kind"]: r["s"] for r in _pair_meetings(rows, block).applyInArrow(sums, "kind long, s double").groupBy("kind").agg(F.sum("s").alias("s")).collect()}
-    return (2 * s[0] + n[0]) / n[0] ** 2 + (2 * s[1] + n[1]) / n[1] ** 2 - 2 * s[2] / (n[0] * n[1]), gamma
+    median, near, sums = _median_and_moments(rows, block)
+    gamma = 1 / max(2 * median, 1e-12)
+    off = 1 - gamma / near
+    if abs(off) > 2e-4:
+        sums, off = _moments_of_pairs(rows, np.inf, np.inf, gamma, block)[0], 0.0
+    # exp(-gamma d) as a series in how far gamma is off
+    s = sums @ np.array([off**k / math.factorial(k) for k in range(_MOMENTS)])
+    return float((2 * s[0] + n[0]) / n[0] ** 2 + (2 * s[1] + n[1]) / n[1] ** 2 - 2 * s[2] / (n[0] * n[1])), gamma
 
 
 # ---- nearest rows of the other domain ----

@@ -62,6 +62,37 @@ def test_medians_of_few_pairs(spark):
     assert kernel_distance(make([1, 2])) is None
 
 
+def test_pairs_are_worked_out_twice(frame, monkeypatch):
+    """All pairs are the whole cost: one pass bounds the median, another gives it and the kernel's sums."""
+    from boxquarry.operators import representation as rep
+
+    passes, meet = [], rep._pair_meetings
+    monkeypatch.setattr(rep, "_pair_meetings", lambda *of: passes.append(of) or meet(*of))
+    rep.kernel_distance(frame)
+    assert len(passes) == 2
+
+
+@pytest.mark.parametrize("case", ["copies", "far", "equal", "halves"])
+def test_kernel_distance_of_hard_rows(spark, case):
+    """Copies, rows so far from the others that products of matrices lose all digits, distances that are all one, and two middle ones far apart."""
+    from boxquarry.operators.representation import kernel_distance
+
+    rnd = np.random.default_rng(7)
+    x = {
+        "copies": np.repeat(rnd.normal(size=(12, 3)), 8, axis=0),
+        "far": rnd.normal(size=(80, 3)) + np.where(np.arange(80) % 40 == 0, 1e7, 0.0)[:, None] + 3e4,
+        "equal": np.eye(40),
+        "halves": np.array([[0.0], [0.0], [1.0], [1.0], [1000.0]]),
+    }[case]
+    y = np.arange(len(x)) % 2
+    found = kernel_distance(spark.createDataFrame([(k, int(v), [float(w) for w in r]) for k, (r, v) in enumerate(zip(x, y, strict=True))], "id long, domain long, x array<double>"), 17)
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    upper = d[np.triu_indices(len(x), 1)]
+    k = np.exp(-d / (2 * np.median(upper[upper > 0])))
+    want = k[np.ix_(y == 0, y == 0)].mean() + k[np.ix_(y == 1, y == 1)].mean() - 2 * k[np.ix_(y == 0, y == 1)].mean()
+    assert math.isclose(found[1], 1 / (2 * np.median(upper[upper > 0])), rel_tol=1e-12) and math.isclose(found[0], want, rel_tol=1e-9, abs_tol=1e-12)
+
+
 @pytest.mark.parametrize(("block", "by"), [(4096, ()), (7, ()), (7, ("label",))])
 def test_nearest(frame, block, by):
     from boxquarry.operators.representation import nearest
