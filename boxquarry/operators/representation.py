@@ -290,10 +290,23 @@ def _moments_of_pairs(rows: DataFrame, low: float, high: float, gamma: float, bl
 
     met = cut(_pair_meetings(rows, block).applyInArrow(meet, "kind long, v double, n long"), "pairs")
     total = met.where("kind >= 0").groupBy("kind").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas().set_index("kind")
-    inside = met.where("kind < 0").groupBy(F.col("v").alias("d")).agg(F.sum("n").alias("n"))
+    inside = met.where("kind < 0").select(F.col("v").alias("d"), "n")
     return total["v"].reindex(range(kinds)).to_numpy().reshape(3, _MOMENTS), int(total["n"][kinds]), int(total["n"][kinds + 1]), inside
 
 
+def _ranked(inside: DataFrame, low: float, high: float, rank: int) -> float | None:
+    """The d at a place, from 0, among (d, n) from ``low`` to ``high``; None if they don't reach it.  Only rows of one cell of 4,096 are sorted."""
+    cell = F.floor((F.col("d") - F.lit(low)) / F.lit((high - low) / 4096))
+    counts = inside.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
+    upto = counts["n"].cumsum().to_numpy()
+    if not len(upto) or not 0 <= rank < upto[-1]:
+        return None
+    at = int(np.searchsorted(upto, rank, side="right"))
+    rest = rank - (int(upto[at - 1]) if at else 0)
+    placed = running_totals(inside.where(cell == int(counts["cell"].iloc[at])), [F.col("d")], "n", "before")
+    return placed.where((F.col("before") <= rest) & (F.col("before") + F.col("n") > rest)).first()["d"]
+
+
 def _median_and_moments(rows: DataFrame, block: int) -> tuple[float, float, np.ndarray]:
     """The exact median of all positive squared distances (1 if there is none), a gamma near its own, and the sums of pairs for that gamma.
 
@@ -305,10 +318,9 @@ def _median_and_moments(rows: DataFrame, block: int) -> tuple[float, float, np.n
         sums, positive, below, inside = _moments_of_pairs(rows, low, high, gamma, block)
         if not positive:
             return 1.0, gamma, sums
-        placed = running_totals(inside, [F.col("d")], "n", "before").withColumn("before", F.col("before") + below)
-        middle = [placed.where((F.col("before") <= k) & (F.col("before") + F.col("n") > k)).first() for k in ((positive - 1) // 2, positive // 2)]
-        if all(middle):
-            return (middle[0]["d"] + middle[1]["d"]) / 2, gamma, sums
+        middle = [_ranked(inside, low, high, k - below) for k in sorted({(positive - 1) // 2, positive // 2})]
+        if None not in middle:
+            return (middle[0] + middle[-1]) / 2, gamma, sums
         low, high = low / 4, high * 4  # rounding was worse than its bound
 
 
