@@ -1,5 +1,7 @@
 """What plans of queries over boxes must not do twice, and the operators that they share against plain Python."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,16 @@ def test_tasks_sort_no_more_lines_of_a_larger_table(spark, monkeypatch, name):
         assert len(sizes) >= 10 and max(sizes) < 1000
     assert len([x for x in plan(spark, "d3_iou") if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]) == 1
     assert sorted(map(tuple, entry.queries()[name](spark, SMALL).collect())) == want
+
+
+def test_equal_domains_stay_in_the_tasks_of_their_lines(spark, monkeypatch):
+    """Nothing after the lines is dealt to Spark's own number of tasks but counts and the first rows of each task."""
+    from boxquarry.plans import adapters
+
+    monkeypatch.setattr(adapters, "TASK_LINES", 500)
+    lines = [x.lstrip(" :+-") for x in plan(spark, "i12_equal_domains")]
+    dealt = [(re.search(r"hashpartitioning\((.*), (\d+)\)", x), below) for x, below in zip(lines, lines[1:]) if x.startswith("Exchange")]
+    keys = {re.sub(r"#\d+L?", "", m[1]): (int(m[2]), below) for m, below in dealt}
+    assert {k for k, (n, _) in keys.items() if n >= 10} == {"l_orderkey", "image"}
+    assert {k for k, (n, _) in keys.items() if n < 10} == {"class_id", "class_id, source_family"}
+    assert keys["class_id, source_family"][1].startswith("WindowGroupLimit") and keys["class_id, source_family"][1].endswith("Partial")
