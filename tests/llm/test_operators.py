@@ -317,6 +317,31 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_components(frame.limit(0)).collect() == []
 
 
+def test_lines_are_hashed_together_whatever_their_numbers_are(spark):
+    """Where Spark gives a task several buckets, the numbers of a file's rows don't follow one another."""
+    from pyspark.sql import functions as F
+
+    from boxquarry.llm.near_dup import packed_keys
+
+    def sketch_of(some):
+        if len(some) < 100:
+            raise ValueError(f"{len(some)} lines hashed at a time")
+        one = np.array([int(x) for x in some.to_pylist()], dtype=np.int64)
+        return np.stack([one * 7919, one * 104729], axis=1), one.astype(np.uint64)
+
+    # the last rows come before smaller numbers, and 300,000 doesn't fit 16 bits
+    frame = spark.range(0, 6000, 1, 2).select(F.when(F.col("id") % 1000 < 500, F.col("id") * 6).otherwise(300_000 + F.col("id") * 6).alias("seq")).withColumn("content", F.col("seq").cast("string"))
+    packed, splits = packed_keys(frame, 6000, sketch_of, 2)
+    got = sorted(
+        (seq, key, sketch, r["part"])
+        for r in packed.collect()
+        for seq, key, sketch in zip((np.frombuffer(r["places"], np.uint16).astype(np.int64) + r["base"]).tolist(), np.frombuffer(r["keys"], np.uint32).tolist(), np.frombuffer(r["sketches"], np.uint64).tolist(), strict=True)
+    )
+    seqs = np.repeat([r["seq"] for r in frame.collect()], 2)
+    keys = seqs * np.tile([7919, 104729], len(seqs) // 2)
+    assert got == sorted(zip(seqs.tolist(), keys.astype(np.uint32).tolist(), seqs.tolist(), splits.part(keys, seqs).tolist(), strict=True))
+
+
 def test_short_lines_are_linked_too(spark):
     from boxquarry.llm.line_dedup import line_components
 
