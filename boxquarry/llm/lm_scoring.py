@@ -9,15 +9,18 @@ into memory and search.  It is built in four steps:
 3. pairs of a middle word with more runs than a shard holds, which is dealt to several shards: what these know about each pair is added up.
 4. single words: what pairs tell about them is added up.
 
-Every shard is bounded by the number of its runs, and each file is written by one task, under another name first, so that a task that is
-repeated leaves the same file.
+Every shard is bounded by the number of its runs.  Shards are dealt to parts, of which there are 128, or twice the square root of the number of
+shards if that is more, and the shards of a part lie one after another in its files.  So both the look-ups of some megabytes of text, and the rows that
+they are counted into, go by parts and hardly grow with the corpus.  Each file is written by one task, under another name first, so that a task that
+is repeated leaves the same file.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import pickle
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +40,8 @@ BEFORE, UNKNOWN = 2**32 - 1, 2**32 - 2
 #: The hash of the end of a text, which counts as a word.
 END = np.int64(0x5EED0E0D)
 _WORD, _LAST = np.uint64(32), np.uint64(2**32 - 1)
+#: Parts that shards are dealt to, unless twice the square root of their number is more.
+PARTS = 128
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -71,31 +76,71 @@ def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
         os.replace(own, path)
 
 
-def write_table(folder: str, name: str, hashes: np.ndarray, **columns: np.ndarray) -> None:
-    """Entries in the order of their hashes: where each value of a hash's first bits begins, and its next 32 bits.
-
-    About 16 entries share first bits, so a hash that isn't there is taken for another with a chance of 4e-9.
-    """
-    bits = max(0, (len(hashes) // 16).bit_length() - 1)
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    tops = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), dtype=np.uint64)
-    offsets = np.searchsorted(tops, np.arange((1 << bits) + 1, dtype=np.uint64))
-    _save(folder, name, offsets=_least(offsets), rest=(hashes >> np.uint64(32 - bits)).astype(np.uint32), **{k: _least(v[order]) for k, v in columns.items()})
+class Tables:
+    """Writes tables of hashes: of each part one file for a kind of array, to which its shards are added one after another."""
+
+    def __init__(self, model: Model):
+        self.model, self.open = model, {}
+
+    def add(self, name: str, shard: int, hashes: np.ndarray, **columns: np.ndarray) -> None:
+        """Entries in the order of their hashes: where each value of a hash's first bits begins, and its next 32 bits.
+
+        About 16 entries share first bits, so a hash that isn't there is taken for another with a chance of 4e-9.  A column has a byte
+        for each entry; numbers from 255 on are listed by place.
+        """
+        if not len(hashes):
+            return
+        key = f"{self.model.folder}/{name}-{shard % self.model.parts}"
+        if key not in self.open:
+            os.makedirs(self.model.folder, exist_ok=True)
+            own = TaskContext.get().taskAttemptId()
+            self.open[key] = {kind: open(f"{key}.{kind}.{own}", "wb") for kind in ("offsets", "rest", *columns)}, np.zeros((4, -(-self.model.shards // self.model.parts)), dtype=np.int64), {kind: [] for kind in columns}
+        files, index, large = self.open[key]
+        bits = max(0, (len(hashes) // 16).bit_length() - 1)
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        tops = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), dtype=np.uint64)
+        offsets = np.searchsorted(tops, np.arange((1 << bits) + 1, dtype=np.uint64))
+        first = files["rest"].tell() // 4
+        index[:, shard // self.model.parts] = len(hashes), bits, files["offsets"].tell() // 4, first
+        offsets.astype(np.uint32).tofile(files["offsets"])
+        (hashes >> np.uint64(32 - bits)).astype(np.uint32).tofile(files["rest"])
+        for kind, values in columns.items():
+            values = values[order].astype(np.uint64)
+            np.minimum(values, 255).astype(np.uint8).tofile(files[kind])
+            many = np.flatnonzero(values >= 255)
+            large[kind].append(np.stack([many.astype(np.uint64) + np.uint64(first), values[many]]))
+
+    def close(self) -> None:
+        for key, (files, index, large) in self.open.items():
+            for kind, file in files.items():
+                file.close()
+                os.replace(file.name, f"{key}.{kind}")
+            folder, name = key.rsplit("/", 1)
+            _save(folder, name, index=index, **{f"{kind}-large": np.concatenate(x, axis=1) for kind, x in large.items()})
+        self.open = {}
+
+
+_KINDS = {"offsets": np.uint32, "rest": np.uint32}
 
 
 class Shelf:
     """Arrays mapped into memory, a bounded number of files at a time; a worker keeps one for its later tasks."""
 
-    def __init__(self, most: int = 4096):
+    def __init__(self, most: int = 8192):
         self.most, self.open = most, OrderedDict()
 
     def get(self, path: str) -> np.ndarray:
         if path not in self.open:
             while len(self.open) >= self.most:
                 self.open.popitem(last=False)
-            # a shard without entries has no file
-            self.open[path] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, dtype=np.uint8)
+            if not os.path.exists(path):  # a part without entries has no file
+                found = np.zeros(0, dtype=np.uint8)
+            elif path.endswith(".npy"):
+                found = np.load(path, mmap_mode="r")
+            else:
+                found = np.memmap(path, dtype=_KINDS.get(path.rsplit(".", 1)[1], np.uint8), mode="r")
+            self.open[path] = found.view(np.ndarray)
         self.open.move_to_end(path)
         return self.open[path]
 
@@ -103,15 +148,19 @@ class Shelf:
 _SHELF = Shelf()
 
 
-def _search(name: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of these hashes a table holds, and where: by first bits and then by halving, all at a time."""
-    offsets, rest = _SHELF.get(f"{name}.offsets.npy"), _SHELF.get(f"{name}.rest.npy")
-    if not len(rest):
-        return np.zeros(len(hashes), dtype=bool), np.zeros(0, dtype=np.int64)
-    bits = (len(offsets) - 1).bit_length() - 1
-    tops = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
-    wanted = (hashes >> np.uint64(32 - bits)).astype(np.uint32)
-    lo, end = offsets[tops].astype(np.int64), offsets[tops + 1].astype(np.int64)
+def _search(name: str, shards: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these hashes their shards of a part hold (by number there), and where: by first bits and then by halving, all at a time."""
+    index = _SHELF.get(f"{name}.index.npy")
+    if not len(index):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    offsets, rest = _SHELF.get(f"{name}.offsets"), _SHELF.get(f"{name}.rest")
+    sizes, bits, places, first = index[:, shards]
+    there = np.flatnonzero(sizes)
+    hashes, bits, places, first = hashes[there], bits[there].astype(np.uint64), places[there], first[there]
+    # by one bit and the others, as no bits at all are not to be a shift by 64
+    at = places + (hashes >> np.uint64(1) >> np.uint64(63) - bits).astype(np.int64)
+    wanted = (hashes >> np.uint64(32) - bits).astype(np.uint32)
+    lo, end = offsets[at] + first, offsets[at + 1] + first
     hi = end
     while (lo < hi).any():
         middle = (lo + hi) >> 1
@@ -119,23 +168,36 @@ def _search(name: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = np.where(less, middle + 1, lo), np.where(less | (lo >= hi), hi, middle)
     hit = lo < end
     hit[hit] = rest[lo[hit]] == wanted[hit]
-    return hit, lo[hit]
+    return there[hit], lo[hit]
 
 
-def look_up(folder: str, level: str, shards: np.ndarray, hashes: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
+def look_up(model: Model, level: str, shards: np.ndarray, hashes: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
     """The entries of these hashes, each in its shard; 0 where there is none."""
     out = [np.zeros(len(hashes), dtype=np.int64) for _ in kinds]
-    order = np.argsort(_least(shards), kind="stable")
-    bounds = np.flatnonzero(np.diff(shards[order].astype(np.int64), prepend=-1, append=-1))
+    parts = shards % model.parts
+    order = np.argsort(_least(parts), kind="stable")
+    bounds = np.flatnonzero(np.diff(parts[order], prepend=-1, append=-1))
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         some = order[lo:hi]
-        name = f"{folder}/{level}-{shards[some[0]]}"
-        hit, at = _search(name, hashes[some])
+        name = f"{model.folder}/{level}-{parts[some[0]]}"
+        hit, at = _search(name, shards[some] // model.parts, hashes[some])
         for values, kind in zip(out, kinds, strict=True):
-            values[some[hit]] = _SHELF.get(f"{name}.{kind}.npy")[at]
+            if len(hit):
+                found = _SHELF.get(f"{name}.{kind}")[at].astype(np.int64)
+                if len(many := np.flatnonzero(found == 255)):
+                    places, numbers = _SHELF.get(f"{name}.{kind}-large.npy")
+                    found[many] = numbers[np.searchsorted(places, at[many].astype(np.uint64))]
+                values[some[hit]] = found
     return out
 
 
+def _spans(numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each number of an ascending array, and where it stands."""
+    bounds = np.flatnonzero(np.diff(numbers, prepend=-1, append=np.iinfo(np.int64).max))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(numbers[lo]), slice(lo, hi)
+
+
 @dataclass
 class Words:
     """Words by hash: files of ranges, one row a file here, and the number that a file's first word has."""
@@ -157,23 +219,21 @@ class Words:
         numbers, counts = np.full(len(distinct), UNKNOWN, dtype=np.int64), np.zeros(len(distinct), dtype=np.int64)
         if len(self.firsts):
             files = np.maximum(np.searchsorted(self.firsts, distinct, side="right") - 1, 0)
-            for k in np.unique(files).tolist():
-                some = np.flatnonzero(files == k)
+            for k, some in _spans(files):
                 known = self._file(k, "hash")
                 at = np.searchsorted(known, distinct[some])
                 at[at == len(known)] = 0
                 hit = known[at] == distinct[some]
-                numbers[some[hit]] = self.starts[k] + at[hit]
-                counts[some[hit]] = self._file(k, "n")[at[hit]]
+                numbers[some][hit] = self.starts[k] + at[hit]
+                counts[some][hit] = self._file(k, "n")[at[hit]]
         return numbers, counts, back
 
     def often(self, numbers: np.ndarray) -> np.ndarray:
         """The count of each numbered word; for BEFORE, the number of texts; for UNKNOWN, 0."""
         distinct, back = np.unique(numbers, return_inverse=True)
         counts = np.where(distinct == BEFORE, self.texts, 0).astype(np.int64)
-        files = np.searchsorted(self.starts, distinct, side="right") - 1
-        for k in np.unique(files[distinct < UNKNOWN]).tolist():
-            some = np.flatnonzero((files == k) & (distinct < UNKNOWN))
+        files = np.searchsorted(self.starts, distinct[distinct < UNKNOWN], side="right") - 1
+        for k, some in _spans(files):
             counts[some] = self._file(k, "n")[distinct[some].astype(np.int64) - self.starts[k]]
         return counts[back]
 
@@ -189,6 +249,10 @@ class Model:
     pairs: int = 0
     spread: tuple[int, int, int] = (0, 0, 0)
 
+    @property
+    def parts(self) -> int:
+        return min(self.shards, max(PARTS, 2 * math.isqrt(self.shards)))
+
     def salts(self, middle: np.ndarray) -> np.ndarray:
         """Over how many shards the runs with this middle word are dealt."""
         return (1 + self.words.often(middle) // self.shard).astype(np.uint64)
@@ -224,7 +288,9 @@ def _totals(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 
 #: What a row of counts is about; rows of a level below the step's own go through it.
 _TALLY, _WORD_OWN, _WORD_AFTER, _PAIR_OWN, _PAIR_AFTER, _RUN = range(6)
-_ROW = "level long, shard long, data binary"
+_ROW = "level long, part int, shard long, data binary"
+#: Entries of a level that are gathered before they are packed into rows.
+GATHERED = 1 << 19
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -244,49 +310,92 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _rows(level: int, shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One row a shard with its entries."""
-    order = np.argsort(_least(shards), kind="stable")
-    bounds = np.flatnonzero(np.diff(shards[order].astype(np.int64), prepend=-1, append=-1))
+def _rows(model: Model, level: int, shards: np.ndarray, columns: list[np.ndarray], single: bool = False) -> Iterator[pa.RecordBatch]:
+    """One row a part with its entries and their shards; where a part is a shard, or each shard is to be ``single``, one row a shard."""
+    single |= model.shards == model.parts
+    parts, places = shards % model.parts, shards // model.parts
+    order = np.argsort(_least(parts * (-(-model.shards // model.parts)) + places), kind="stable")
+    shards = shards[order]
+    bounds = np.flatnonzero(np.diff(shards if single else parts[order], prepend=-1, append=-1))
     columns = [c[order] for c in columns]
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield _row(level, int(shards[order[lo]]), _pack([c[lo:hi] for c in columns]))
+        own, some = int(shards[lo]), [c[lo:hi] for c in columns]
+        yield _row(model, level, own, _pack(some)) if single else _row(model, level, own, _pack([shards[lo:hi], *some]), mixed=True)
+
+
+def _row(model: Model, level: int, shard: int, data: bytes, mixed: bool = False) -> pa.RecordBatch:
+    """A row of a shard, or of several of its part."""
+    return pa.RecordBatch.from_arrays([pa.array([level]), pa.array([shard % model.parts], pa.int32()), pa.array([-1 if mixed else shard]), pa.array([data], pa.binary())], names=["level", "part", "shard", "data"])
+
+
+class Gathered:
+    """Entries on their way to rows, so that few of them don't make a row each."""
 
+    def __init__(self, model: Model, single: bool = False):
+        self.model, self.single, self.held, self.size = model, single, {}, Counter()
 
-def _row(level: int, shard: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([level]), pa.array([shard]), pa.array([data], pa.binary())], names=["level", "shard", "data"])
+    def add(self, level: int, shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.held.setdefault(level, []).append([shards, *columns])
+        self.size[level] += len(shards)
+        if self.size[level] >= GATHERED:
+            yield from self.flush(level)
 
+    def flush(self, *levels: int) -> Iterator[pa.RecordBatch]:
+        for level in levels or list(self.held):
+            shards, *columns = (np.concatenate(x) for x in zip(*self.held.pop(level), strict=True))
+            self.size[level] = 0
+            yield from _rows(self.model, level, shards, columns, self.single)
 
-def _tally(words: int, shard: int, values: np.ndarray) -> pa.RecordBatch:
+
+def _tally(model: Model, words: int, shard: int, values: np.ndarray) -> pa.RecordBatch:
     """Of a shard's counts of so many words: how many are 1 to 4, how many there are, and their sum."""
     few = np.bincount(np.minimum(values, 5).astype(np.int64), minlength=6)[1:5].tolist()
-    return _row(_TALLY, shard, pickle.dumps([words, *few, int(np.count_nonzero(values)), int(values.sum())]))
+    return _row(model, _TALLY, shard, pickle.dumps([words, *few, int(np.count_nonzero(values)), int(values.sum())]))
+
+
+def _single(model: Model) -> Callable:
+    """Rows of several shards, some at a time, as rows of one shard each; others go through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = Gathered(model, single=True)
+        for batch in batches:
+            for k, shard in enumerate(batch.column("shard").to_pylist()):
+                if shard >= 0:
+                    yield batch.slice(k, 1)
+                else:
+                    shards, *columns = _unpack(batch.column("data")[k].as_py())
+                    yield from gathered.add(batch.column("level")[k].as_py(), shards.astype(np.int64), columns)
+        yield from gathered.flush()
 
+    return run
 
-def _step(own: dict[int, Callable[[int, list[np.ndarray]], Iterator[pa.RecordBatch]]]) -> Callable:
+
+def _step(model: Model, own: dict[int, Callable[[int, list[np.ndarray], Tables, Gathered], Iterator[pa.RecordBatch]]]) -> Callable:
     """Calls the function of its level with each shard and its entries, all rows' one after another; rows of other levels go through.
 
-    Rows come sorted by level and shard, so one shard is held at a time.
+    Rows come sorted by level, part and shard, so one shard is held at a time, and what its task writes is of one part at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, tables, gathered = None, [], Tables(model), Gathered(model)
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close(key: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
             if held:
-                yield from own[at[0]](at[1], [np.concatenate(x) for x in zip(*held, strict=True)])
+                yield from own[at[0]](at[1], [np.concatenate(x) for x in zip(*held, strict=True)], tables, gathered)
+            if at and (key is None or (at[0], at[1] % model.parts) != (key[0], key[1] % model.parts)):
+                tables.close()
 
         for batch in batches:
-            for level, shard, data in zip(*(batch.column(c) for c in ("level", "shard", "data")), strict=True):
-                key = level.as_py(), shard.as_py()
+            for k, key in enumerate(zip(batch.column("level").to_pylist(), batch.column("shard").to_pylist(), strict=True)):
+                if key[0] not in own:
+                    yield batch.slice(k, 1)
+                    continue
                 if key != at:
-                    yield from close()
+                    yield from close(key)
                     at, held = key, []
-                if key[0] in own:
-                    held.append(_unpack(data.as_py()))
-                else:
-                    yield _row(*key, data.as_py())
-        yield from close()
+                held.append(_unpack(batch.column("data")[k].as_py()))
+        yield from close(None)
+        yield from gathered.flush()
 
     return run
 
@@ -353,7 +462,7 @@ def _count_runs(model: Model) -> Callable:
             first, second, third = (np.concatenate(x) for x in zip(*held, strict=True))
             first, second, third, n = _distinct_runs(first, second, third)
             shards = model.shard_of(second, run_hash(first, second, third) % model.salts(second))
-            yield from _rows(_RUN, shards, [first, second, third, n])
+            yield from _rows(model, _RUN, shards, [first, second, third, n])
 
         for batch in batches:
             for part in byte_slices(batch, "text"):
@@ -380,67 +489,67 @@ def _spread(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
 _AFTER = ["sum", "ones", "twos", "more"]
 
 
-def _save_pairs(model: Model, name: str, shard: int, own: tuple[np.ndarray, ...] | None, after: tuple[np.ndarray, ...] | None) -> None:
+def _save_pairs(tables: Tables, name: str, shard: int, own: tuple[np.ndarray, ...] | None, after: tuple[np.ndarray, ...] | None) -> None:
     """Pairs by their counts, and by what comes after them; a pair that one word follows once has no entry of the second kind."""
     if own is not None:
-        write_table(model.folder, f"{name}own-{shard}", mix(own[0]), n=own[1])
+        tables.add(f"{name}own", shard, mix(own[0]), n=own[1])
     if after is not None:
         more = after[1] > 1
-        write_table(model.folder, f"{name}after-{shard}", mix(after[0][more]), **{k: x[more] for k, x in zip(_AFTER, after[1:], strict=True)})
+        tables.add(f"{name}after", shard, mix(after[0][more]), **{k: x[more] for k, x in zip(_AFTER, after[1:], strict=True)})
 
 
-def _about_words(model: Model, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _about_words(model: Model, gathered: Gathered, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What pairs and their counts tell about words: how many come before each, and the counts of what comes after."""
     own = _totals(keys & _LAST, np.ones(len(keys), dtype=np.uint64))
-    yield from _rows(_WORD_OWN, model.shard_of(own[0]), list(own))
+    yield from gathered.add(_WORD_OWN, model.shard_of(own[0]), list(own))
     after = _spread(keys >> _WORD, n)
-    yield from _rows(_WORD_AFTER, model.shard_of(after[0]), list(after))
+    yield from gathered.add(_WORD_AFTER, model.shard_of(after[0]), list(after))
 
 
 def _write_runs(model: Model) -> Callable:
-    def runs(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def runs(shard: int, entries: list[np.ndarray], tables: Tables, gathered: Gathered) -> Iterator[pa.RecordBatch]:
         first, second, third, n = _distinct_runs(*entries)
-        write_table(model.folder, f"runs-{shard}", run_hash(first, second, third), n=n)
-        yield _tally(3, shard, n)
+        tables.add("runs", shard, run_hash(first, second, third), n=n)
+        yield _tally(model, 3, shard, n)
         # a pair counts by the different words before it; at a text's start, where there is none, by its occurrences
         own = _totals(pair_key(second, third), np.where(second == BEFORE, n, np.uint64(1)))
         after = _spread(pair_key(first, second), n)
         alone = model.salts(own[0] >> _WORD) == 1, model.salts(after[0] & _LAST) == 1
-        _save_pairs(model, "", shard, [x[alone[0]] for x in own], [x[alone[1]] for x in after])
-        yield _tally(2, shard, own[1][alone[0]])
-        yield from _about_words(model, *(x[alone[0]] for x in own))
+        _save_pairs(tables, "", shard, [x[alone[0]] for x in own], [x[alone[1]] for x in after])
+        yield _tally(model, 2, shard, own[1][alone[0]])
+        yield from _about_words(model, gathered, *(x[alone[0]] for x in own))
         for level, entries, mine in ((_PAIR_OWN, own, alone[0]), (_PAIR_AFTER, after, alone[1])):
-            yield from _rows(level, model.shard_of(entries[0][~mine]), [x[~mine] for x in entries])
+            yield from gathered.add(level, model.shard_of(entries[0][~mine]), [x[~mine] for x in entries])
 
-    return _step({_RUN: runs})
+    return _step(model, {_RUN: runs})
 
 
 def _write_pairs(model: Model) -> Callable:
-    def own(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def own(shard: int, entries: list[np.ndarray], tables: Tables, gathered: Gathered) -> Iterator[pa.RecordBatch]:
         keys, n = _totals(*entries)
-        _save_pairs(model, "often-", shard, (keys, n), None)
-        yield _tally(2, shard, n)
-        yield from _about_words(model, keys, n)
+        _save_pairs(tables, "often-", shard, (keys, n), None)
+        yield _tally(model, 2, shard, n)
+        yield from _about_words(model, gathered, keys, n)
 
-    def after(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _save_pairs(model, "often-", shard, None, _totals(*entries))
+    def after(shard: int, entries: list[np.ndarray], tables: Tables, gathered: Gathered) -> Iterator[pa.RecordBatch]:
+        _save_pairs(tables, "often-", shard, None, _totals(*entries))
         yield from ()
 
-    return _step({_PAIR_OWN: own, _PAIR_AFTER: after})
+    return _step(model, {_PAIR_OWN: own, _PAIR_AFTER: after})
 
 
 def _write_words(model: Model) -> Callable:
-    def own(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def own(shard: int, entries: list[np.ndarray], tables: Tables, gathered: Gathered) -> Iterator[pa.RecordBatch]:
         keys, n = _totals(*entries)
-        write_table(model.folder, f"word-own-{shard}", mix(keys), n=n)
-        yield _tally(1, shard, n)
+        tables.add("word-own", shard, mix(keys), n=n)
+        yield _tally(model, 1, shard, n)
 
-    def after(shard: int, entries: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def after(shard: int, entries: list[np.ndarray], tables: Tables, gathered: Gathered) -> Iterator[pa.RecordBatch]:
         keys, *columns = _totals(*entries)
-        write_table(model.folder, f"word-after-{shard}", mix(keys), **dict(zip(_AFTER, columns, strict=True)))
+        tables.add("word-after", shard, mix(keys), **dict(zip(_AFTER, columns, strict=True)))
         yield from ()
 
-    return _step({_WORD_OWN: own, _WORD_AFTER: after})
+    return _step(model, {_WORD_OWN: own, _WORD_AFTER: after})
 
 
 def discounts(ones: int, twos: int, threes: int, fours: int) -> np.ndarray:
@@ -467,8 +576,12 @@ def learn(texts: DataFrame, shard: int = 1 << 20) -> Model:
     words = learn_words(texts, folder)
     model = Model(words, folder, shard, 1 + words.total // shard)
     rows = texts.mapInArrow(_count_runs(model), _ROW)
+    tasks = min(model.parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for write in (_write_runs, _write_pairs, _write_words):
-        rows = rows.repartition("level", "shard").sortWithinPartitions("level", "shard").mapInArrow(write(model), _ROW)
+        dealt = rows.repartitionById(tasks, F.col("part") % tasks)
+        # rows of a part hold several shards where there are more of these than parts; a task sorts them on disk, so it holds one shard at a time
+        single = dealt if model.shards == model.parts else dealt.mapInArrow(_single(model), _ROW)
+        rows = single.sortWithinPartitions("level", "part", "shard").mapInArrow(write(model), _ROW)
     tallies = cut(rows.mapInArrow(_tallies, ", ".join(f"{n} long" for n in _TALLIES)), "tallies")
     # one row for each number of words
     found = {r["words"]: r for r in tallies.groupBy("words").agg(*[F.sum(n).alias(n) for n in _TALLIES[1:]]).collect()}
@@ -492,7 +605,7 @@ def _of_pairs(model: Model, level: str, keys: np.ndarray, middle: np.ndarray, of
     out = [np.zeros(len(keys), dtype=np.int64) for _ in kinds]
     for prefix, some in (("", np.flatnonzero(~spread)), ("often-", np.flatnonzero(spread))):
         shards = model.shard_of(keys[some] if prefix else middle[some])
-        for values, found in zip(out, look_up(model.folder, prefix + level, shards, mix(keys[some]), kinds), strict=True):
+        for values, found in zip(out, look_up(model, prefix + level, shards, mix(keys[some]), kinds), strict=True):
             values[some] = found
     return out
 
@@ -511,9 +624,9 @@ def log_probabilities(model: Model, numbers: np.ndarray, counts: np.ndarray, bac
     before = shifted(back, len(numbers) - 1)
     third, second, first = numbers[back], numbers[before], numbers[shifted(before, len(numbers) - 1)]
     shards = model.shard_of(numbers), mix(numbers.astype(np.uint64))
-    own = look_up(model.folder, "word-own", *shards, ["n"])[0][back]
+    own = look_up(model, "word-own", *shards, ["n"])[0][back]
     p = _interpolated(1 / (model.words.types + 1), own, model.discounts[1], np.full(len(own), model.pairs), list(model.spread))
-    total, *spread = (x[before] for x in look_up(model.folder, "word-after", *shards, _AFTER))
+    total, *spread = (x[before] for x in look_up(model, "word-after", *shards, _AFTER))
     # each pair once: as what ends with its last word, and, of the next word, as what comes before; at a text's start that is BEFORE twice
     pairs, which = np.unique(np.append(pair_key(second, third), pair_key(numbers[-1:], numbers[-1:])), return_inverse=True)
     often = numbers[counts >= model.shard]
@@ -526,7 +639,7 @@ def log_probabilities(model: Model, numbers: np.ndarray, counts: np.ndarray, bac
     lead = shifted(which[:-1], which[-1])
     hashes = run_hash(first, second, third)
     salts = (1 + counts[before] // model.shard).astype(np.uint64)
-    own = look_up(model.folder, "runs", model.shard_of(second, hashes % salts), hashes, ["n"])[0]
+    own = look_up(model, "runs", model.shard_of(second, hashes % salts), hashes, ["n"])[0]
     return np.log10(_interpolated(p, own, model.discounts[3], total_after[lead], [x[lead] for x in (ones, twos, more)]))
 
 

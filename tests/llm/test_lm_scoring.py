@@ -90,6 +90,26 @@ def test_against_a_plain_model(spark, shard):
         assert math.isclose(sum(model.probability(a, b, c) for c in [*model.raw, "unknown word"]), 1, rel_tol=1e-9)
 
 
+def test_more_shards_than_parts(spark):
+    """Many shards share the files of a bounded number of parts, and the rows in which they are counted; scores stay those of a plain model."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from boxquarry.llm import lm_scoring
+
+    data = list(enumerate(texts(seed=5, n=150)))
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    plain = Plain([t for d, t in data if d % 3])
+    found = lm_scoring.learn(frame.where("doc_id % 3 != 0").select(F.coalesce("text", F.lit("")).alias("text")), shard=4)
+    assert found.shards > 500
+    for level in ("runs", "own", "after", "often-own", "often-after", "word-own", "word-after"):
+        files = [f for f in os.listdir(found.folder) if f.rsplit("-", 1)[0] == level and f.endswith(".rest")]
+        assert (level in ("after", "often-after") or files) and len(files) <= 128, (level, len(files))
+    for r in rows_of(lm_scoring.score_texts(frame, F.col("doc_id") % 3 != 0, shard=4)):
+        assert math.isclose(r["score"], plain.score(data[r["doc_id"]][1]), rel_tol=1e-9) and math.isclose(r["base_score"], plain.base(data[r["doc_id"]][1]), rel_tol=1e-9)
+
+
 def test_tables_without_rows_to_learn(spark):
     from pyspark.sql import functions as F
 
