@@ -290,7 +290,7 @@ def _totals(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 _TALLY, _WORD_OWN, _WORD_AFTER, _PAIR_OWN, _PAIR_AFTER, _RUN = range(6)
 _ROW = "level long, part int, shard long, data binary"
 #: Entries of a level that are gathered before they are packed into rows.
-GATHERED = 1 << 19
+GATHERED = 1 << 18
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -335,7 +335,7 @@ class Gathered:
         self.model, self.single, self.held, self.size = model, single, {}, Counter()
 
     def add(self, level: int, shards: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        self.held.setdefault(level, []).append([shards, *columns])
+        self.held.setdefault(level, []).append([_least(x) for x in (shards, *columns)])
         self.size[level] += len(shards)
         if self.size[level] >= GATHERED:
             yield from self.flush(level)
@@ -344,7 +344,7 @@ class Gathered:
         for level in levels or list(self.held):
             shards, *columns = (np.concatenate(x) for x in zip(*self.held.pop(level), strict=True))
             self.size[level] = 0
-            yield from _rows(self.model, level, shards, columns, self.single)
+            yield from _rows(self.model, level, shards.astype(np.int64), columns, self.single)
 
 
 def _tally(model: Model, words: int, shard: int, values: np.ndarray) -> pa.RecordBatch:
@@ -364,7 +364,7 @@ def _single(model: Model) -> Callable:
                     yield batch.slice(k, 1)
                 else:
                     shards, *columns = _unpack(batch.column("data")[k].as_py())
-                    yield from gathered.add(batch.column("level")[k].as_py(), shards.astype(np.int64), columns)
+                    yield from gathered.add(batch.column("level")[k].as_py(), shards, columns)
         yield from gathered.flush()
 
     return run
@@ -381,7 +381,9 @@ def _step(model: Model, own: dict[int, Callable[[int, list[np.ndarray], Tables,
 
         def close(key: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
             if held:
-                yield from own[at[0]](at[1], [np.concatenate(x) for x in zip(*held, strict=True)], tables, gathered)
+                entries = [np.concatenate(x) for x in zip(*held, strict=True)]
+                held.clear()
+                yield from own[at[0]](at[1], entries, tables, gathered)
             if at and (key is None or (at[0], at[1] % model.parts) != (key[0], key[1] % model.parts)):
                 tables.close()
 
@@ -509,6 +511,7 @@ def _about_words(model: Model, gathered: Gathered, keys: np.ndarray, n: np.ndarr
 def _write_runs(model: Model) -> Callable:
     def runs(shard: int, entries: list[np.ndarray], tables: Tables, gathered: Gathered) -> Iterator[pa.RecordBatch]:
         first, second, third, n = _distinct_runs(*entries)
+        entries.clear()  # as many rows again are worked out from the distinct ones
         tables.add("runs", shard, run_hash(first, second, third), n=n)
         yield _tally(model, 3, shard, n)
         # a pair counts by the different words before it; at a text's start, where there is none, by its occurrences
